@@ -55,57 +55,55 @@ def ratio_sql(n: str, d: str) -> str:
     return f"if({d} > 0, {n} / {d}, 0D)"
 
 
+WINDOW_FIELDS = (
+    "window_key", "label", "color", "purpose", "baseline_start", "baseline_end", "observation_start",
+    "observation_end", "baseline_days", "observation_days", "baseline_count", "observation_count",
+    "baseline_daily", "observation_daily", "baseline_share", "observation_share", "growth_factor",
+    "structure_lift_factor", "structure_change", "expected_count", "excess_count", "z_score", "level",
+    "level_label", "severity",
+)
+
+
 def with_windows(sums: DataFrame, base: Base) -> DataFrame:
-    """Add ``windows``: one struct per configured window with counts, shares, factors, z and level.
+    """One row per path and window: counts, shares, factors, z and level.
 
-    The figures are built as flat columns, one layer at a time, so that each is computed once; packing happens
-    last. Raw (unrounded) figures decide the level; the struct carries the rounded ones.
+    Raw (unrounded) figures decide the level; the output carries the rounded ones. The figures build on each
+    other layer by layer, and windows are rows, so the generated code does not grow with their number.
     """
     cfg = base.cfg
-    layers: list[list[str]] = [[], [], [], [], []]
-    packed: list[str] = []
+    rows = []
     for i, w in enumerate(cfg.windows):
-        s = f"_frame.windows[{i}]"
-        layers[0] += [
-            f"_base{i} / greatest({s}.baseline_days, 1) as _bd{i}",
-            f"_obs{i} / greatest({s}.observation_days, 1) as _od{i}",
-            ratio_sql(f"_base{i}", f"{s}.baseline_total") + f" as _bs{i}",
-            ratio_sql(f"_obs{i}", f"{s}.observation_total") + f" as _os{i}",
-        ]
-        layers[1] += [
-            ratio_sql(f"_od{i}", f"_bd{i}") + f" as _g{i}",
-            ratio_sql(f"_os{i}", f"_bs{i}") + f" as _l{i}",
-            f"if({s}.baseline_total > 0, {s}.observation_total * _bs{i}, 0D) as _e{i}",
-        ]
-        layers[2] += [f"_obs{i} - _e{i} as _x{i}"]
-        layers[3] += [f"if(_e{i} > 0, _x{i} / sqrt(_e{i}), 0D) as _z{i}"]
-        layers[4] += [level_sql(f"_obs{i}", f"_g{i}", f"_l{i}", f"_z{i}", cfg) + f" as _lv{i}"]
         texts = {"window_key": w.key, "label": w.label, "color": w.color, "purpose": w.purpose}
         fields = [f"'{name}', {quoted(text)}" for name, text in texts.items()]
-        fields += [
-            f"'{name}', {s}.{name}"
-            for name in ("baseline_start", "baseline_end", "observation_start", "observation_end",
-                         "baseline_days", "observation_days")
-        ]
-        rounded = {
-            "baseline_count": ("base", 4), "observation_count": ("obs", 4), "baseline_daily": ("bd", 4),
-            "observation_daily": ("od", 4), "baseline_share": ("bs", 8), "observation_share": ("os", 8),
-            "growth_factor": ("g", 4), "structure_lift_factor": ("l", 4), "expected_count": ("e", 4),
-            "excess_count": ("x", 4), "z_score": ("z", 4),
-        }
-        fields += [f"'{name}', bround(_{short}{i}, {digits})" for name, (short, digits) in rounded.items()]
-        fields += [
-            f"'structure_change', bround(_os{i} - _bs{i}, 8)",
-            f"'level', _lv{i}",
-            f"'level_label', {label_sql(f'_lv{i}', cfg)}",
-            f"'severity', {color_sql(f'_lv{i}')}",
-        ]
-        packed.append(f"named_struct({', '.join(fields)})")
+        rows.append(f"named_struct('ord', {i}, {', '.join(fields)}, 's', _frame.windows[{i}], "
+                    f"'o', _obs{i}, 'b', _base{i})")
     keep = [c for c in sums.columns if not c.startswith("_")]
-    df = base.with_frame(sums)
+    df = base.with_frame(sums).selectExpr(*keep, f"explode(array({', '.join(rows)})) as w").selectExpr(
+        *keep, "w.ord", "w.window_key", "w.label", "w.color", "w.purpose", "w.s.*", "w.o", "w.b"
+    )
+    layers = [
+        ["b / greatest(baseline_days, 1) as bd", "o / greatest(observation_days, 1) as od",
+         ratio_sql("b", "baseline_total") + " as bs", ratio_sql("o", "observation_total") + " as os"],
+        [ratio_sql("od", "bd") + " as g", ratio_sql("os", "bs") + " as l",
+         "if(baseline_total > 0, observation_total * bs, 0D) as e"],
+        ["o - e as x"],
+        ["if(e > 0, x / sqrt(e), 0D) as z"],
+        [level_sql("o", "g", "l", "z", cfg) + " as level"],
+    ]
     for layer in layers:
         df = df.selectExpr("*", *layer)
-    return df.selectExpr(*keep, f"array({', '.join(packed)}) as windows")
+    rounded = {
+        "baseline_count": ("b", 4), "observation_count": ("o", 4), "baseline_daily": ("bd", 4),
+        "observation_daily": ("od", 4), "baseline_share": ("bs", 8), "observation_share": ("os", 8),
+        "growth_factor": ("g", 4), "structure_lift_factor": ("l", 4), "structure_change": ("os - bs", 8),
+        "expected_count": ("e", 4), "excess_count": ("x", 4), "z_score": ("z", 4),
+    }
+    plain = ("ord", "window_key", "label", "color", "purpose", "baseline_start", "baseline_end",
+             "observation_start", "observation_end", "baseline_days", "observation_days", "level")
+    return df.selectExpr(
+        *keep, *plain, *[f"bround({x}, {n}) as {name}" for name, (x, n) in rounded.items()],
+        f"{label_sql('level', cfg)} as level_label", f"{color_sql('level')} as severity",
+    )
 
 
 def anomaly_sql() -> str:
@@ -123,7 +121,7 @@ def suppression_sql(cfg: AttributionConfig) -> str:
 
 
 def as_records(
-    paths: DataFrame,
+    windows: DataFrame,
     cfg: AttributionConfig,
     *,
     source: str | Column,
@@ -136,7 +134,7 @@ def as_records(
     """Roll the windows of a path up to one alert record.
 
     Only windows with a positive (rounded) baseline compete for primary, all of them if none has one; ties keep
-    the earlier window. Everything is per-row array work: no explode and no second shuffle.
+    the earlier window. A group has as many rows as there are windows.
     """
     dims = cfg.dimensions
     shown = order or dims
@@ -144,21 +142,29 @@ def as_records(
     def as_col(x) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
 
-    competing = (
-        "transform(windows, (w, i) -> named_struct('eligible', int(w.baseline_daily > 0), 'level', w.level, "
-        "'strength', least(w.growth_factor, w.structure_lift_factor), 'z', w.z_score, "
-        "'obs', w.observation_count, 'neg_ord', -i))"
+    fields = ", ".join(f"'{f}', {f}" for f in WINDOW_FIELDS)
+    best = (
+        "named_struct('eligible', int(baseline_daily > 0), 'level', level,"
+        " 'strength', least(growth_factor, structure_lift_factor), 'z', z_score, 'obs', observation_count,"
+        " 'neg_ord', -ord)"
+    )
+    rolled = windows.groupBy(*dims).agg(
+        F.expr(f"array_sort(collect_list(named_struct('ord', ord, 'w', named_struct({fields})))) as _all"),
+        F.expr("max(level) as level"),
+        F.expr(f"max_by(named_struct('window_key', window_key, 'label', label, 'observation_count',"
+               " observation_count, 'growth_factor', growth_factor, 'structure_lift_factor',"
+               f" structure_lift_factor, 'z_score', z_score, 'excess_count', excess_count), {best}) as _primary"),
     )
-    df = paths.select(
+    df = rolled.select(
         *dims,
-        "windows",
+        F.expr("transform(_all, x -> x.w) as windows"),
         canonical_path(dims).alias("canonical_path"),
         display_path(shown).alias("path"),
         path_depth(dims).alias("depth"),
         F.expr(suppression_sql(cfg)).alias("suppression_reasons"),
-        F.expr("transform(filter(windows, w -> w.level > 0), w -> w.window_key)").alias("hit_windows"),
-        F.expr("array_max(transform(windows, w -> w.level))").alias("level"),
-        F.expr(f"get(windows, -array_max({competing}).neg_ord)").alias("_primary"),
+        F.expr("transform(filter(_all, x -> x.w.level > 0), x -> x.w.window_key)").alias("hit_windows"),
+        "level",
+        "_primary",
     )
     primary = ("observation_count", "growth_factor", "structure_lift_factor", "z_score", "excess_count")
     return df.select(

@@ -123,7 +123,7 @@ def metric_columns(columns: Sequence[str]) -> list[str]:
         "next_avg_loan": "try_divide(sum(next_loan_prin), sum(has_next))",
         "next_daily_interest": "try_divide(sum(next_interest_amount), sum(next_loan_prin))",
         "next_total_fee_rate": "try_divide(sum(next_total_fee), sum(next_loan_prin))",
-        # The reference report labels this as the next loan amount; what it sums is the fee.
+        # Often labelled as the next loan amount; what it sums is the fee.
         "next_total_fee": "sum(next_total_fee)",
     }
     if "fpd1_fm_dd" in have:
