@@ -1,2 +1,492 @@
+"""Registered queries: panel, trend, status, tracked rules, run store and read queries."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from catalog import attribution_sql as q
+from catalog.attribution import full_run, raw_facts
+from pathlift.functions.paths import from_canonical
+from pathlift.operators import daily as D, panel as L, status as S
+from pathlift.plans import publish as P, read_queries as R
+from pathlift.session import cut_lineage, shared_dir
+from pathlift.sources.fixtures import TEST_CONFIG as CFG, view, with_clause
+from pathlift.sources.store import RunStore
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+_CACHE: dict = {}
+OLD_PT, NEW_PT = "20240129", "20240130"
+TRACKED_PATH = "traffic_channel=purchase"
+TRACKED_ID = hashlib.sha1(TRACKED_PATH.encode()).hexdigest()[:12]
+
+
+def register(name: str, sql: str | None = None):
+    def wrap(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE[name] = sql
+        return fn
+
+    return wrap
+
+
+def cached(kind: str, spark: SparkSession, sf_dir: str, make):
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make():
+        run = full_run(spark, sf_dir)
+        paths = run.alerts.select("id", *CFG.dimensions).unionByName(
+            run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
+        facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
+        return cut_lineage(L.path_daily(facts, paths, CFG, bounded=True))
+
+    return cached("panel", spark, sf_dir, make)
+
+
+def tracked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = view(spark, sf_dir, "fx_status_log")
+    current = S.current_status(log)
+    rules = S.active_rules(current, S.status_intervals(log))
+    return rules.select("canonical_path", "status", F.col("entered_pt").alias("entered_day")).withColumns(
+        from_canonical("canonical_path", CFG.dimensions))
+
+
+def store(spark: SparkSession, sf_dir: str) -> RunStore:
+    """Two published partitions of the snapshots table; the newer one with tracked rules."""
+
+    def make():
+        tag = hashlib.sha1(f"{spark.sparkContext.applicationId}{sf_dir}".encode()).hexdigest()[:12]
+        target = RunStore(spark, f"{shared_dir(spark)}/pathlift-store-{tag}")
+        facts = view(spark, sf_dir, "fx_app_snapshots")
+        P.publish(facts, CFG, target, OLD_PT)
+        P.publish(facts, CFG, target, NEW_PT, tracked=cut_lineage(tracked_rules(spark, sf_dir)))
+        return target
+
+    return cached("store", spark, sf_dir, make)
+
+
+# --- SQL building blocks ---------------------------------------------------------------------------------------
+
+COND = " AND ".join(f"(p.{d} IS NULL OR p.{d} = f.{d})" for d in q.DIMS)
+PANEL = [
+    *q.base(), *q.merged(),
+    f"""paths AS (SELECT id, {q.COLS} FROM (SELECT * FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})
+        UNION SELECT id, {q.COLS} FROM suppressed)""",
+    f"""psum AS (SELECT p.id, f.day, SUM(f.cnt) AS n, SUM(f.approval_cnt) AS a, SUM(f.cid_cnt) AS c,
+        SUM(f.approval_cid_cnt) AS ca FROM paths p JOIN f ON {COND} GROUP BY p.id, f.day)""",
+    """panel AS (SELECT p.id AS alert_id, d.day AS date, CAST(COALESCE(n, 0) AS DOUBLE) AS application_count,
+        CAST(d.total AS DOUBLE) AS total_application_count, CAST(COALESCE(a, 0) AS DOUBLE) AS approval_count,
+        CAST(COALESCE(c, 0) AS DOUBLE) AS cid_cnt, CAST(COALESCE(ca, 0) AS DOUBLE) AS approval_cid_cnt
+        FROM paths p CROSS JOIN daily d LEFT JOIN psum s ON s.id = p.id AND s.day = d.day)""",
+]
+
+LOG = [
+    *with_clause("fx_status_log"),
+    """ch AS (SELECT * FROM (SELECT *, LAG(status) OVER (PARTITION BY canonical_path ORDER BY updated_at, id) AS prev
+        FROM fx_status_log) WHERE prev IS NULL OR prev <> status)""",
+    """ch2 AS (SELECT *, LEAD(updated_at) OVER w AS n_at, LEAD(action_date) OVER w AS n_date, LEAD(updated_by) OVER w AS n_by
+        FROM ch WINDOW w AS (PARTITION BY canonical_path ORDER BY updated_at, id))""",
+    """iv AS (SELECT id, canonical_path, status, updated_at AS entered_at, action_date AS entered_pt,
+        updated_by AS entered_by, n_at AS exited_at, n_date AS exited_pt, n_by AS exited_by, n_at IS NULL AS is_active
+        FROM ch2 WHERE status IN (1, 2))""",
+    """lastlog AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY canonical_path ORDER BY updated_at DESC, id DESC) AS rn
+        FROM fx_status_log) WHERE rn = 1)""",
+    """opened AS (SELECT canonical_path, action_date FROM (SELECT *, ROW_NUMBER() OVER
+        (PARTITION BY canonical_path ORDER BY updated_at DESC, id DESC) AS rn FROM ch) WHERE rn = 1)""",
+    """cur AS (SELECT l.canonical_path, l.status, l.updated_by, l.updated_at,
+        CASE WHEN l.status IN (1, 2) THEN o.action_date END AS action_date FROM lastlog l JOIN opened o USING (canonical_path))""",
+    """act AS (SELECT c.*, COALESCE(i.entered_pt, c.action_date) AS entered_pt FROM cur c
+        LEFT JOIN (SELECT canonical_path, entered_pt FROM iv WHERE is_active) i USING (canonical_path) WHERE c.status IN (1, 2))""",
+]
+
+TRACKED = [
+    *LOG,
+    f"""tp AS (SELECT canonical_path AS rule, entered_pt AS entered, {', '.join(
+        f"SUBSTR(canonical_path, {len(d) + 2}) AS {d}" if d == 'traffic_channel' else f'CAST(NULL AS VARCHAR) AS {d}'
+        for d in q.DIMS)} FROM act)""",
+    f"""tracked_src AS (SELECT {', '.join('p.' + d for d in q.DIMS)}, k.rn, COALESCE(SUM(f.cnt), 0) AS c
+        FROM tp p CROSS JOIN kept k LEFT JOIN f ON f.day = k.day AND f.day >= p.entered AND {COND}
+        GROUP BY {', '.join('p.' + d for d in q.DIMS)}, k.rn)""",
+    *q.records("tracked"),
+]
+
+
+def unique(ctes: list[str]) -> list[str]:
+    seen, out = set(), []
+    for c in ctes:
+        name = c.split(" AS ", 1)[0]
+        if name not in seen:
+            seen.add(name)
+            out.append(c)
+    return out
+
+
+def pub(pt: str) -> list[str]:
+    """Alerts of a published partition."""
+    head = [*q.base(pt, "fx_app_snapshots"), *q.merged()]
+    cols = "canonical_path, path, id, level, hits, hit_windows, primary_window, obs, growth, lift, z, strength"
+    if pt != NEW_PT:
+        return [*head, f"""published AS (SELECT {cols}, FALSE AS is_tracked_only, CAST(NULL AS DATE) AS tracking_start
+            FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})"""]
+    return unique([
+        *head, *TRACKED,
+        f"""allrows AS (SELECT {cols}, FALSE AS is_tracked_only, CAST(NULL AS DATE) AS tracking_start FROM merged
+            WHERE canonical_path NOT IN (SELECT canonical_path FROM tracked) UNION ALL
+            SELECT {', '.join('t.' + c.strip() for c in cols.split(','))},
+            t.canonical_path NOT IN (SELECT canonical_path FROM merged), p.entered
+            FROM tracked t JOIN tp p ON p.rule = t.canonical_path)""",
+        f"""published AS (SELECT * FROM (SELECT * FROM allrows WHERE NOT is_tracked_only ORDER BY {q.ORDER} LIMIT {CFG.output_limit})
+            UNION ALL SELECT * FROM allrows WHERE is_tracked_only)""",
+    ])
+
+
+SUMMARY = """CAST(SUM(total) AS DOUBLE) AS total_application_count,
+  CAST(MAX(CASE WHEN rn = 1 THEN total END) AS DOUBLE) AS latest_application_count,
+  CAST(MAX(CASE WHEN rn = 2 THEN total END) AS DOUBLE) AS previous_application_count,
+  ROUND_EVEN((MAX(CASE WHEN rn = 1 THEN total END) / MAX(CASE WHEN rn = 2 THEN total END) - 1) * 100, 4) AS latest_day_change_pct,
+  ROUND_EVEN(MAX(CASE WHEN rn = 1 THEN approvals / total END) * 100, 4) AS latest_approval_rate,
+  ROUND_EVEN(MAX(CASE WHEN rn = 1 THEN person_approvals / persons END) * 100, 4) AS latest_cid_approval_rate_pct,
+  CAST(SUM(approvals) AS DOUBLE) AS approval_count, CAST(SUM(persons) AS DOUBLE) AS cid_cnt,
+  CAST(SUM(person_approvals) AS DOUBLE) AS approval_cid_cnt, CAST(SUM(jy0) AS DOUBLE) AS approval_jy0_count,
+  (SELECT COUNT(*) FROM merged) AS merged_alert_count, (SELECT COUNT(*) FROM merged WHERE level = 3) AS level3_count,
+  (SELECT COUNT(*) FROM merged WHERE level = 2) AS level2_count, (SELECT COUNT(*) FROM merged WHERE level = 1) AS level1_count,
+  (SELECT COUNT(*) FROM xalerts) AS expert_alert_count, (SELECT COUNT(*) FROM suppressed) AS suppressed_alert_count"""
+RATIOS = """SUM(person_approvals) / SUM(persons) AS person_approval_ratio, SUM(approvals) / SUM(total) AS item_approval_ratio"""
+SUMMARY_FIELDS = (
+    "total_application_count latest_application_count previous_application_count latest_day_change_pct "
+    "latest_approval_rate latest_cid_approval_rate_pct approval_count cid_cnt approval_cid_cnt approval_jy0_count "
+    "merged_alert_count level3_count level2_count level1_count expert_alert_count suppressed_alert_count "
+    "tracked_rule_count person_approval_ratio item_approval_ratio").split()
+
+
+def tracked_count(pt: str) -> str:
+    return "(SELECT COUNT(*) FROM act WHERE status = 2)" if pt == NEW_PT else "0"
+
+
+def summary_sql(pt: str) -> str:
+    return q.query(pub(pt), f"SELECT {SUMMARY}, {tracked_count(pt)} AS tracked_rule_count, {RATIOS} FROM kept")
+
+
+# --- panel and trend ---------------------------------------------------------------------------------------------
+
+
+@register("exact_path_daily", q.query(q.base(), """
+SELECT day, CAST(SUM(cnt) AS DOUBLE) AS application_count, CAST(SUM(approval_cnt) AS DOUBLE) AS approval_count,
+  CAST(SUM(cid_cnt) AS DOUBLE) AS cid_cnt, CAST(SUM(approval_cid_cnt) AS DOUBLE) AS approval_cid_cnt
+FROM f WHERE systemtype = 'none' AND device_brand = 'none' GROUP BY day"""))
+def exact_path_daily(spark, sf_dir):
+    facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, trend=True)
+    return L.exact_daily(facts, {"systemtype": " ", "device_brand": "none"}, CFG)
+
+
+@register("path_daily_panel", q.query(PANEL, "SELECT * FROM panel"))
+def path_daily_panel(spark, sf_dir):
+    return panel(spark, sf_dir)
+
+
+@register("path_daily_unbounded", q.query(PANEL, "SELECT * FROM panel"))
+def path_daily_unbounded(spark, sf_dir):
+    """Same panel with the path list of unknown size: shuffled on the anchor instead of broadcast."""
+    run = full_run(spark, sf_dir)
+    paths = run.alerts.select("id", *CFG.dimensions).unionByName(
+        run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
+    facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
+    return L.path_daily(facts, paths, CFG, bounded=False)
+
+
+WIN_ROWS = " UNION ALL ".join(
+    f"SELECT r.id, m.w, m.os, m.oe, m.o, r.primary_window FROM {n}_w m JOIN {n} r ON "
+    + " AND ".join(f"m.{d} IS NOT DISTINCT FROM r.{d}" for d in q.DIMS)
+    for n in ("single", "pair", "third", "expert")
+)
+
+
+@register("window_approvals", q.query([*PANEL, f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))",
+    f"top AS (SELECT id FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})"], """
+SELECT wr.id AS alert_id, wr.w AS window_key, wr.w = wr.primary_window AS is_primary, SUM(p.approval_count) AS approval_count,
+  ROUND(CASE WHEN wr.o > 0 THEN SUM(p.approval_count) / wr.o * 100 END, 6) AS approval_rate_pct,
+  SUM(p.cid_cnt) AS cid_cnt, SUM(p.approval_cid_cnt) AS approval_cid_cnt,
+  ROUND(CASE WHEN SUM(p.cid_cnt) > 0 THEN SUM(p.approval_cid_cnt) / SUM(p.cid_cnt) * 100 END, 6) AS cid_approval_rate_pct
+FROM wr JOIN top ON top.id = wr.id LEFT JOIN panel p ON p.alert_id = wr.id AND p.date BETWEEN wr.os AND wr.oe
+GROUP BY wr.id, wr.w, wr.primary_window, wr.o"""))
+def window_approvals(spark, sf_dir):
+    df = L.window_approvals(full_run(spark, sf_dir).alerts, panel(spark, sf_dir))
+    return df.withColumns({c: F.round(c, 6) for c in ("approval_rate_pct", "cid_approval_rate_pct")})
+
+
+@register("trend_context", q.query(q.base(), """
+SELECT day AS date, CAST(total AS DOUBLE) AS application_count FROM daily ORDER BY day DESC LIMIT 15"""))
+def trend_context(spark, sf_dir):
+    return L.trend_context(panel(spark, sf_dir), 15)
+
+
+TREND = [*PANEL, """trend AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY alert_id ORDER BY date DESC) AS rn,
+    CASE WHEN total_application_count <> 0 THEN application_count / total_application_count * 100 ELSE 0 END AS share,
+    CASE WHEN application_count > 0 THEN approval_count / application_count * 100 ELSE 0 END AS rate,
+    CASE WHEN cid_cnt > 0 THEN approval_cid_cnt / cid_cnt * 100 ELSE 0 END AS prate FROM panel) WHERE rn <= 15)"""]
+
+
+@register("path_trend_rows", q.query(TREND, """
+SELECT alert_id, date, application_count, total_application_count, ROUND(share, 6) AS application_share_pct, approval_count,
+  ROUND(rate, 6) AS approval_rate_pct, cid_cnt, approval_cid_cnt, ROUND(prate, 6) AS cid_approval_rate_pct FROM trend"""))
+def path_trend_rows(spark, sf_dir):
+    df = L.trend_rows(panel(spark, sf_dir), 15)
+    return df.withColumns({c: F.round(c, 6) for c in
+                           ("application_share_pct", "approval_rate_pct", "cid_approval_rate_pct")})
+
+
+@register("path_trend_summary", q.query(TREND, """
+SELECT alert_id, COUNT(*) AS period_days, SUM(application_count) AS period_application_count,
+  MAX(CASE WHEN rn = 1 THEN application_count END) AS latest_application_count,
+  MAX(CASE WHEN rn = 2 THEN application_count END) AS previous_application_count,
+  ROUND(CASE WHEN MAX(CASE WHEN rn = 2 THEN application_count END) > 0 THEN
+    (MAX(CASE WHEN rn = 1 THEN application_count END) / MAX(CASE WHEN rn = 2 THEN application_count END) - 1) * 100 ELSE 0 END, 6)
+    AS latest_day_change_pct,
+  MAX(application_count) AS peak_application_count,
+  ARG_MAX(date, application_count * 100000 + rn) AS peak_date,
+  ROUND(MAX(CASE WHEN rn = 1 THEN share END), 6) AS latest_application_share_pct,
+  ROUND(MAX(CASE WHEN rn = 1 THEN rate END), 6) AS latest_approval_rate_pct,
+  ROUND(MAX(CASE WHEN rn = 1 THEN prate END), 6) AS latest_cid_approval_rate_pct FROM trend GROUP BY alert_id"""))
+def path_trend_summary(spark, sf_dir):
+    df = L.trend_summary(L.trend_rows(panel(spark, sf_dir), 15))
+    rounded = [c for c in df.columns if c.endswith("_pct")]
+    return df.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+# --- status --------------------------------------------------------------------------------------------------------
+
+
+@register("status_intervals", q.query(LOG, "SELECT * FROM iv"))
+def status_intervals(spark, sf_dir):
+    return S.status_intervals(view(spark, sf_dir, "fx_status_log"))
+
+
+@register("current_status", q.query(LOG, "SELECT * FROM cur"))
+def current_status(spark, sf_dir):
+    return S.current_status(view(spark, sf_dir, "fx_status_log"))
+
+
+@register("active_rules", q.query(LOG, "SELECT * FROM act"))
+def active_rules(spark, sf_dir):
+    log = view(spark, sf_dir, "fx_status_log")
+    return S.active_rules(S.current_status(log), S.status_intervals(log))
+
+
+@register("tagged_rules", q.query(LOG, """
+SELECT canonical_path, status, 'current' AS seen_in FROM cur WHERE status IN (1, 2) UNION ALL
+SELECT canonical_path, ARG_MAX(status, entered_at), 'history' FROM iv
+WHERE canonical_path NOT IN (SELECT canonical_path FROM cur WHERE status IN (1, 2)) GROUP BY canonical_path"""))
+def tagged_rules(spark, sf_dir):
+    log = view(spark, sf_dir, "fx_status_log")
+    return S.tagged_rules(S.current_status(log), S.status_intervals(log))
+
+
+@register("status_overlay", q.query(unique([*q.base(), *q.merged(), *LOG]), """
+SELECT m.canonical_path, m.level, COALESCE(c.status, 0) AS status, c.updated_at AS status_updated_at,
+  c.updated_by AS status_updated_by, c.action_date, a.entered_pt AS tracking_start_pt
+FROM merged m LEFT JOIN cur c USING (canonical_path) LEFT JOIN act a USING (canonical_path)"""))
+def status_overlay(spark, sf_dir):
+    log = view(spark, sf_dir, "fx_status_log")
+    current = S.current_status(log)
+    active = S.active_rules(current, S.status_intervals(log))
+    merged = full_run(spark, sf_dir).merged.select("canonical_path", "level")
+    return S.overlay_status(merged, current, active)
+
+
+@register("tracked_records", q.query(unique([*q.base(), *TRACKED]), """
+SELECT t.canonical_path, level, hit_windows, primary_window, obs AS observation_count, growth AS growth_factor,
+  lift AS structure_lift_factor, z AS z_score, p.entered AS tracking_start FROM tracked t JOIN tp p ON p.rule = t.canonical_path"""))
+def tracked_records(spark, sf_dir):
+    base = D.Base.of(raw_facts(spark, sf_dir), CFG)
+    df = S.tracked_records(base, tracked_rules(spark, sf_dir))
+    return df.selectExpr(
+        "canonical_path", "level", "array_join(hit_windows, ',') as hit_windows", "primary_window",
+        "observation_count", "growth_factor", "structure_lift_factor", "z_score", "tracking_start")
+
+
+# --- store and read queries -----------------------------------------------------------------------------------------
+
+
+@register("published_alerts", q.query(pub(NEW_PT), """
+SELECT id, canonical_path, level, hit_windows, obs AS observation_count, is_tracked_only, tracking_start FROM published"""))
+def published_alerts(spark, sf_dir):
+    return store(spark, sf_dir).snapshot("alerts", NEW_PT).selectExpr(
+        "id", "canonical_path", "level", "array_join(hit_windows, ',') as hit_windows", "observation_count",
+        "is_tracked_only", "tracking_start")
+
+
+@register("published_index", f"""
+WITH {', '.join(with_clause('fx_app_snapshots'))} SELECT DISTINCT pt, CAST(0 AS INTEGER) AS offset_days FROM fx_app_snapshots""")
+def published_index(spark, sf_dir):
+    return store(spark, sf_dir).published().select("pt", "offset_days")
+
+
+@register("run_status", f"""
+WITH {', '.join(with_clause('fx_app_snapshots'))}
+SELECT pt, MIN(create_date) AS window_start, MAX(create_date) AS window_end, MIN(create_date) AS table_date_min,
+  MAX(create_date) AS table_date_max, 'scheduled' AS source
+FROM fx_app_snapshots GROUP BY pt""")
+def run_status(spark, sf_dir):
+    return store(spark, sf_dir).status(10).select(
+        "pt", "window_start", "window_end", "table_date_min", "table_date_max", "source")
+
+
+@register("latest_runs", f"""
+WITH {', '.join(with_clause('fx_app_snapshots'))} SELECT DISTINCT pt, 'fixture' AS config_version FROM fx_app_snapshots""")
+def latest_runs(spark, sf_dir):
+    return store(spark, sf_dir).latest_runs().select("pt", "config_version")
+
+
+@register("latest_partition", f"""
+WITH {', '.join(with_clause('fx_app_snapshots'))} SELECT MAX(pt) AS latest_partition FROM fx_app_snapshots""")
+def latest_partition(spark, sf_dir):
+    return R.latest_partition(store(spark, sf_dir))
+
+
+@register("stored_daily_trend", q.query(q.base(OLD_PT, "fx_app_snapshots"), """
+SELECT day AS date, CAST(total AS DOUBLE) AS application_count, CAST(approvals AS DOUBLE) AS approval_count FROM kept"""))
+def stored_daily_trend(spark, sf_dir):
+    return store(spark, sf_dir).snapshot("daily_trend", OLD_PT).select("date", "application_count", "approval_count")
+
+
+@register("stored_alert_windows", q.query(
+    [*q.base(OLD_PT, "fx_app_snapshots"), *q.merged(), f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))",
+     f"top AS (SELECT id FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})",
+     "both_ AS (SELECT id FROM top UNION SELECT id FROM suppressed)"], """
+SELECT wr.id AS alert_id, wr.w AS window_key, wr.os AS observation_start, wr.oe AS observation_end, wr.o AS observation_count
+FROM wr JOIN both_ ON both_.id = wr.id"""))
+def stored_alert_windows(spark, sf_dir):
+    return store(spark, sf_dir).snapshot("alert_windows", OLD_PT).select(
+        "alert_id", "window_key", "observation_start", "observation_end", "observation_count")
+
+
+@register("published_summary", summary_sql(NEW_PT))
+def published_summary(spark, sf_dir):
+    return R.dashboard_summary(store(spark, sf_dir), NEW_PT).drop("run_id", "highlight_path", "warnings").withColumn(
+        "tracked_rule_count", F.col("tracked_rule_count"))
+
+
+@register("find_rules", q.query(pub(NEW_PT), """
+SELECT id, canonical_path, level FROM published WHERE CONTAINS(LOWER(canonical_path), 'traffic_channel=click') AND level = 2"""))
+def find_rules(spark, sf_dir):
+    return R.find_rules(store(spark, sf_dir), NEW_PT, "Traffic_Channel=CLICK", "level2").select(
+        "id", "canonical_path", "level")
+
+
+@register("find_rules_by_status", q.query(pub(NEW_PT), """
+SELECT p.id, p.canonical_path, c.status FROM published p JOIN cur c USING (canonical_path) WHERE c.status = 1"""))
+def find_rules_by_status(spark, sf_dir):
+    statuses = S.current_status(view(spark, sf_dir, "fx_status_log"))
+    return R.find_rules(store(spark, sf_dir), NEW_PT, status="已上策略", statuses=statuses).select(
+        "id", "canonical_path", "status")
+
+
+@register("filtered_rules", q.query(pub(OLD_PT), """
+SELECT p.id, p.canonical_path FROM published p JOIN merged m USING (canonical_path)
+WHERE p.level = 2 AND m.anomaly_type = '持续高位' AND m.depth = 3"""))
+def filtered_rules(spark, sf_dir):
+    rows = store(spark, sf_dir).snapshot("alerts", OLD_PT)
+    return R.filter_rules(rows, level=2, anomaly="持续高位", layer="三级").select("id", "canonical_path")
+
+
+@register("rule_detail", q.query(pub(NEW_PT), f"""
+SELECT id, canonical_path, path, level, growth AS growth_factor FROM published WHERE canonical_path = '{TRACKED_PATH}'"""))
+def rule_detail(spark, sf_dir):
+    return R.rule_detail(store(spark, sf_dir), NEW_PT, TRACKED_PATH.upper()).select(
+        "id", "canonical_path", "path", "level", "growth_factor")
+
+
+@register("path_trend", q.query(pub(NEW_PT), f"""
+SELECT '{TRACKED_ID}' AS alert_id, d.day AS date, CAST(COALESCE(s.n, 0) AS DOUBLE) AS application_count,
+  ROUND(COALESCE(s.n, 0) / d.total * 100, 6) AS application_share_pct,
+  ROUND(s.a / NULLIF(s.n, 0), 6) AS item_approval_ratio, ROUND(s.ca / NULLIF(s.c, 0), 6) AS person_approval_ratio
+FROM daily d JOIN act ON act.canonical_path = '{TRACKED_PATH}' AND d.day >= act.entered_pt
+LEFT JOIN (SELECT day, SUM(cnt) AS n, SUM(approval_cnt) AS a, SUM(cid_cnt) AS c, SUM(approval_cid_cnt) AS ca
+  FROM f WHERE traffic_channel = 'purchase' GROUP BY day) s ON s.day = d.day ORDER BY d.day DESC LIMIT 7"""))
+def path_trend(spark, sf_dir):
+    df = R.path_trend(store(spark, sf_dir), NEW_PT, TRACKED_ID, 7)
+    return df.select(
+        "alert_id", "date", "application_count", F.round("application_share_pct", 6).alias("application_share_pct"),
+        F.round("item_approval_ratio", 6).alias("item_approval_ratio"),
+        F.round("person_approval_ratio", 6).alias("person_approval_ratio"))
+
+
+@register("tracked_rule_followup", f"""
+SELECT '20240128' AS pt, FALSE AS available, FALSE AS matched, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS INTEGER) AS level
+UNION ALL ({q.query(pub(OLD_PT), f'''SELECT '{OLD_PT}', TRUE, (SELECT COUNT(*) > 0 FROM published WHERE canonical_path = '{TRACKED_PATH}'),
+  (SELECT MAX(id) FROM published WHERE canonical_path = '{TRACKED_PATH}'), (SELECT MAX(level) FROM published WHERE canonical_path = '{TRACKED_PATH}')''')})
+UNION ALL ({q.query(pub(NEW_PT), f'''SELECT '{NEW_PT}', TRUE, (SELECT COUNT(*) > 0 FROM published WHERE canonical_path = '{TRACKED_PATH}'),
+  (SELECT MAX(id) FROM published WHERE canonical_path = '{TRACKED_PATH}'), (SELECT MAX(level) FROM published WHERE canonical_path = '{TRACKED_PATH}')''')})""")
+def tracked_rule_followup(spark, sf_dir):
+    return R.tracked_rule_followup(store(spark, sf_dir), TRACKED_PATH, "20240128", NEW_PT).select(
+        "pt", "available", "matched", "id", "level")
+
+
+@register("compare_partitions", f"""
+WITH a AS ({summary_sql(OLD_PT)}), b AS ({summary_sql(NEW_PT)})
+{' UNION ALL '.join(f"SELECT '{c}' AS field, ROUND(CAST(a.{c} AS DOUBLE), 8) AS value_a, ROUND(CAST(b.{c} AS DOUBLE), 8) AS value_b, ROUND(CAST(b.{c} AS DOUBLE) - CAST(a.{c} AS DOUBLE), 8) AS delta FROM a, b" for c in SUMMARY_FIELDS)}""")
+def compare_partitions(spark, sf_dir):
+    df = R.compare_partitions(store(spark, sf_dir), OLD_PT, NEW_PT)
+    return df.select("field", *[F.round(c, 8).alias(c) for c in ("value_a", "value_b", "delta")])
+
+
+@register("parity_check", q.query(q.base(), "SELECT CAST(0 AS BIGINT) AS differing_fields FROM kept WHERE rn = 1"))
+def parity_check(spark, sf_dir):
+    """Summary recomputed from the day-level facts against the stored one: nothing may differ."""
+    stored = store(spark, sf_dir).snapshot("summary", NEW_PT).drop("tracked_rule_count")
+    return P.parity(stored, full_run(spark, sf_dir).summary()).agg(F.count(F.lit(1)).alias("differing_fields"))
+
+
+@register("freshness", f"""
+WITH {', '.join(with_clause('fx_app_snapshots'))}
+SELECT MAX(pt) AS newest_pt, '20240131' AS expected_pt, MAX(pt) = '20240131' AS is_fresh FROM fx_app_snapshots""")
+def freshness(spark, sf_dir):
+    from datetime import date
+
+    from pathlift.sources.tables import partition_ranges
+
+    return P.freshness(partition_ranges(view(spark, sf_dir, "fx_app_snapshots"), CFG), date(2024, 1, 31))
+
+
+@register("daily_digest", q.query(pub(NEW_PT), """
+SELECT (SELECT COUNT(*) FROM merged) AS merged_alert_count, (SELECT COUNT(*) FROM merged WHERE level = 1) AS level1_count,
+  (SELECT COUNT(*) FROM merged WHERE level = 2) AS level2_count, (SELECT COUNT(*) FROM merged WHERE level = 3) AS level3_count,
+  (SELECT COUNT(*) FROM published p JOIN cur c USING (canonical_path) WHERE c.status IN (1, 2) AND NOT is_tracked_only) AS tracked_hits,
+  (SELECT COUNT(*) FROM published p JOIN cur c USING (canonical_path) WHERE c.status IN (1, 2) AND is_tracked_only) AS tracked_misses,
+  (SELECT path FROM published ORDER BY level DESC, z DESC, canonical_path LIMIT 1) AS focus_path,
+  ROUND((SELECT COUNT(*) FROM merged WHERE level >= 2) * 100.0 / GREATEST((SELECT COUNT(*) FROM merged), 1), 6) AS level2_plus_share_pct"""))
+def daily_digest(spark, sf_dir):
+    rows = R.with_status(store(spark, sf_dir).snapshot("alerts", NEW_PT),
+                         S.current_status(view(spark, sf_dir, "fx_status_log")))
+    df = R.digest(rows, store(spark, sf_dir).snapshot("summary", NEW_PT))
+    return df.drop("latest_day_change_pct", "level3_focus_path").withColumn(
+        "level2_plus_share_pct", F.round("level2_plus_share_pct", 6))
+
+
+@register("alerts_with_seeds", q.query(pub(OLD_PT), """
+SELECT canonical_path, level FROM published UNION ALL SELECT DISTINCT canonical_path, level FROM (
+  SELECT canonical_path, level FROM seeds1 UNION ALL SELECT canonical_path, level FROM seeds2) WHERE level = 0"""))
+def alerts_with_seeds(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return R.alerts_with_seeds(s.snapshot("alerts", OLD_PT), s.snapshot("seeds", OLD_PT)).select(
+        "canonical_path", "level")
+
+
+@register("approval_warnings", q.query(q.base(), """
+SELECT day, ROUND(approvals / total, 6) AS item_approval_ratio, ROUND(person_approvals / persons, 6) AS person_approval_ratio,
+  CASE WHEN persons = 0 THEN 'person_approval_ratio: cid_cnt is 0' ELSE '' END AS warnings FROM daily"""))
+def approval_warnings(spark, sf_dir):
+    totals = D.Base.of(raw_facts(spark, sf_dir), CFG).totals
+    df = L.approval_ratios(totals, "approval_cnt", "cnt", "approval_cid_cnt", "cid_cnt")
+    return df.select(
+        "day", F.round("item_approval_ratio", 6).alias("item_approval_ratio"),
+        F.round("person_approval_ratio", 6).alias("person_approval_ratio"),
+        F.array_join("warnings", "; ").alias("warnings"))

@@ -73,3 +73,12 @@ def from_conditions(conds: str, dims: Sequence[str]) -> dict[str, Column]:
 def matches(dims: Sequence[str], row: str = "", path: str = "_s_") -> Column:
     """True where a fact row lies on a path: every condition equal, open dimensions ignored."""
     return F.expr(" and ".join(f"({path}{d} is null or {row}{d} = {path}{d})" for d in dims))
+
+
+def from_canonical(path: str, dims: Sequence[str]) -> dict[str, Column]:
+    """Path columns out of canonical (or display) path text."""
+    out = {}
+    for d in dims:
+        hit = f"get(filter(split({path}, '{JOINER}'), x -> startswith(x, '{d}=')), 0)"
+        out[d] = F.expr(f"substring({hit}, {len(d) + 2})")
+    return out
