@@ -300,7 +300,7 @@ def cell_check(joined: DataFrame, policy: DataFrame) -> DataFrame:
     )
     observed = agg.where("is_mapped").select(*CELL)
     unseen = policy.select(*CELL, F.col("target_rate").alias("expected_rate")).join(observed, list(CELL), "left_anti")
-    zero = {c: F.lit(0).cast("bigint") for c in agg.columns if c.endswith("_cnt")}
+    zero = {c: F.lit(0).cast("bigint") for c in agg.columns if c.endswith("_cnt") and c not in CELL}
     every = agg.unionByName(unseen.withColumns({"is_mapped": F.lit(True), **zero}))
     checked = every.selectExpr(
         *CELL, "expected_rate", *zero,

@@ -6,6 +6,7 @@ import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
+from pathlift.functions.paths import quoted
 from pathlift.functions.scalars import normalized_code
 from pathlift.operators.execution import CELL, KEYS, SAME_RATE, CodeBook, loan_count, valid_population
 
@@ -251,20 +252,20 @@ def mapping_search(facts: DataFrame, policy: DataFrame, book: CodeBook = CodeBoo
         "count_shift", *[c for part in books for c in (f"{part}_code", part)]
     ).agg(F.sum("n").alias("matched"))
 
-    def permutations(part: str):
+    def permutations(part: str) -> str:
         codes = list(books[part])
-        rows = []
-        for i, perm in enumerate(itertools.permutations([books[part][c] for c in codes])):
-            rows += [F.struct(F.lit(i).alias(f"{part}_map"), F.lit(c).alias("c"), F.lit(v).alias("v"))
-                     for c, v in zip(codes, perm)]
-        return F.array(*rows)
+        rows = [
+            f"named_struct('m', {i}, 'c', {quoted(code)}, 'v', {quoted(label)})"
+            for i, labels_ in enumerate(itertools.permutations([books[part][c] for c in codes]))
+            for code, label in zip(codes, labels_)
+        ]
+        return f"filter(array({', '.join(rows)}), p -> p.c = {part}_code and p.v = {part})"
 
     out = pairs
     for part in books:
-        out = out.select("*", F.explode(F.filter(
-            permutations(part), lambda p, part=part: (p["c"] == F.col(f"{part}_code")) & (p["v"] == F.col(part))
-        )).alias("_p")).withColumn(f"{part}_map", F.col(f"_p.{part}_map")).drop("_p", f"{part}_code", part)
-        out = out.groupBy(*[c for c in out.columns if c != "matched"]).agg(F.sum("matched").alias("matched"))
+        keep = [c for c in out.columns if c not in (part, f"{part}_code")]
+        out = out.selectExpr(*keep, f"explode({permutations(part)}) as _p").withColumn(f"{part}_map", F.col("_p.m"))
+        out = out.groupBy(*[c for c in out.columns if c not in ("matched", "_p")]).agg(F.sum("matched").alias("matched"))
     checked = moved.groupBy("count_shift").agg(F.sum("n").alias("checked_cnt"))
     ranked = out.join(F.broadcast(checked), "count_shift").selectExpr(
         "customer_map", "use_rate_map", "score_map", "count_shift", "matched as matched_cnt", "checked_cnt",
