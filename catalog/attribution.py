@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import attribution_sql as q
+from catalog.rounding import near, registry
 from pathlift.operators import daily as D, drill as R, metrics as M
 from pathlift.plans import dashboard as P
 from pathlift.sources import tables as T
 from pathlift.sources.fixtures import TEST_CONFIG as CFG, view
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES, ORACLE, register = registry()
 _RUNS: dict = {}
 
 RECORD_COLUMNS = (
@@ -21,16 +21,6 @@ RECORD_COLUMNS = (
 )
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return wrap
-
-
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_app_daily")
 
@@ -105,7 +95,7 @@ FROM tot t JOIN kept k ON k.rn <= t.n GROUP BY ALL"""))
 def window_table(spark, sf_dir):
     df = D.window_table(lazy_base(spark, sf_dir).totals, CFG)
     return df.drop("label", "purpose", "color", "ord").withColumn(
-        "cid_approval_rate_pct", F.round("cid_approval_rate_pct", 6))
+        "cid_approval_rate_pct", near("cid_approval_rate_pct", 6))
 
 
 WINDOW_FIELDS = (

@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import scoring as SC
+from catalog.rounding import near, registry, rounded
 from pathlift.operators import planning as P
 from pathlift.session import cut_lineage
 from pathlift.sources import tables as T
 from pathlift.sources.fixtures import view, with_clause
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES, ORACLE, register = registry()
 _GRIDS: dict = {}
 TARGET = 58_000.0
 LEVELS = ("5", "4", "3")
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return wrap
-
-
 def grid(spark, sf_dir):
     """The segment grid, stored once per session: plans read it many times, the loans behind it only once."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -37,11 +27,6 @@ def grid(spark, sf_dir):
     return _GRIDS[key]
 
 
-def rounded(df, digits: int = 6, skip=()):
-    names = {n for n, t in df.dtypes if t == "double"} - set(skip)
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
-
-
 def tier(values, bounds=P.TEN_BOUNDS, text=False) -> str:
     lit = [f"'{v}'" if text else f"CAST({v} AS DOUBLE)" for v in values]
     return "CASE " + " ".join(f"WHEN fpd7_rate < {b} THEN {v}" for b, v in zip(bounds[:-1], lit)) + f" ELSE {lit[-1]} END"
@@ -103,8 +88,8 @@ SELECT CAST(SUM(settled) AS BIGINT) AS customers, ROUND(SUM(settled * settled_av
   ROUND(SUM(settled * settled_avg_limit * COALESCE(fpd7_rate, 0)) / SUM(settled * settled_avg_limit), 8) AS risk FROM gr"""))
 def portfolio(spark, sf_dir):
     df = P.portfolio(grid(spark, sf_dir))
-    return df.select("customers", F.round("amount", 2).alias("amount"), F.round("avg_limit", 6).alias("avg_limit"),
-                     F.round("risk", 8).alias("risk"))
+    return df.select("customers", near("amount", 2).alias("amount"), near("avg_limit", 6).alias("avg_limit"),
+                     near("risk", 8).alias("risk"))
 
 
 @register("eligibility", sql("""
@@ -152,8 +137,8 @@ SELECT flag_customer, use_rate, loan_cnt, score_level, ROUND(CASE WHEN ok THEN L
   ROUND({inc('CASE WHEN ok THEN LEAST(ubase * rc, rate_cap) ELSE 0 END')}, 2) AS increment FROM gr"""))
 def grid_plan(spark, sf_dir):
     df = P.apply_rule(grid(spark, sf_dir), P.rule_book()["use_base_by_risk_capped"])
-    return df.selectExpr(*P.GRID_KEYS, "round(rate, 8) as rate", "round(new_limit, 4) as new_limit",
-                         "round(increment, 2) as increment")
+    return df.selectExpr(*P.GRID_KEYS, "round(rate + 1e-9, 8) as rate", "round(new_limit + 1e-9, 4) as new_limit",
+                         "round(increment + 1e-9, 2) as increment")
 
 
 def solver(slope: str, ceiling: str = "1e12", source: str = "gr", keys: str = "") -> list[str]:
@@ -177,8 +162,8 @@ SELECT ROUND(MAX(need), 2) AS need, ROUND((SELECT MAX(t) FROM pts), 2) AS max_in
 FROM pts2, nd WHERE need > t0 AND need <= t""", *solver("rate_cap * mult")))
 def solved_scale(spark, sf_dir):
     df = P.solve_scale(grid(spark, sf_dir), P.rule_book()["table_cap_by_tier"], TARGET)
-    return df.select(F.round("need", 2).alias("need"), F.round("max_increment", 2).alias("max_increment"),
-                     F.round("k", 8).alias("k"), "reached")
+    return df.select(near("need", 2).alias("need"), near("max_increment", 2).alias("max_increment"),
+                     near("k", 8).alias("k"), "reached")
 
 
 SOLVED = [*solver("rate_cap * mult"),
@@ -203,9 +188,9 @@ SELECT CAST(SUM(settled) AS BIGINT) AS customers, ROUND(SUM(settled * settled_av
 def solved_plan_summary(spark, sf_dir):
     df = P.plan_summary(solved(spark, sf_dir))
     return df.selectExpr(
-        "customers", "round(avg_before, 6) as avg_before", "round(avg_after, 4) as avg_after",
-        "round(increment, 0) as increment", "round(growth, 8) as growth", "round(risk_before, 8) as risk_before",
-        "round(risk_after, 8) as risk_after", "excluded_customers", "median_limit_cap", "rate_bound_cells",
+        "customers", "round(avg_before + 1e-9, 6) as avg_before", "round(avg_after + 1e-9, 4) as avg_after",
+        "round(increment + 1e-9, 0) as increment", "round(growth + 1e-9, 8) as growth", "round(risk_before + 1e-9, 8) as risk_before",
+        "round(risk_after + 1e-9, 8) as risk_after", "excluded_customers", "median_limit_cap", "rate_bound_cells",
         "limit_bound_cells")
 
 
@@ -224,7 +209,7 @@ SELECT tier, COUNT(*) AS cells, CAST(SUM(settled) AS BIGINT) AS settled, CAST(SU
   ROUND(SUM(settled * settled_avg_limit * COALESCE(fpd7_rate, 0)) / SUM(settled * settled_avg_limit), 8) AS weighted_risk FROM pp GROUP BY tier""", *SOLVED))
 def tier_statistics(spark, sf_dir):
     df = P.tier_statistics(solved(spark, sf_dir))
-    return rounded(df, 8, ("increment",)).withColumn("increment", F.round("increment", 0))
+    return rounded(df, 8, ("increment",)).withColumn("increment", near("increment", 0))
 
 
 @register("use_rate_statistics", sql("""
@@ -232,7 +217,7 @@ SELECT use_rate, COUNT(*) AS cells, CAST(SUM(raised) AS BIGINT) AS raised, ROUND
   ROUND(SUM(increment), 0) AS increment FROM pp GROUP BY use_rate""", *SOLVED))
 def use_rate_statistics(spark, sf_dir):
     df = P.tier_statistics(solved(spark, sf_dir), "use_rate")
-    return df.selectExpr("use_rate", "cells", "raised", "round(avg_rate, 8) as avg_rate", "round(increment, 0) as increment")
+    return df.selectExpr("use_rate", "cells", "raised", "round(avg_rate + 1e-9, 8) as avg_rate", "round(increment + 1e-9, 0) as increment")
 
 
 STATS = {"score_level": "score_level", "use_rate": "use_rate", "loan_cnt": "CAST(loan_cnt AS VARCHAR)",
@@ -247,8 +232,8 @@ SELECT '{n}' AS key_set, {v} AS key_value, CAST(SUM(settled) AS BIGINT) AS settl
 def plan_statistics(spark, sf_dir):
     df = P.plan_statistics(solved(spark, sf_dir))
     return df.selectExpr(
-        "key_set", "key_value", "settled", "raised", "round(raised_share, 8) as raised_share", "round(avg_before, 4) as avg_before",
-        "round(avg_after, 4) as avg_after", "round(increment, 0) as increment", "round(weighted_rate, 8) as weighted_rate")
+        "key_set", "key_value", "settled", "raised", "round(raised_share + 1e-9, 8) as raised_share", "round(avg_before + 1e-9, 4) as avg_before",
+        "round(avg_after + 1e-9, 4) as avg_after", "round(increment + 1e-9, 0) as increment", "round(weighted_rate + 1e-9, 8) as weighted_rate")
 
 
 @register("rate_matrix", sql("SELECT use_rate, " + ", ".join(
@@ -256,7 +241,7 @@ def plan_statistics(spark, sf_dir):
     for i, t in enumerate(P.TEN_NAMES)) + " FROM pp WHERE ok GROUP BY use_rate", *SOLVED))
 def rate_matrix(spark, sf_dir):
     df = P.rate_matrix(solved(spark, sf_dir))
-    return df.select("use_rate", *[F.round(f"`{t}`", 6).alias(f"t{i}") for i, t in enumerate(P.TEN_NAMES)])
+    return df.select("use_rate", *[near(f"`{t}`", 6).alias(f"t{i}") for i, t in enumerate(P.TEN_NAMES)])
 
 
 @register("constraint_waterfall", sql(f"""
@@ -275,7 +260,7 @@ SELECT CAST(rm AS DOUBLE) AS rate_mult, CAST(lm AS DOUBLE) AS limit_mult, ROUND(
 FROM gr, (VALUES (1.0), (1.25), (1.5), (2.0), (3.0)) AS a(rm), (VALUES (1.0), (1.5), (2.0)) AS b(lm) GROUP BY rm, lm"""))
 def cap_sensitivity(spark, sf_dir):
     df = P.cap_sensitivity(grid(spark, sf_dir), TARGET)
-    return df.withColumns({"increment": F.round("increment", 2), "avg_after": F.round("avg_after", 4)})
+    return df.withColumns({"increment": near("increment", 2), "avg_after": near("avg_after", 4)})
 
 
 @register("cap_relaxation", sql(f"""
@@ -285,14 +270,14 @@ SELECT CAST(m AS DOUBLE) AS mult, ROUND(SUM({inc('CASE WHEN ok THEN rate_cap * m
 FROM gr, (VALUES (1.0), (1.2), (1.5), (2.0), (2.5), (3.0)) AS a(m) GROUP BY m"""))
 def cap_relaxation(spark, sf_dir):
     df = P.relaxation(grid(spark, sf_dir), TARGET)
-    return df.withColumns({"increment": F.round("increment", 2), "avg_after": F.round("avg_after", 4)})
+    return df.withColumns({"increment": near("increment", 2), "avg_after": near("avg_after", 4)})
 
 
 @register("smallest_relaxation", sql("""
 SELECT ROUND(MAX(x0 + (need - t0) / (t - t0) * (x - x0)), 8) AS k, TRUE AS reached FROM pts2, nd WHERE need > t0 AND need <= t""", *solver("rate_cap")))
 def smallest_relaxation(spark, sf_dir):
     df = P.smallest_relaxation(grid(spark, sf_dir), TARGET, hi=20.0)
-    return df.select(F.round("k", 8).alias("k"), "reached")
+    return df.select(near("k", 8).alias("k"), "reached")
 
 
 @register("full_scale", sql("""
@@ -300,7 +285,7 @@ SELECT ROUND(MAX(k), 8) AS k_star, COUNT(CASE WHEN ubase * rc * k >= rate_cap -
 FROM gr, (SELECT LEAST(MAX(rate_cap / (ubase * rc)), 3.0) AS k FROM gr WHERE ok) WHERE ok"""))
 def full_scale(spark, sf_dir):
     df = P.full_scale(grid(spark, sf_dir), P.rule_book()["use_base_by_risk_capped"])
-    return df.withColumn("k_star", F.round("k_star", 8))
+    return df.withColumn("k_star", near("k_star", 8))
 
 
 SEARCH_CASES = ", ".join(f"({h}, {m}, {lo})" for h in (2.4, 2.6, 2.8, 3.0) for m in (2.0, 2.2, 2.4, 2.6) for lo in (0.6, 0.7, 0.8, 0.9))
@@ -321,9 +306,9 @@ SELECT high, medium, low, ROUND(k, 8) AS k, ROUND(i, 0) AS increment, ROUND(mx,
   ROUND(medinc, 0) AS medium_increment FROM fs""", *SEARCH))
 def base_search(spark, sf_dir):
     df = P.base_search(grid(spark, sf_dir), TARGET)
-    return df.selectExpr("high", "medium", "low", "round(k, 8) as k", "round(increment, 0) as increment",
-                         "round(largest_rate, 8) as largest_rate", "round(low_increment, 0) as low_increment",
-                         "round(medium_increment, 0) as medium_increment")
+    return df.selectExpr("high", "medium", "low", "round(k + 1e-9, 8) as k", "round(increment + 1e-9, 0) as increment",
+                         "round(largest_rate + 1e-9, 8) as largest_rate", "round(low_increment + 1e-9, 0) as low_increment",
+                         "round(medium_increment + 1e-9, 0) as medium_increment")
 
 
 @register("compare_samples", "WITH " + ", ".join([*with_clause("fx_limit_result"), f"""gn AS (SELECT str_type, defq_use_rate_level AS use_rate, jq_customer_flag, LEAST(separate_installment_loan_cnt, 7) AS n,
@@ -359,8 +344,8 @@ SELECT loan_ser_node, flag_customer, COUNT(*) AS rows, ROUND(SUM(curr_loan_prin)
   ROUND(SUM(curr_loan_prin) / COUNT(*), 4) AS avg_loan FROM smp GROUP BY 1, 2"""))
 def segment_baseline(spark, sf_dir):
     df = P.segment_baseline(SC.sample(spark, sf_dir), SKEYS, SC.WEEK)
-    return df.selectExpr(*SKEYS, "rows", "round(amount, 2) as amount", "round(fpd7_dd, 8) as fpd7_dd",
-                         "round(avg_loan, 4) as avg_loan")
+    return df.selectExpr(*SKEYS, "rows", "round(amount + 1e-9, 2) as amount", "round(fpd7_dd + 1e-9, 8) as fpd7_dd",
+                         "round(avg_loan + 1e-9, 4) as avg_loan")
 
 
 @register("span_days", SC.sql("SELECT CAST(MAX(loan_week_begin) - MIN(loan_week_begin) + 7 AS INTEGER) AS span_days FROM smp"))
@@ -378,9 +363,9 @@ def penetration_sensitivity(spark, sf_dir):
     s = SC.sample(spark, sf_dir)
     df = P.penetration_sensitivity(
         S_suggestions(spark, sf_dir), P.segment_baseline(s, SKEYS, SC.WEEK), P.span_days(s, SC.WEEK), SKEYS)
-    return df.selectExpr("penetration", "up_rows", "round(new_amount, 2) as new_amount", "round(scale_up, 8) as scale_up",
-                         "round(new_per_day, 2) as new_per_day", "round(new_per_month, 2) as new_per_month",
-                         "round(mixed_rate, 8) as mixed_rate")
+    return df.selectExpr("penetration", "up_rows", "round(new_amount + 1e-9, 2) as new_amount", "round(scale_up + 1e-9, 8) as scale_up",
+                         "round(new_per_day + 1e-9, 2) as new_per_day", "round(new_per_month + 1e-9, 2) as new_per_month",
+                         "round(mixed_rate + 1e-9, 8) as mixed_rate")
 
 
 def S_suggestions(spark, sf_dir):
@@ -421,15 +406,15 @@ SELECT CAST(cover AS DOUBLE) AS cover, plan, CAST(pen AS DOUBLE) AS penetration,
   CAST(customers AS BIGINT) AS customers, ROUND(per_day, 2) AS new_per_day, per_day >= 1000 AND new_rate <= 0.35 AS qualifies FROM fq""", *FOUND))
 def plan_search(spark, sf_dir):
     return found(spark, sf_dir).selectExpr(
-        "cover", "plan", "penetration", "round(new_amount, 2) as new_amount", "round(new_rate, 8) as new_rate", "customers",
-        "round(new_per_day, 2) as new_per_day", "qualifies")
+        "cover", "plan", "penetration", "round(new_amount + 1e-9, 2) as new_amount", "round(new_rate + 1e-9, 8) as new_rate", "customers",
+        "round(new_per_day + 1e-9, 2) as new_per_day", "qualifies")
 
 
 @register("best_plan", SC.sql("""
 SELECT CAST(cover AS DOUBLE) AS cover, plan, CAST(pen AS DOUBLE) AS penetration, ROUND(new_rate, 8) AS new_rate, ROUND(per_day, 2) AS new_per_day FROM win""", *FOUND))
 def best_plan(spark, sf_dir):
     return P.best_plan(found(spark, sf_dir)).selectExpr(
-        "cover", "plan", "penetration", "round(new_rate, 8) as new_rate", "round(new_per_day, 2) as new_per_day")
+        "cover", "plan", "penetration", "round(new_rate + 1e-9, 8) as new_rate", "round(new_per_day + 1e-9, 2) as new_per_day")
 
 
 DETAIL = [*FOUND, f"""dt AS (SELECT b.*, CASE WHEN lift < 0.25 THEN 'tier1' WHEN lift < 0.5 THEN 'tier2' ELSE 'tier3' END AS plan_tier,
@@ -441,7 +426,7 @@ DETAIL = [*FOUND, f"""dt AS (SELECT b.*, CASE WHEN lift < 0.25 THEN 'tier1' WHEN
 SELECT loan_ser_node, flag_customer, bin_no, cnt, plan_tier, raise_ratio, ROUND(amt * raise_ratio * pen / d, 4) AS new_per_day FROM dt""", *DETAIL))
 def plan_detail(spark, sf_dir):
     df = P.plan_detail(best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.sample(spark, sf_dir), SC.WEEK))
-    return df.selectExpr(*SKEYS, "bin_no", "cnt", "plan_tier", "raise_ratio", "round(new_per_day, 4) as new_per_day")
+    return df.selectExpr(*SKEYS, "bin_no", "cnt", "plan_tier", "raise_ratio", "round(new_per_day + 1e-9, 4) as new_per_day")
 
 
 @register("plan_tier_summary", SC.sql("""
@@ -450,5 +435,5 @@ SELECT plan_tier, COUNT(*) AS bins, CAST(SUM(cnt) AS BIGINT) AS customers, ROUND
 def plan_tier_summary(spark, sf_dir):
     df = P.plan_tier_summary(P.plan_detail(
         best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.sample(spark, sf_dir), SC.WEEK)))
-    return df.selectExpr("plan_tier", "bins", "customers", "round(loan_amount, 2) as loan_amount",
-                         "round(new_per_day, 4) as new_per_day", "round(rate, 8) as rate")
+    return df.selectExpr("plan_tier", "bins", "customers", "round(loan_amount + 1e-9, 2) as loan_amount",
+                         "round(new_per_day + 1e-9, 4) as new_per_day", "round(rate + 1e-9, 8) as rate")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import attribution_sql as q
 from catalog.attribution import full_run, raw_facts
+from catalog.rounding import near, registry
 from pathlift.functions.paths import from_canonical
 from pathlift.operators import daily as D, panel as L, status as S
 from pathlift.plans import publish as P, read_queries as R
@@ -15,24 +16,13 @@ from pathlift.session import cut_lineage, shared_dir
 from pathlift.sources.fixtures import TEST_CONFIG as CFG, view, with_clause
 from pathlift.sources.store import RunStore
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES, ORACLE, register = registry()
 _CACHE: dict = {}
 OLD_PT, NEW_PT = "20240129", "20240130"
 TRACKED_PATH = "traffic_channel=purchase"
 TRACKED_ID = hashlib.sha1(TRACKED_PATH.encode()).hexdigest()[:12]
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return wrap
-
-
 def cached(kind: str, spark: SparkSession, sf_dir: str, make):
     key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
@@ -219,7 +209,7 @@ FROM wr JOIN top ON top.id = wr.id LEFT JOIN panel p ON p.alert_id = wr.id AND p
 GROUP BY wr.id, wr.w, wr.primary_window, wr.o"""))
 def window_approvals(spark, sf_dir):
     df = L.window_approvals(full_run(spark, sf_dir).alerts, panel(spark, sf_dir))
-    return df.withColumns({c: F.round(c, 6) for c in ("approval_rate_pct", "cid_approval_rate_pct")})
+    return df.withColumns({c: near(c, 6) for c in ("approval_rate_pct", "cid_approval_rate_pct")})
 
 
 @register("trend_context", q.query(q.base(), """
@@ -239,7 +229,7 @@ SELECT alert_id, date, application_count, total_application_count, ROUND(share,
   ROUND(rate, 6) AS approval_rate_pct, cid_cnt, approval_cid_cnt, ROUND(prate, 6) AS cid_approval_rate_pct FROM trend"""))
 def path_trend_rows(spark, sf_dir):
     df = L.trend_rows(panel(spark, sf_dir), 15)
-    return df.withColumns({c: F.round(c, 6) for c in
+    return df.withColumns({c: near(c, 6) for c in
                            ("application_share_pct", "approval_rate_pct", "cid_approval_rate_pct")})
 
 
@@ -258,7 +248,7 @@ SELECT alert_id, COUNT(*) AS period_days, SUM(application_count) AS period_appli
 def path_trend_summary(spark, sf_dir):
     df = L.trend_summary(L.trend_rows(panel(spark, sf_dir), 15))
     rounded = [c for c in df.columns if c.endswith("_pct")]
-    return df.withColumns({c: F.round(c, 6) for c in rounded})
+    return df.withColumns({c: near(c, 6) for c in rounded})
 
 
 # --- status --------------------------------------------------------------------------------------------------------
@@ -414,9 +404,9 @@ LEFT JOIN (SELECT day, SUM(cnt) AS n, SUM(approval_cnt) AS a, SUM(cid_cnt) AS c,
 def path_trend(spark, sf_dir):
     df = R.path_trend(store(spark, sf_dir), NEW_PT, TRACKED_ID, 7)
     return df.select(
-        "alert_id", "date", "application_count", F.round("application_share_pct", 6).alias("application_share_pct"),
-        F.round("item_approval_ratio", 6).alias("item_approval_ratio"),
-        F.round("person_approval_ratio", 6).alias("person_approval_ratio"))
+        "alert_id", "date", "application_count", near("application_share_pct", 6).alias("application_share_pct"),
+        near("item_approval_ratio", 6).alias("item_approval_ratio"),
+        near("person_approval_ratio", 6).alias("person_approval_ratio"))
 
 
 @register("tracked_rule_followup", f"""
@@ -435,7 +425,7 @@ WITH a AS ({summary_sql(OLD_PT)}), b AS ({summary_sql(NEW_PT)})
 {' UNION ALL '.join(f"SELECT '{c}' AS field, ROUND(CAST(a.{c} AS DOUBLE), 8) AS value_a, ROUND(CAST(b.{c} AS DOUBLE), 8) AS value_b, ROUND(CAST(b.{c} AS DOUBLE) - CAST(a.{c} AS DOUBLE), 8) AS delta FROM a, b" for c in SUMMARY_FIELDS)}""")
 def compare_partitions(spark, sf_dir):
     df = R.compare_partitions(store(spark, sf_dir), OLD_PT, NEW_PT)
-    return df.select("field", *[F.round(c, 8).alias(c) for c in ("value_a", "value_b", "delta")])
+    return df.select("field", *[near(c, 8).alias(c) for c in ("value_a", "value_b", "delta")])
 
 
 @register("parity_check", q.query(q.base(), "SELECT CAST(0 AS BIGINT) AS differing_fields FROM kept WHERE rn = 1"))
@@ -468,7 +458,7 @@ def daily_digest(spark, sf_dir):
                          S.current_status(view(spark, sf_dir, "fx_status_log")))
     df = R.digest(rows, store(spark, sf_dir).snapshot("summary", NEW_PT))
     return df.drop("latest_day_change_pct", "level3_focus_path").withColumn(
-        "level2_plus_share_pct", F.round("level2_plus_share_pct", 6))
+        "level2_plus_share_pct", near("level2_plus_share_pct", 6))
 
 
 @register("alerts_with_seeds", q.query(pub(OLD_PT), """
@@ -487,6 +477,6 @@ def approval_warnings(spark, sf_dir):
     totals = D.Base.of(raw_facts(spark, sf_dir), CFG).totals
     df = L.approval_ratios(totals, "approval_cnt", "cnt", "approval_cid_cnt", "cid_cnt")
     return df.select(
-        "day", F.round("item_approval_ratio", 6).alias("item_approval_ratio"),
-        F.round("person_approval_ratio", 6).alias("person_approval_ratio"),
+        "day", near("item_approval_ratio", 6).alias("item_approval_ratio"),
+        near("person_approval_ratio", 6).alias("person_approval_ratio"),
         F.array_join("warnings", "; ").alias("warnings"))

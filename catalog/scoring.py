@@ -4,36 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.rounding import near, registry, rounded
 from pathlift.operators import running as U, scoring as S
 from pathlift.sources.fixtures import view, with_clause
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES, ORACLE, register = registry()
 KEYS = ("loan_ser_node", "flag_customer")
 MODELS = ("score_a", "score_b")
 WEEK = "loan_week_begin"
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return wrap
-
-
 def sample(spark, sf_dir):
     return S.prepare_sample(view(spark, sf_dir, "fx_score_sample"))
 
 
-def rounded(df, digits: int = 6, skip=()):
-    names = {n for n, t in df.dtypes if t == "double"} - set(skip)
-    return df.select(
-        *[F.round(F.col(c) + F.lit(1e-9), digits).alias(c) if c in names else F.col(c) for c in df.columns])
-
-
 BASE = [
     *with_clause("fx_score_sample"),
     """smp AS (SELECT *, CASE WHEN fpd7_fz_dd > 0 THEN 1 ELSE 0 END AS y, curr_loan_prin * curr_interest_ratio AS ci,
@@ -96,7 +80,7 @@ MONEY = ("avg_limit", "avg_loan", "next_avg_limit", "next_avg_loan")
 def metric_round(df):
     df = df.drop("loan_amount", "next_total_fee")
     money = [c for c in MONEY if c in df.columns]
-    return rounded(df, 6, tuple(money)).withColumns({c: F.round(F.col(c) + F.lit(1e-9), 4) for c in money})
+    return rounded(df, 6, tuple(money)).withColumns({c: near(c, 4) for c in money})
 
 
 @register("credit_metrics", sql(f"SELECT loan_ser_node, flag_customer, {METRICS} FROM smp GROUP BY 1, 2"))
@@ -206,7 +190,7 @@ def raise_suggestions(spark, sf_dir):
     df = S.raise_suggestions(binned(spark, sf_dir), KEYS).drop("bin_lo", "bin_hi", "bin_avg_limit", "segment_avg_limit")
     money = ("bin_avg_loan", "segment_avg_loan")
     return rounded(df, 6, (*money, "suggested_ratio")).withColumns(
-        {c: F.round(F.col(c) + F.lit(1e-9), 4) for c in money})
+        {c: near(c, 4) for c in money})
 
 
 @register("cumulative_score_counts", sql("""
@@ -221,7 +205,7 @@ def cumulative_score_counts(spark, sf_dir):
 def optimal_bins(spark, sf_dir):
     """Best cuts by information value. No SQL: the choice is a small search per segment, tested by brute force."""
     df = S.optimal_edges(sample(spark, sf_dir), KEYS, MODELS)
-    return df.selectExpr(*KEYS, "model", "size(edges) + 1 as bins", "round(iv, 9) as iv")
+    return df.selectExpr(*KEYS, "model", "size(edges) + 1 as bins", "round(iv + 1e-9, 9) as iv")
 
 
 @register("approximate_edges")
@@ -255,7 +239,7 @@ def score_stability(spark, sf_dir):
 SELECT ROUND(SUM(CASE WHEN b > 0 AND c > 0 THEN (c - b) * LN(c / b) ELSE 0 END), 8) AS psi_total, ROUND(MAX(ABS((c - b) * 100)), 6) AS largest_drift FROM ps""", *STAB))
 def score_stability_total(spark, sf_dir):
     return S.psi_total(stability(spark, sf_dir)).selectExpr(
-        "round(psi_total, 8) as psi_total", "round(largest_drift, 6) as largest_drift")
+        "round(psi_total + 1e-9, 8) as psi_total", "round(largest_drift + 1e-9, 6) as largest_drift")
 
 
 @register("gain_table", sql("""
