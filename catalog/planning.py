@@ -104,8 +104,8 @@ SELECT flag_customer, use_rate, loan_cnt, score_level, ROUND(acap, 8) AS amount_
   ROUND(CASE WHEN raised_avg_limit > 0 THEN GREATEST((limit_cap - raised_avg_limit) / raised_avg_limit, 0) ELSE 0 END, 8) AS limit_cap_rate FROM gr"""))
 def caps_as_rates(spark, sf_dir):
     return grid(spark, sf_dir).selectExpr(
-        *P.GRID_KEYS, f"round({P.amount_cap_rate('settled_avg_limit')}, 8) as amount_cap_rate",
-        f"round({P.limit_cap_rate('raised_avg_limit', 'limit_cap')}, 8) as limit_cap_rate")
+        *P.GRID_KEYS, f"round({P.amount_cap_rate('settled_avg_limit')} + 1e-9, 8) as amount_cap_rate",
+        f"round({P.limit_cap_rate('raised_avg_limit', 'limit_cap')} + 1e-9, 8) as limit_cap_rate")
 
 
 RULES = {

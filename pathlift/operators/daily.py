@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pathlift.config import AttributionConfig
 from pathlift.functions.scalars import normalize_value
+from pathlift.session import cut_lineage
 
 
 def check_columns(raw: DataFrame, cfg: AttributionConfig) -> None:
@@ -164,11 +165,10 @@ class Base:
         return cls(cfg, facts, totals, window_frame(totals, cfg))
 
     def materialised(self) -> "Base":
-        """Collapse to (combination, day) once and store it; the depths of a drilldown then read the small table."""
-        from pathlift.session import cut_lineage
-
+        """Collapse to (combination, day) once and store it with the day totals; the depths of a drilldown then
+        read the small tables."""
         facts = cut_lineage(collapse(self.facts, self.cfg))
-        totals = daily_totals(facts, self.cfg)
+        totals = cut_lineage(daily_totals(facts, self.cfg))
         return Base(self.cfg, facts, totals, window_frame(totals, self.cfg))
 
     def with_frame(self, df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pathlift.functions.paths import matches
 from pathlift.functions.scalars import normalize_value
@@ -54,18 +54,15 @@ def extended_sums(base: Base, seeds: DataFrame, fields: tuple[str, ...] | None =
     targets = fields or dims
     s = seeds.selectExpr(*[f"{d} as _s_{d}" for d in dims])
     joined = base.with_frame(base.facts.join(F.broadcast(s), matches(dims), "inner"))
-    ways = []
-    for t in targets:
-        values = ", ".join(f"'{d}', {d if d == t else '_s_' + d}" for d in dims)
-        ways.append(f"if(_s_{t} is null, named_struct({values}, '_via', '{t}'), null)")
-    steps = F.expr(f"array_compact(array({', '.join(ways)}))")
-    sums = (
-        joined.select("day", cfg.count_field, "_frame", F.explode(steps).alias("p"))
-        .select("day", cfg.count_field, "_frame", "p.*")
-        .groupBy(*dims, "_via")
-        .agg(*window_sums(base), F.max(F.col(cfg.count_field) != 0).alias("_any"))
+    seed = [F.col(f"_s_{d}") for d in dims]
+    # One grouping set per extension dimension; the seed's own conditions are part of every key.
+    sums = joined.groupingSets([[*seed, F.col(t)] for t in targets], *[f"_s_{d}" for d in dims], *targets).agg(
+        *window_sums(base), F.max(F.col(cfg.count_field) != 0).alias("_any")
     )
-    return sums.where("_any").drop("_any", "_via").dropDuplicates(list(dims))
+    open_only = " and ".join(f"({t} is null or _s_{t} is null)" for t in targets)
+    path = [f"coalesce(_s_{d}, {d}) as {d}" if d in targets else f"_s_{d} as {d}" for d in dims]
+    figures = [c for c in sums.columns if c.startswith(("_obs", "_base"))]
+    return sums.where(f"_any and {open_only}").selectExpr(*path, *figures).dropDuplicates(list(dims))
 
 
 def eligible(records: DataFrame, floor: float | None) -> DataFrame:
@@ -142,7 +139,7 @@ def counters(single: DataFrame, pair: DataFrame, third: DataFrame, floor: float)
     pool = ~F.col("is_suppressed") & ((F.col("level") > 0) | (F.col("observation_count") >= floor))
     alert = ~F.col("is_suppressed") & (F.col("level") > 0)
 
-    def n(depth: int, cond) -> F.Column:
+    def n(depth: int, cond) -> Column:
         return F.count_if((F.col("depth") == depth) & cond)
 
     yes = F.lit(True)
@@ -167,16 +164,30 @@ class ExpertChain:
     suppressed: DataFrame
 
 
-def path_sums(base: Base, path: dict[str, str]) -> DataFrame:
-    """Window sums of one exact path; a row of zeros when the path has no data."""
-    cfg = base.cfg
-    rows = base.facts
-    for name, value in path.items():
-        rows = rows.where(F.col(name) == normalize_value(F.lit(value)))
-    dims = [(normalize_value(F.lit(path[d])) if d in path else F.lit(None).cast("string")).alias(d)
-            for d in cfg.dimensions]
-    sums = base.with_frame(rows).agg(*window_sums(base))
-    return sums.select(*dims, *sums.columns)
+def forced_sums(base: Base, first: tuple[str, str], second: tuple[str, str], third: str) -> DataFrame:
+    """Window sums of the forced path, of its second step, and of every value of the third field: one pass.
+
+    The two forced paths get a row of zeros when they have no data.
+    """
+    cfg, dims = base.cfg, base.cfg.dimensions
+    (f1, v1), (f2, v2) = ((f, normalize_value(F.lit(v))) for f, v in (first, second))
+    rows = base.facts.where(F.col(f1) == v1).select(
+        "day", cfg.count_field, v1.alias("_p1"), F.when(F.col(f2) == v2, v2).alias("_p2"), F.col(third).alias("_p3")
+    )
+    steps = ["_p1", "_p2", "_p3"]
+    sets = [[F.col(c) for c in steps[:n]] for n in (1, 2, 3)]
+    sums = base.with_frame(rows).groupingSets(sets, *steps).agg(
+        F.grouping_id().alias("_g"), *window_sums(base), F.max(F.col(cfg.count_field) != 0).alias("_any")
+    ).where("_g = 3 or (_p2 is not null and (_g = 1 or _any))")
+    figures = [c for c in sums.columns if c.startswith(("_obs", "_base"))]
+    zeros = base.frame.select(
+        v1.alias("_p1"), F.explode(F.array(F.lit(None).cast("string"), v2)).alias("_p2"),
+        F.lit(None).cast("string").alias("_p3"), *[F.lit(0.0).alias(c) for c in figures],
+    )
+    both = sums.select(*steps, *figures).unionByName(zeros).groupBy(*steps).agg(*[F.sum(c).alias(c) for c in figures])
+    placed = {f1: "_p1", f2: "_p2", third: "_p3"}
+    path = [f"{placed[d]} as {d}" if d in placed else f"cast(null as string) as {d}" for d in dims]
+    return both.selectExpr(*path, *figures)
 
 
 def expert_chain(base: Base, store_steps: bool = True) -> ExpertChain | None:
@@ -184,26 +195,25 @@ def expert_chain(base: Base, store_steps: bool = True) -> ExpertChain | None:
     cfg = base.cfg
     if len(cfg.expert_path) < 3:
         return None
-    keep = cut_lineage if store_steps else (lambda df: df)
-    first, second, third = cfg.expert_path[:3]
-    order = tuple(dict.fromkeys([first.field, second.field, third.field, *cfg.dimensions]))
-
-    def records(sums: DataFrame, step, note: str, enters: bool) -> DataFrame:
-        return as_records(
-            with_windows(sums, base), cfg, source=SOURCE_EXPERT, order=order, forced=True, rule_note=step.label,
-            drilldown_rule=note, enters_next_level=enters,
-        )
-
-    single = records(path_sums(base, {first.field: first.value}), first, NOTE_EXPERT[0], True)
-    pair_path = {first.field: first.value, second.field: second.value}
-    pair = records(path_sums(base, pair_path), second, NOTE_EXPERT[1], True)
-    seed = base.frame.select(
-        *[(normalize_value(F.lit(pair_path[d])) if d in pair_path else F.lit(None).cast("string")).alias(d)
-          for d in cfg.dimensions]
+    steps = cfg.expert_path[:3]
+    order = tuple(dict.fromkeys([*[s.field for s in steps], *cfg.dimensions]))
+    sums = forced_sums(base, (steps[0].field, steps[0].value), (steps[1].field, steps[1].value), steps[2].field)
+    every = as_records(with_windows(sums, base), cfg, source=SOURCE_EXPERT, order=order, forced=True)
+    depth = F.col("depth")
+
+    def by_depth(texts) -> Column:
+        return F.when(depth == 1, F.lit(texts[0])).when(depth == 2, F.lit(texts[1])).otherwise(F.lit(texts[2]))
+
+    every = every.withColumns(
+        {
+            "rule_note": by_depth([s.label for s in steps]),
+            "drilldown_rule": by_depth(NOTE_EXPERT),
+            "enters_next_level": depth < 3,
+        }
     )
-    last = records(extended_sums(base, seed, (third.field,)), third, NOTE_EXPERT[2], False)
-    every = keep(single.unionByName(pair).unionByName(last))
-    single, pair, last = (every.where(F.col("depth") == n) for n in (1, 2, 3))
+    if store_steps:
+        every = cut_lineage(every)
+    single, pair, last = (every.where(depth == n) for n in (1, 2, 3))
     return ExpertChain(
         single, pair, last,
         alerts=every.where("not is_suppressed and level > 0"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BANDS = 4096
+BANDS = 256
 SALTS = 16
 
 

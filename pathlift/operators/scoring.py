@@ -7,13 +7,16 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from pathlift.operators.panel import small_enough
 from pathlift.operators.running import running_totals, salted_join
+from pathlift.session import cut_lineage
 
 MIN_ROWS = 50
 ALL = "all"
 HORIZONS = ("fpd1", "fpd7", "fpd15")
 RATIO_TIERS = ((0.5, 0.50), (0.8, 0.30), (1.0, 0.15))
 MIN_BIN_ROWS = 100
+MAX_BROADCAST_EDGES = 100_000
 
 
 def prepare_sample(df: DataFrame, drop_marks: Sequence[str] = ("flag", "credit_use_type")) -> DataFrame:
@@ -61,7 +64,7 @@ def ks_auc(df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col:
     matured rows are left out.
     """
     by = [*keys] + (["slice"] if time_col else [])
-    counts = score_counts(df, keys, models, time_col)
+    counts = cut_lineage(score_counts(df, keys, models, time_col))
     run = running_totals(counts, [*by, "model"], "score", ("bad", "good"), ("model",))
     curve = run.groupBy(*by, "model").agg(
         F.max("bad_total").alias("bad"),
@@ -157,6 +160,7 @@ def quantile_edges(df: DataFrame, keys: Sequence[str], models: Sequence[str], bi
     the smallest or largest score and repeated edges drop out.
     """
     counts = score_counts(df, keys, models).withColumn("n", F.col("bad") + F.col("good")).drop("bad", "good")
+    counts = cut_lineage(counts)
     run = running_totals(counts, [*keys, "model"], "score", ("n",), ("model",))
 
     def at(position: str) -> str:
@@ -186,10 +190,18 @@ def approximate_edges(
 
 
 def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], spread: str) -> DataFrame:
-    """Sample rows per model with their left-closed bin; rows without a usable score drop out."""
+    """Sample rows per model with their left-closed bin; rows without a usable score drop out.
+
+    The edges (one row per segment and model) are counted first: a short list is broadcast, so no sample row
+    moves; a long one is joined with the hot segments salted.
+    """
     carry = [c for c in df.columns if c not in keys and c not in models]
     rows = long_scores(df, keys, models, carry)
-    joined = salted_join(rows, edges, [*keys, "model"], spread)
+    edges = cut_lineage(edges)
+    if small_enough(edges, MAX_BROADCAST_EDGES):
+        joined = rows.join(F.broadcast(edges), [*keys, "model"], "left")
+    else:
+        joined = salted_join(rows, edges, [*keys, "model"], spread)
     e = "coalesce(edges, cast(array() as array<double>))"
     return joined.selectExpr("*", f"size(filter({e}, x -> x <= score)) as _k", f"{e} as _e").selectExpr(
         *keys, "model", "score", *carry, "_k + 1 as bin_no",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Small test data: keep all cores busy instead of merging everything into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -40,13 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a step that later steps read more than once.
+    """Write a step that later steps read more than once, and go on from the written table.
 
-    A reliable checkpoint in the shared folder: the files outlive an executor, and the following steps plan
-    against a plain scan instead of repeating everything before it.
+    A parquet table in the shared folder: it outlives an executor, later steps plan against a plain scan instead
+    of repeating everything before it, read only the columns they need, and know its size when joining.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/pathlift-steps/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
