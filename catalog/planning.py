@@ -125,8 +125,8 @@ def rate_rules(spark, sf_dir):
     g, out = grid(spark, sf_dir), None
     for name, rule in P.rule_book().items():
         part = P.apply_rule(g, rule).agg(
-            F.lit(name).alias("rule"), F.expr("round(sum(increment), 2)").alias("increment"),
-            F.expr("round((sum(settled * settled_avg_limit) + sum(increment)) / sum(settled), 6)").alias("avg_after"))
+            F.lit(name).alias("rule"), F.expr("round(sum(increment) + 1e-9, 2)").alias("increment"),
+            F.expr("round((sum(settled * settled_avg_limit) + sum(increment)) / sum(settled) + 1e-9, 6)").alias("avg_after"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -47,16 +47,18 @@ def facts_in_range(
 ) -> DataFrame:
     """Facts of one partition and range: normalised dimensions, ``day``, measures.
 
-    The bounds are one-row scalar subqueries on the raw date column, so the scan receives them as ordinary
-    filters once they are known and row groups outside the range are skipped.
+    The range is looked up first (one row, one column read) and compared as literals of the date column's own
+    type: the scan then skips row groups outside it, which a filter known only at run time would not reach.
     """
     check_columns(raw, cfg)
-    bounds = window_range(raw, cfg, pt, offset)
-    when = F.col(cfg.date_field)
-    start = bounds.select("trend_start" if trend else "scan_start").scalar()
-    stop = bounds.select("end_exclusive").scalar()
-    return partition_slice(raw, cfg, pt).where((when >= start) & (when < stop)).select(
-        F.to_date(when).alias("day"),
+    rows = partition_slice(raw, cfg, pt)
+    bounds = window_range(raw, cfg, pt, offset).first()
+    if bounds is not None and bounds["table_date_max"] is not None:
+        when, kind = F.col(cfg.date_field), raw.schema[cfg.date_field].dataType
+        start = F.lit(bounds["trend_start" if trend else "scan_start"]).cast(kind)
+        rows = rows.where((when >= start) & (when < F.lit(bounds["end_exclusive"]).cast(kind)))
+    return rows.select(
+        F.to_date(cfg.date_field).alias("day"),
         *[normalize_value(d).alias(d) for d in cfg.dimensions],
         *[F.col(m).cast("double").alias(m) for m in cfg.measures],
     )

@@ -10,7 +10,7 @@ from pathlift.functions.paths import matches
 from pathlift.functions.scalars import normalize_value
 from pathlift.operators.daily import Base
 from pathlift.operators.metrics import (
-    SOURCE_EXPERT, SOURCE_TOPK, as_records, rank_order, window_sums, with_windows,
+    SOURCE_EXPERT, SOURCE_TOPK, as_records, rank_order, window_sums, with_amounts, with_windows,
 )
 from pathlift.session import cut_lineage
 
@@ -25,7 +25,8 @@ NOTE_JOINER = "；"
 def single_sums(base: Base) -> DataFrame:
     """Every dimension in one pass: one grouping set per dimension, NULL marks the others as open."""
     dims = base.cfg.dimensions
-    return base.with_frame(base.facts).groupingSets([[F.col(d)] for d in dims], *dims).agg(*window_sums(base))
+    rows = with_amounts(base.facts, base)
+    return rows.groupingSets([[F.col(d)] for d in dims], *dims).agg(*window_sums(base))
 
 
 def value_daily(base: Base) -> DataFrame:
@@ -53,7 +54,7 @@ def extended_sums(base: Base, seeds: DataFrame, fields: tuple[str, ...] | None =
     cfg, dims = base.cfg, base.cfg.dimensions
     targets = fields or dims
     s = seeds.selectExpr(*[f"{d} as _s_{d}" for d in dims])
-    joined = base.with_frame(base.facts.join(F.broadcast(s), matches(dims), "inner"))
+    joined = with_amounts(base.facts, base).join(F.broadcast(s), matches(dims), "inner")
     seed = [F.col(f"_s_{d}") for d in dims]
     # One grouping set per extension dimension; the seed's own conditions are part of every key.
     sums = joined.groupingSets([[*seed, F.col(t)] for t in targets], *[f"_s_{d}" for d in dims], *targets).agg(
@@ -174,9 +175,10 @@ def forced_sums(base: Base, first: tuple[str, str], second: tuple[str, str], thi
     rows = base.facts.where(F.col(f1) == v1).select(
         "day", cfg.count_field, v1.alias("_p1"), F.when(F.col(f2) == v2, v2).alias("_p2"), F.col(third).alias("_p3")
     )
+    rows = with_amounts(rows, base)
     steps = ["_p1", "_p2", "_p3"]
     sets = [[F.col(c) for c in steps[:n]] for n in (1, 2, 3)]
-    sums = base.with_frame(rows).groupingSets(sets, *steps).agg(
+    sums = rows.groupingSets(sets, *steps).agg(
         F.grouping_id().alias("_g"), *window_sums(base), F.max(F.col(cfg.count_field) != 0).alias("_any")
     ).where("_g = 3 or (_p2 is not null and (_g = 1 or _any))")
     figures = [c for c in sums.columns if c.startswith(("_obs", "_base"))]

@@ -19,15 +19,24 @@ SOURCE_TOPK = "Top-K"
 SOURCE_EXPERT = "专家规则"
 
 
+def with_amounts(rows: DataFrame, base: Base) -> DataFrame:
+    """Split each row's count into observed and baseline amounts per window, once, before rows are multiplied by
+    dimensions or seeds."""
+    out: list[str] = []
+    count = f"coalesce({base.cfg.count_field}, 0D)"
+    for i, _ in enumerate(base.cfg.windows):
+        start = f"_frame.windows[{i}].observation_start"
+        out.append(f"if(day >= {start} and day <= _frame.last_day, {count}, 0D) as _o{i}")
+        out.append(f"if(day >= _frame.first_day and day < {start}, {count}, 0D) as _b{i}")
+    return base.with_frame(rows).selectExpr(*rows.columns, *out)
+
+
 def window_sums(base: Base) -> list[Column]:
-    """Conditional sums per window; the aggregate runs map-side first, so no value or day becomes a hot task."""
+    """Sums of the amounts; the aggregate runs map-side first, so no value or day becomes a hot task."""
     out: list[Column] = []
     for i, _ in enumerate(base.cfg.windows):
-        start = f"_frame.windows[{i}].observation_start"
-        seen = f"day >= {start} and day <= _frame.last_day"
-        before = f"day >= _frame.first_day and day < {start}"
-        out.append(F.expr(f"coalesce(sum(if({seen}, {base.cfg.count_field}, 0D)), 0D) as _obs{i}"))
-        out.append(F.expr(f"coalesce(sum(if({before}, {base.cfg.count_field}, 0D)), 0D) as _base{i}"))
+        out.append(F.expr(f"coalesce(sum(_o{i}), 0D) as _obs{i}"))
+        out.append(F.expr(f"coalesce(sum(_b{i}), 0D) as _base{i}"))
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pathlift.config import AttributionConfig
 from pathlift.operators.daily import Base
-from pathlift.operators.metrics import as_records, window_sums, with_windows
+from pathlift.operators.metrics import as_records, window_sums, with_amounts, with_windows
 from pathlift.operators.panel import path_rows, small_enough
 
 OPEN = (1, 2)
@@ -127,10 +127,10 @@ def tracked_records(base: Base, rules: DataFrame) -> DataFrame:
     data still gets a record of zeros.
     """
     cfg, dims = base.cfg, base.cfg.dimensions
-    rows = path_rows(base.facts, rules.select("canonical_path", "entered_day", *dims).withColumnRenamed(
+    rows = path_rows(with_amounts(base.facts, base), rules.select("canonical_path", "entered_day", *dims).withColumnRenamed(
         "canonical_path", "_rule"), cfg, small_enough(rules))
     later = rows.where("entered_day is null or day >= entered_day")
-    sums = base.with_frame(later).groupBy("_rule").agg(*window_sums(base))
+    sums = later.groupBy("_rule").agg(*window_sums(base))
     figures = [c for c in sums.columns if c != "_rule"]
     filled = rules.join(sums, rules["canonical_path"] == sums["_rule"], "left").select(
         *dims, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in figures]
