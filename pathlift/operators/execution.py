@@ -335,3 +335,12 @@ def top_groups(joined: DataFrame, mapped: bool, k: int = 100) -> DataFrame:
         joined.where(cond).select(*KEYS, "cnt", "expected_rate")
         .orderBy(F.desc("cnt"), *[F.asc(k_) for k_ in KEYS]).limit(k)
     )
+
+
+def by_volume(cells: DataFrame) -> DataFrame:
+    """Cell report in reading order: largest cells first, then the key."""
+    return cells.orderBy(F.desc("total_cnt"), *[F.asc(c) for c in CELL])
+
+
+def top_mismatch_cells(cells: DataFrame, k: int = 10) -> DataFrame:
+    return cells.where("mismatch_cnt > 0").orderBy(F.desc("mismatch_cnt"), *[F.asc(c) for c in CELL]).limit(k)

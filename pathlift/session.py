@@ -32,14 +32,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return builder.getOrCreate()
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    fallback = tempfile.mkdtemp(prefix="pathlift-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="pathlift-steps-")
+    return _FALLBACK[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -161,3 +161,46 @@ def test_config_round_trip_and_fingerprint():
     assert (cfg.single_limit, cfg.pair_limit) == (3, 2)
     assert cfg.run_id("20260101") == AttributionConfig.from_dict(raw).run_id("20260101")
     assert cfg.fingerprint() != cfg.with_(lookback_days=7).fingerprint()
+
+
+def test_ingest_and_reports(spark, tmp_path):
+    from pathlift.sources.store import RunStore
+
+    source = tmp_path / "in"
+    (source / "daily_trend").mkdir(parents=True)
+    (source / "daily_trend" / "part.json").write_text('{"date": "2026-08-01", "application_count": 5.0}\n')
+    store = RunStore(spark, str(tmp_path / "store"))
+    assert store.read("alerts").count() == 0
+    for _ in range(2):
+        store.ingest(str(source), "20260801_0_x", "20260801", 0, ("daily_trend",))
+    rows = store.snapshot("daily_trend", "20260801").collect()
+    assert [(r.date, r.application_count, r.cid_cnt) for r in rows] == [(dt.date(2026, 8, 1), 5.0, None)]
+    assert store.latest_partition().first()[0] == "20260801"
+    df = spark.sql("select 'k' as k, map('0.5', 2) as m, array(1, 2) as a")
+    T.write_report(df, str(tmp_path / "csv"), ("m", "k"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first().m.replace("\\", "") == '{"0.5":2}'
+    T.write_report(df, str(tmp_path / "json"), ("k", "a"), fmt="json")
+    assert spark.read.json(str(tmp_path / "json")).first().a == [1, 2]
+
+
+def test_published_index_keeps_newest_per_key(spark, tmp_path):
+    from pathlift.sources.store import RunStore
+
+    store = RunStore(spark, str(tmp_path / "s"))
+    for run in ("20260801_0_a", "20260801_0_b"):
+        store.publish_pointer(run, "20260801", 0)
+    assert [r.run_id for r in store.published().collect()] == ["20260801_0_b"]
+
+
+def test_solver_on_a_hand_made_grid(spark):
+    from pathlift.operators import planning as P
+
+    grid = spark.createDataFrame(
+        [("c", "1", 1, "5", 100, 1000.0, 50, 1000.0, 0.03, 0.5, 1200.0, True),
+         ("c", "2", 1, "4", 100, 1000.0, 50, 1000.0, 0.15, 0.2, 9000.0, True)],
+        "flag_customer string, use_rate string, loan_cnt int, score_level string, settled bigint, settled_avg_limit double,"
+        " raised bigint, raised_avg_limit double, fpd7_rate double, rate_cap double, limit_cap double, eligible boolean")
+    # First cell: 25,000 k up to 10,000 at k = 0.4; second: 10,000 k. Need 200 customers x 65 = 13,000.
+    found = P.solve_scale(grid, P.rule_book()["table_cap"], 1065.0).first()
+    assert found.reached and found.k == pytest.approx(0.4 + (13_000 - 14_000) / 35_000)
+    assert P.solve_scale(grid, P.rule_book()["table_cap"], 1075.0).first().k == pytest.approx(0.5)
