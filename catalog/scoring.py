@@ -157,7 +157,9 @@ def binned_metrics(spark, sf_dir):
 
 def binned(spark, sf_dir):
     s = sample(spark, sf_dir)
-    return S.binned_metrics(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS, WEEK, "businessid")
+    counts = S.stored_counts(s, KEYS, MODELS)
+    edges = S.quantile_edges(s, KEYS, MODELS, counts=counts)
+    return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, "businessid", counts)
 
 
 @register("bin_ordinals", sql("""

@@ -57,14 +57,22 @@ def score_counts(df: DataFrame, keys: Sequence[str], models: Sequence[str], time
     return both.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
 
 
-def ks_auc(df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None) -> DataFrame:
+def stored_counts(df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None) -> DataFrame:
+    """Score counts written once; KS, AUC and quantile edges of the same segments can share them."""
+    return cut_lineage(score_counts(df, keys, models, time_col))
+
+
+def ks_auc(
+    df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Exact KS and AUC per segment and model on matured rows, independent of the score's direction.
 
     NULL below fifty scored rows, with one class, or with one distinct score; segments with fewer than fifty
     matured rows are left out.
     """
     by = [*keys] + (["slice"] if time_col else [])
-    counts = cut_lineage(score_counts(df, keys, models, time_col))
+    counts = stored_counts(df, keys, models, time_col) if counts is None else counts
     run = running_totals(counts, [*by, "model"], "score", ("bad", "good"), ("model",))
     curve = run.groupBy(*by, "model").agg(
         F.max("bad_total").alias("bad"),
@@ -153,15 +161,17 @@ def credit_metrics_sliced(df: DataFrame, keys: Sequence[str], time_col: str) ->
     return both.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
 
 
-def quantile_edges(df: DataFrame, keys: Sequence[str], models: Sequence[str], bins: int = 5) -> DataFrame:
+def quantile_edges(
+    df: DataFrame, keys: Sequence[str], models: Sequence[str], bins: int = 5, counts: DataFrame | None = None
+) -> DataFrame:
     """Inner edges of equal-frequency bins per (keys, model), exact with linear interpolation.
 
     Positions are looked up in the running counts of distinct scores, so no group is buffered. Edges equal to
     the smallest or largest score and repeated edges drop out.
     """
-    counts = score_counts(df, keys, models).withColumn("n", F.col("bad") + F.col("good")).drop("bad", "good")
-    counts = cut_lineage(counts)
-    run = running_totals(counts, [*keys, "model"], "score", ("n",), ("model",))
+    counts = stored_counts(df, keys, models) if counts is None else counts
+    sized = counts.withColumn("n", F.col("bad") + F.col("good")).drop("bad", "good")
+    run = running_totals(sized, [*keys, "model"], "score", ("n",), ("model",))
 
     def at(position: str) -> str:
         return f"max(if(n_before <= {position} and {position} < n_before + n, score, null))"
@@ -211,7 +221,8 @@ def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Se
 
 
 def binned_metrics(
-    df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str, spread: str
+    df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str, spread: str,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Credit metrics per bin and slice, lift against the segment's rate in the same slice, best-model flag."""
     rows = assign_bins(df, edges, keys, models, spread)
@@ -222,7 +233,7 @@ def binned_metrics(
         [[*base, F.col(time_col)], base], *keys, time_col
     ).agg(F.grouping(time_col).alias("_all"), F.expr("try_divide(sum(fpd7_fz_dd), sum(fpd7_fm_dd)) as segment_fpd7_dd"))
     rate = rate.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
-    best = best_model(ks_auc(df, keys, models), keys, models).select(*keys, "best_model")
+    best = best_model(ks_auc(df, keys, models, counts=counts), keys, models).select(*keys, "best_model")
     return metrics.join(rate, [*keys, "slice"], "left").join(best, list(keys), "left").withColumns(
         {
             "fpd7_dd_lift": F.expr("try_divide(fpd7_dd, segment_fpd7_dd)"),
@@ -266,8 +277,8 @@ def optimal_edges(
     Spark cuts every segment into at most ``pre_bins`` fine bins and counts them; the choice of cuts works on
     those few counts per segment, whatever the number of rows behind them.
     """
-    fine = quantile_edges(df, keys, models, pre_bins)
-    counts = score_counts(df, keys, models)
+    counts = stored_counts(df, keys, models)
+    fine = quantile_edges(df, keys, models, pre_bins, counts)
     placed = salted_join(counts, fine, [*keys, "model"], "score").selectExpr(
         *keys, "model", "bad", "good", "size(filter(edges, x -> x <= score)) as fine_no",
         "if(size(filter(edges, x -> x <= score)) = 0, double('-infinity'),"
