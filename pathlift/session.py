@@ -36,14 +36,20 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only under a local master, where driver and executors are one process. On a
+    cluster a missing setting is an error: each executor would write its steps to its own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="pathlift-steps-")
-    return _FALLBACK[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="pathlift-steps-")
+    return _FALLBACK[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
