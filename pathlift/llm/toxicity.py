@@ -30,7 +30,8 @@ DIMENSIONS = 8
 #: N-grams of nothing that every mean counts in, so that a text of few words stays near the bias.
 PRIOR = 120.0
 SPREAD = 0.01
-EPOCHS = 6
+#: Documents shown in training, over and over for a small sample.
+SHOWN = 12_000
 BATCH = 16
 RATE = 0.3
 WORDS_KEPT = 300_000
@@ -85,7 +86,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     bias = np.zeros(2, np.float32)
     seen_v, seen_l, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-8), np.full(2, 1e-8)
     weight = np.where(labels == 1, n / (2 * labels.sum()), n / (2 * (n - labels.sum())))
-    for _ in range(EPOCHS):
+    for _ in range(math.ceil(SHOWN / n)):
         order = random.permutation(n)
         for at in range(0, n, BATCH):
             rows = order[at : at + BATCH]
