@@ -42,7 +42,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         .select("size", "run", F.monotonically_increasing_id().alias("grp"))
     )
     text = F.col("row")[text_col] if in_row else F.col("apart")
-    joined = keyed.join(keys, ["size", "run"], "left").withColumn("_body", normalised(text).cast("binary"))
+    # Merge joins throughout: neither side has a bound, and hot groups can be split.
+    joined = keyed.join(keys.hint("merge"), ["size", "run"], "left").withColumn("_body", normalised(text).cast("binary"))
     state = cut_lineage(joined.select(
         "row", "id", "size", "grp", F.sha2("_body", 256).alias("sha"), F.monotonically_increasing_id().alias("rid"),
         F.when(F.col("grp").isNotNull(), F.col("_body").substr(F.lit(FIRST_RUN + 1), F.col("size"))).alias("rest"),
@@ -60,7 +61,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             F.monotonically_increasing_id().alias("next"),
         ))
         more = not split.where("not ended").isEmpty()
-        stepped = cut.join(split, ["grp", "run"]).select(
+        stepped = cut.join(split.hint("merge"), ["grp", "run"]).select(
             "row", "id", "size", "sha", "rid", F.col("rest").substr(F.lit(width + 1), F.col("size")).alias("rest"),
             F.col("next").alias("grp"), "n", "first", "ended",
         )
