@@ -25,7 +25,7 @@ _ONES_16, _LOW_32 = 0x0001000100010001, 0x0000FFFF0000FFFF
 
 
 def _weight(word: Column) -> Column:
-    return F.least(F.ceil(F.length(word) / 4), F.lit(HEAVIEST)).cast("long")
+    return F.when(word.isNull(), 0).otherwise(F.least(F.ceil(F.length(word) / 4), F.lit(HEAVIEST))).cast("long")
 
 
 def _terms(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -35,8 +35,8 @@ def _terms(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
         *keys, F.arrays_zip("a", F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))).alias("b")).alias("pair"))
     rows = zipped.select(*keys, F.posexplode_outer("pair").alias("pos", "t"))
     word, follower = F.col("t")["a"], F.col("t")["b"]
-    single = F.coalesce(_weight(word), F.lit(0).cast("long"))
-    double = F.coalesce(single + _weight(follower), F.lit(0).cast("long"))
+    single = _weight(word)
+    double = F.when(follower.isNull(), 0).otherwise(single + _weight(follower)).cast("long")
     out = rows.select(
         *keys, F.floor(F.col("pos") / CHUNK_WORDS).alias("chunk"), single.alias("w1"), double.alias("w2"),
         *[F.xxhash64(word, F.lit(p)).alias(f"h1_{p}") for p in range(PARTS)],
