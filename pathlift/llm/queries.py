@@ -99,7 +99,7 @@ def _line_dedup_sql() -> str:
 WITH raw AS (
   SELECT row_number() OVER () AS rid, page_id,
          nullif(lower(regexp_extract(url, {_literal(line_dedup.HOST)}, 1)), '') AS host,
-         coalesce(list_filter(list_transform(string_split({text}, chr(10)), x -> {tidy}), x -> x <> ''), []) AS lines
+         coalesce(list_filter(list_transform(string_split({text}, chr(10)), lambda x: {tidy}), lambda x: x <> ''), []) AS lines
   FROM pages),
 listed AS (SELECT rid, host, unnest(list_distinct(lines)) AS line FROM raw WHERE host IS NOT NULL),
 counted AS (SELECT host, line, count(*) AS n FROM listed GROUP BY ALL),
@@ -109,7 +109,7 @@ bad AS (
   WHERE n >= {line_dedup.LEAST_PAGES} AND n > total * {line_dedup.RATIO}),
 hits AS (SELECT rid, list(listed.line) AS gone FROM listed JOIN bad USING (host, line) GROUP BY rid),
 left_over AS (
-  SELECT page_id, host, lines, list_filter(lines, x -> NOT list_contains(coalesce(gone, []), x)) AS rest
+  SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS rest
   FROM raw LEFT JOIN hits USING (rid))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, len(rest)::BIGINT AS n_kept,
        coalesce(array_to_string(rest, chr(10)), '') AS text
