@@ -53,10 +53,11 @@ def facts_in_range(
     check_columns(raw, cfg)
     rows = partition_slice(raw, cfg, pt)
     bounds = window_range(raw, cfg, pt, offset).first()
-    if bounds is not None and bounds["table_date_max"] is not None:
-        when, kind = F.col(cfg.date_field), raw.schema[cfg.date_field].dataType
-        start = F.lit(bounds["trend_start" if trend else "scan_start"]).cast(kind)
-        rows = rows.where((when >= start) & (when < F.lit(bounds["end_exclusive"]).cast(kind)))
+    if bounds is None or bounds["table_date_max"] is None:
+        raise ValueError(f"no dates in {cfg.date_field} of the partition {pt}")
+    when, kind = F.col(cfg.date_field), raw.schema[cfg.date_field].dataType
+    start = F.lit(bounds["trend_start" if trend else "scan_start"]).cast(kind)
+    rows = rows.where((when >= start) & (when < F.lit(bounds["end_exclusive"]).cast(kind)))
     return rows.select(
         F.to_date(cfg.date_field).alias("day"),
         *[normalize_value(d).alias(d) for d in cfg.dimensions],

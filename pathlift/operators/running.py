@@ -15,15 +15,15 @@ def running_totals(
 ) -> DataFrame:
     """Per (keys, value): ``<m>_before`` (sum over smaller values) and ``<m>_total`` (sum of the group).
 
-    ``df`` has one row per (keys, value). The value range of each ``band_keys`` group (a few model names) is cut
-    into equal bands; running sums are taken inside a band and over the band totals of a group, at most
-    ``bands`` rows. A group with a third of all rows is therefore spread over many tasks, and the result is exact.
+    ``df`` has one row per (keys, value). The values of each ``band_keys`` group (a few model names) are cut at
+    their quantiles, from a mergeable sketch, so that bands hold about as many rows each however the values lie;
+    running sums are taken inside a band and over the band totals of a group, at most ``bands`` rows. A group with
+    a third of all rows is therefore spread over many tasks. Wherever the cuts fall, the result is exact.
     """
-    ranges = df.groupBy(*band_keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    banded = df.join(F.broadcast(ranges), list(band_keys)).withColumn(
-        "_band",
-        F.expr(f"if(_hi > _lo, least(int(floor(({value} - _lo) / (_hi - _lo) * {bands})), {bands - 1}), 0)"),
-    ).drop("_lo", "_hi")
+    shares = F.array(*[F.lit(i / bands) for i in range(1, bands)])
+    cuts = df.groupBy(*band_keys).agg(F.percentile_approx(value, shares, F.lit(40 * bands)).alias("_cuts"))
+    banded = df.join(cuts, list(band_keys), "left").withColumn(
+        "_band", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(value))), F.lit(0))).drop("_cuts")
     by = [*keys, "_band"]
     over_bands = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)

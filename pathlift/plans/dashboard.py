@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathlift.config import AttributionConfig
 from pathlift.functions.paths import matches
+from pathlift.functions.scalars import normalize_value
 from pathlift.operators.daily import Base, kept_days, window_range, window_table
 from pathlift.operators.drill import (
     Drilldown, ExpertChain, expert_chain, highlight, merge_alerts, merge_suppressed, ranked, topk_drilldown,
@@ -52,7 +53,7 @@ class Dashboard:
         seed = F.lit(0.0)
         if cfg.expert_path:
             first = cfg.expert_path[0]
-            seed = F.when(F.col(first.field) == F.lit(first.value), F.col(cfg.count_field)).otherwise(F.lit(0.0))
+            seed = F.when(F.col(first.field) == normalize_value(F.lit(first.value)), F.col(cfg.count_field)).otherwise(F.lit(0.0))
         focus = self.highlight.selectExpr("named_struct(" + ", ".join(f"'{d}', {d}" for d in dims) + ") as p")
         rows = facts.withColumn("_focus", focus.scalar())
         on_focus = F.col("_focus").isNotNull() & matches(dims, path="_focus.")

@@ -9,7 +9,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from pathlift.config import AttributionConfig
-from pathlift.operators.daily import facts_in_range
+from pathlift.operators.daily import facts_in_range, partition_slice
 from pathlift.operators.drill import ranked
 from pathlift.operators.panel import path_daily, small_enough, window_approvals
 from pathlift.operators.status import apply_tracked, tracked_records
@@ -32,6 +32,12 @@ def window_rows(records: DataFrame, approvals: DataFrame) -> DataFrame:
     return flat.join(approvals.drop("is_primary"), ["alert_id", "window_key"], "left")
 
 
+def numbered(records: DataFrame, limit: int, among: str = "true") -> DataFrame:
+    """All records; ranks are given up to the limit, and what lies beyond (or is not ranked) shares the last one."""
+    first = cut_lineage(ranked(records.where(among), limit).select("id", "sort_rank").dropDuplicates(["id"]))
+    return records.join(first, "id", "left").withColumn("sort_rank", F.coalesce("sort_rank", F.lit(limit)))
+
+
 def publish(
     raw: DataFrame,
     cfg: AttributionConfig,
@@ -43,6 +49,8 @@ def publish(
 ) -> dict:
     """Compute and store one (pt, offset). ``tracked``: canonical_path, status, entered_day, dimension columns."""
     clock = {"start": time.time()}
+    if partition_slice(raw, cfg, pt).isEmpty():
+        raise ValueError(f"partition {pt} has no rows; nothing was stored")
     dash = build(raw, cfg, pt, offset)
     clock["computed"] = time.time()
     run_id = cfg.run_id(pt, offset)
@@ -55,10 +63,8 @@ def publish(
         rebuilt = tracked_records(dash.base, tracked)
         merged = apply_tracked(dash.merged, rebuilt)
         tracked_count = tracked.agg(F.count_if(F.col("status") == 2)).scalar()
-    hits = ranked(merged.where("not is_tracked_only"), cfg.output_limit)
-    only = merged.where("is_tracked_only").withColumn("sort_rank", F.lit(cfg.output_limit))
-    alerts = cut_lineage(hits.unionByName(only))
-    suppressed = cut_lineage(dash.suppressed_alerts)
+    alerts = cut_lineage(numbered(merged, cfg.output_limit, "not is_tracked_only"))
+    suppressed = cut_lineage(numbered(dash.suppressed, cfg.output_limit))
 
     paths = cut_lineage(
         alerts.select("id", *cfg.dimensions).unionByName(suppressed.select("id", *cfg.dimensions)).distinct())
@@ -132,9 +138,10 @@ def long_form(one_row: DataFrame, skip: tuple[str, ...] = ("run_id",)) -> DataFr
 
 
 def parity(stored: DataFrame, fresh: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Fields whose stored and recomputed values differ; no rows means agreement."""
-    a = long_form(stored).withColumnRenamed("value", "stored")
-    b = long_form(fresh).withColumnRenamed("value", "recomputed")
+    """Fields whose stored and recomputed values differ or that one side lacks; no rows means agreement."""
+    a = long_form(stored).withColumnRenamed("value", "stored").withColumn("_a", F.lit(1))
+    b = long_form(fresh).withColumnRenamed("value", "recomputed").withColumn("_b", F.lit(1))
     gap = F.abs(F.col("stored") - F.col("recomputed"))
     differs = ~F.col("stored").eqNullSafe(F.col("recomputed")) & (gap.isNull() | (gap > tolerance))
-    return a.join(b, "field", "inner").where(differs)
+    absent = F.col("_a").isNull() | F.col("_b").isNull()
+    return a.join(b, "field", "full").where(absent | differs).drop("_a", "_b")

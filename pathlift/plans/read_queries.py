@@ -103,7 +103,7 @@ def tracked_rule_followup(store: RunStore, path: str, start_pt: str, end_pt: str
     days = one.select(
         F.explode(F.sequence(partition_day(F.lit(start_pt)), partition_day(F.lit(end_pt)))).alias("d")
     ).select(F.date_format("d", "yyyyMMdd").alias("pt"))
-    index = store.published().where("offset_days = 0").select("pt", "run_id")
+    index = store.pointers().where("offset_days = 0").select("pt", "run_id")
     hits = store.read("alerts").where(rule_matches(path)).select(
         "run_id", "id", "canonical_path", "level", "observation_count", "growth_factor", "z_score",
         "is_tracked_only",

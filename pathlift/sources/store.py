@@ -79,17 +79,11 @@ class RunStore:
         return f"{self.root}/{table}"
 
     def write(self, table: str, df: DataFrame, run_id: str, files: int | None = None) -> None:
-        """Replace one run's rows; other runs stay. Writing the same run again gives the same table."""
-        out = conform(df.withColumn("run_id", F.lit(run_id)), SCHEMAS[table])
+        """Replace one run's folder as a whole, so that no rows of an earlier attempt stay; other runs are not touched."""
+        out = conform(df.withColumn("run_id", F.lit(run_id)), SCHEMAS[table]).drop("run_id")
         if files:
             out = out.coalesce(files)
-        (
-            out.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd")
-            .partitionBy("run_id")
-            .parquet(self.path(table))
-        )
+        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path(table)}/run_id={run_id}")
 
     def exists(self, table: str) -> bool:
         jvm = self.spark._jvm
@@ -112,17 +106,20 @@ class RunStore:
         return self.read("runs").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
     def latest_partition(self, offset: int = 0) -> DataFrame:
-        return self.published().where(F.col("offset_days") == offset).agg(F.max("pt").alias("latest_partition"))
+        return self.pointers().where(F.col("offset_days") == offset).agg(F.max("pt").alias("latest_partition"))
 
-    def published(self) -> DataFrame:
-        """Snapshot index: newest entry per (pt, offset), the newest two hundred of them."""
+    def pointers(self) -> DataFrame:
+        """The published run of every (pt, offset), however old."""
         w = W.partitionBy("pt", "offset_days").orderBy(F.desc("published_at"), F.desc("run_id"))
-        newest = self.read("published").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        return newest.orderBy(F.desc("published_at"), F.desc("pt")).limit(KEEP_PUBLISHED)
+        return self.read("published").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+    def published(self) -> DataFrame:
+        """Snapshot index for listings: the newest two hundred pointers."""
+        return self.pointers().orderBy(F.desc("published_at"), F.desc("pt")).limit(KEEP_PUBLISHED)
 
     def snapshot(self, table: str, pt: str, offset: int = 0) -> DataFrame:
         """Rows of the published run of (pt, offset); none when it was never published."""
-        run = self.published().where((F.col("pt") == pt) & (F.col("offset_days") == offset)).select("run_id")
+        run = self.pointers().where((F.col("pt") == pt) & (F.col("offset_days") == offset)).select("run_id")
         # One row at most, so the run reaches the scan as a partition filter.
         return self.read(table).where(F.col("run_id") == run.scalar())
 

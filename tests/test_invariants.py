@@ -47,7 +47,8 @@ def test_publishing_twice_changes_nothing(spark, sf_dir, tmp_path):
     PUB.publish(facts, CFG, store, B.OLD_PT)
     before = {t: sorted(map(str, store.read(t).collect())) for t in ("alerts", "alert_windows", "path_daily", "daily_trend", "summary")}
     results = PUB.backfill(facts, CFG, store, [B.OLD_PT, "19990101"])
-    assert [r["ok"] for r in results] == [True, False] or results[1]["ok"]
+    assert [r["ok"] for r in results] == [True, False] and "no rows" in results[1]["error"]
+    assert all(store.run(t, CFG.run_id("19990101")).count() == 0 for t in before)
     after = {t: sorted(map(str, store.run(t, CFG.run_id(B.OLD_PT)).collect())) for t in before}
     assert before == after
     assert store.published().where(F.col("pt") == B.OLD_PT).count() == 1
@@ -151,3 +152,75 @@ def test_panel_is_complete(spark, sf_dir):
 def test_frame_needs_two_days(spark, sf_dir):
     base = A.lazy_base(spark, sf_dir)
     assert D.window_frame(base.totals.limit(1), CFG).count() == 0
+
+
+def test_rewritten_run_leaves_no_old_rows(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "alert_id string, application_count double")
+    store.write("path_daily", rows, "r1")
+    store.write("path_daily", rows, "r2")
+    store.write("path_daily", rows.where("alert_id = 'x'"), "r1")
+    assert [r.alert_id for r in store.run("path_daily", "r1").collect()] == ["x"]
+    store.write("path_daily", rows.where("false"), "r1")
+    assert store.run("path_daily", "r1").count() == 0 and store.run("path_daily", "r2").count() == 2
+
+
+def test_snapshots_beyond_the_listing_stay_readable(spark, tmp_path, monkeypatch):
+    from pathlift.sources import store as module
+
+    monkeypatch.setattr(module, "KEEP_PUBLISHED", 2)
+    store = RunStore(spark, str(tmp_path / "s"))
+    row = spark.createDataFrame([("x", 1.0)], "alert_id string, application_count double")
+    for day in range(1, 5):
+        store.write("path_daily", row, f"2026010{day}_0_b")
+        store.publish_pointer(f"2026010{day}_0_b", f"2026010{day}", 0)
+    assert store.published().count() == 2 and store.pointers().count() == 4
+    assert store.snapshot("path_daily", "20260101").count() == 1
+
+
+def test_alerts_beyond_the_output_limit_are_stored(spark, sf_dir, tmp_path):
+    import dataclasses
+
+    store = RunStore(spark, str(tmp_path / "s"))
+    facts = view(spark, sf_dir, "fx_app_snapshots")
+    full, short = CFG, dataclasses.replace(CFG, output_limit=3)
+    PUB.publish(facts, full, store, B.NEW_PT, tracked=B.tracked_rules(spark, sf_dir))
+    want = {r.id for r in store.run("alerts", full.run_id(B.NEW_PT)).collect()}
+    other = RunStore(spark, str(tmp_path / "t"))
+    PUB.publish(facts, short, other, B.NEW_PT, tracked=B.tracked_rules(spark, sf_dir))
+    got = other.run("alerts", short.run_id(B.NEW_PT)).collect()
+    assert {r.id for r in got} == want and len(got) > 3
+    assert sorted(r.sort_rank for r in got)[:4] == [0, 1, 2, 3] and max(r.sort_rank for r in got) == 3
+    days = other.run("path_daily", short.run_id(B.NEW_PT)).select("alert_id").distinct()
+    assert want <= {r.alert_id for r in days.collect()}
+
+
+def test_one_outlier_does_not_fill_one_band(spark):
+    from pathlift.operators.running import running_totals
+
+    rows = spark.range(20_000).selectExpr("'m' as model", "cast(if(id = 7, 1e12, id) as double) as score", "1L as n")
+    out = running_totals(rows, ["model"], "score", ["n"], ["model"]).orderBy("score").collect()
+    assert [r.n_before for r in out] == list(range(20_000)) and {r.n_total for r in out} == {20_000}
+
+
+def test_parity_reports_a_missing_and_a_changed_field(spark):
+    a = spark.createDataFrame([("r", 1.0, 2.0)], "run_id string, x double, y double")
+    b = spark.createDataFrame([("r", 1.0, 3.0, 4)], "run_id string, x double, y double, z int")
+    assert {r.field for r in PUB.parity(a, b).collect()} == {"y", "z"} and PUB.parity(a, a).count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from pathlift.session import shared_dir
+
+    class Context:
+        applicationId = "app"
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        sparkContext = Context
+
+    Context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
