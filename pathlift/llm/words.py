@@ -4,7 +4,7 @@ The tokenizer at hand drops white space and never lets a token cross it: normali
 case) and pre-splitting treat the text between two white-space characters on its own. So the ids of a text are the
 ids of its words one after another, and frequent words need encoding once per worker. All ids come from the
 library: its model encodes each piece, its normaliser and pre-tokenizer make the pieces of any word that is not
-plain printable ASCII. Files of another build are encoded text by text.
+simple in the sense below. Files of another build are encoded text by text.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: The split pattern of the supported build, and its form for lower-case printable ASCII (fixed values).
+#: The split pattern of the supported build, and its form for lower-case words of the simple kind (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+SIMPLE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Printable ASCII and composed Latin-1 letters: normal as they stand, and lower case goes letter by letter.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Characters at which str.split() divides though Unicode doesn't count them as white space.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 LONGEST_KEPT = 64
 
 
@@ -67,18 +69,22 @@ class WordTokenizer:
         self._words = _Memory(self._encode_word, kept)
 
     def _encode_piece(self, piece: str) -> bytes:
-        return _packed(token.id for token in self._model.tokenize(piece))
+        if piece.isascii():  # stands for its own bytes
+            return _packed(token.id for token in self._model.tokenize(piece))
+        return self._encode_any(piece)
+
+    def _encode_any(self, word: str) -> bytes:
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        return _packed(token.id for piece, _ in pieces for token in self._model.tokenize(piece))
 
     def _encode_word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            pieces = ASCII_SPLIT.findall(word.lower())
-        else:
-            normal = self.tokenizer.normalizer.normalize_str(word)
-            pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        return b"".join(map(self._pieces.__getitem__, pieces))
+        if not SIMPLE.fullmatch(word):
+            return self._encode_any(word)
+        return b"".join(map(self._pieces.__getitem__, SIMPLE_SPLIT.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
-        if self.word_wise and not SEPARATORS.search(text):
+        if self.word_wise and not any(c in text for c in SEPARATORS):
             return b"".join(map(self._words.__getitem__, text.split()))
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
