@@ -21,22 +21,27 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIMPLE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Printable ASCII and composed Latin-1 letters: normal as they stand, and lower case goes letter by letter.
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Its lower-case letters beyond ASCII; the byte form of a piece is that of its letters one after another.
+LETTERS = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
 #: Characters at which str.split() divides though Unicode doesn't count them as white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 LONGEST_KEPT = 64
 
 
 class _Memory(dict):
-    """Values made on first use; emptied when full, frequent keys return at once."""
+    """Values made on first use. A full memory becomes the older generation, from which used keys come back."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -59,26 +64,32 @@ def _word_wise(spec: dict) -> bool:
 class WordTokenizer:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             self.word_wise = _word_wise(json.load(file))
         self._model = self.tokenizer.model
+        self._bytes = str.maketrans({c: self._as_bytes(c) for c in LETTERS})
         self._pieces = _Memory(self._encode_piece, kept)
         self._words = _Memory(self._encode_word, kept)
 
+    def _as_bytes(self, letter: str) -> str:
+        return "".join(piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
+
     def _encode_piece(self, piece: str) -> bytes:
-        if piece.isascii():  # stands for its own bytes
-            return _packed(token.id for token in self._model.tokenize(piece))
-        return self._encode_any(piece)
+        if not piece.isascii():  # ASCII stands for its own bytes
+            piece = piece.translate(self._bytes)
+        return _packed([token.id for token in self._model.tokenize(piece)])
 
     def _encode_any(self, word: str) -> bytes:
         normal = self.tokenizer.normalizer.normalize_str(word)
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-        return _packed(token.id for piece, _ in pieces for token in self._model.tokenize(piece))
+        return _packed([token.id for piece, _ in pieces for token in self._model.tokenize(piece)])
 
     def _encode_word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one piece
+            return self._pieces[word.lower()]
         if not SIMPLE.fullmatch(word):
             return self._encode_any(word)
         return b"".join(map(self._pieces.__getitem__, SIMPLE_SPLIT.findall(word.lower())))
