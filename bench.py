@@ -34,7 +34,7 @@ def dashboard(spark):
 
 def path_panel(spark):
     paths = A.full_run(spark, SF_DIR).alerts.select("id", *CFG.dimensions)
-    run(L.path_daily(D.facts_in_range(A.raw_facts(spark, SF_DIR), CFG, trend=True), paths, CFG, bounded=True))
+    run(L.path_daily(D.facts_in_range(A.raw_facts(spark, SF_DIR), CFG, trend=True), paths, CFG))
 
 
 def status_intervals(spark):

@@ -36,7 +36,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths = run.alerts.select("id", *CFG.dimensions).unionByName(
             run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
         facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
-        return cut_lineage(L.path_daily(facts, paths, CFG, bounded=True))
+        return cut_lineage(L.path_daily(facts, paths, CFG))
 
     return cached("panel", spark, sf_dir, make)
 
@@ -184,12 +184,12 @@ def path_daily_panel(spark, sf_dir):
 
 @register("path_daily_unbounded", q.query(PANEL, "SELECT * FROM panel"))
 def path_daily_unbounded(spark, sf_dir):
-    """Same panel with the path list of unknown size: shuffled on the anchor instead of broadcast."""
+    """Same panel from a path list that is not stored, so that the planner does not know its size."""
     run = full_run(spark, sf_dir)
     paths = run.alerts.select("id", *CFG.dimensions).unionByName(
         run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
     facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
-    return L.path_daily(facts, paths, CFG, bounded=False)
+    return L.path_daily(facts, paths, CFG)
 
 
 WIN_ROWS = " UNION ALL ".join(

@@ -136,7 +136,7 @@ SELECT model, loan_ser_node, flag_customer, CAST(bin_no AS INTEGER) AS bin_no, C
   MIN(score) AS smallest, MAX(score) AS largest FROM bn GROUP BY 1, 2, 3, 4""", *BINS))
 def assigned_bins(spark, sf_dir):
     s = sample(spark, sf_dir)
-    rows = S.assign_bins(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS, "businessid")
+    rows = S.assign_bins(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS)
     return rows.groupBy("model", *KEYS, "bin_no").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum("y_bad").alias("bad"), F.min("score").alias("smallest"),
         F.max("score").alias("largest"))
@@ -159,7 +159,7 @@ def binned(spark, sf_dir):
     s = sample(spark, sf_dir)
     counts = S.stored_counts(s, KEYS, MODELS)
     edges = S.quantile_edges(s, KEYS, MODELS, counts=counts)
-    return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, "businessid", counts)
+    return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, counts)
 
 
 @register("bin_ordinals", sql("""
@@ -168,7 +168,7 @@ SELECT DISTINCT loan_ser_node, flag_customer, model, CAST(bin_no AS INTEGER) AS
 FROM (SELECT DISTINCT loan_ser_node, flag_customer, model, bin_no FROM bn)""", *BINS))
 def bin_ordinals(spark, sf_dir):
     s = sample(spark, sf_dir)
-    rows = S.assign_bins(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS, "businessid")
+    rows = S.assign_bins(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS)
     bins = rows.select(*KEYS, "model", "bin_no", "bin_lo").distinct()
     return S.bin_ordinal(bins, KEYS).drop("bin_lo")
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pathlift.functions.paths import matches
 from pathlift.functions.scalars import normalize_value
 from pathlift.operators.daily import Base
 from pathlift.operators.metrics import (
-    SOURCE_EXPERT, SOURCE_TOPK, as_records, rank_order, window_sums, with_amounts, with_windows,
+    SOURCE_EXPERT, SOURCE_TOPK, as_records, combined_amounts, rank_order, window_sums, with_amounts, with_windows,
 )
 from pathlift.session import cut_lineage
 
@@ -22,10 +22,13 @@ SOURCE_BOTH = "Top-K + 专家规则"
 NOTE_JOINER = "；"
 
 
-def single_sums(base: Base) -> DataFrame:
-    """Every dimension in one pass: one grouping set per dimension, NULL marks the others as open."""
+def single_sums(base: Base, amounts: DataFrame | None = None) -> DataFrame:
+    """Every dimension in one pass: one grouping set per dimension, NULL marks the others as open.
+
+    ``amounts``: the stored ``combined_amounts`` of the base, made on the way if there is none.
+    """
     dims = base.cfg.dimensions
-    rows = with_amounts(base.facts, base)
+    rows = combined_amounts(base) if amounts is None else amounts
     return rows.groupingSets([[F.col(d)] for d in dims], *dims).agg(*window_sums(base))
 
 
@@ -44,21 +47,27 @@ def single_records(base: Base) -> DataFrame:
     return as_records(with_windows(single_sums(base), base), base.cfg, source=SOURCE_TOPK)
 
 
-def extended_sums(base: Base, seeds: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+def extended_sums(base: Base, seeds: DataFrame, fields: tuple[str, ...] | None = None,
+                  amounts: DataFrame | None = None) -> DataFrame:
     """Extend each seed path by every value of every open dimension (or of ``fields``), one scan for all seeds.
 
-    ``seeds`` must be cut to the configured top-k before the call: that limit is what makes the broadcast safe.
-    Facts are never shuffled raw: the join is map-side and the sums combine before the exchange. Reaching a path
-    from two seeds gives equal sums; one of them is kept.
+    ``seeds`` must be cut to the configured top-k before the call: they travel as one array, a scalar subquery.
+    Each row meets only the seeds it lies on, in place, and the sums combine before the exchange. Reaching a path
+    from two seeds gives equal sums; one of them is kept. ``amounts`` as in ``single_sums``.
     """
-    cfg, dims = base.cfg, base.cfg.dimensions
+    dims = base.cfg.dimensions
     targets = fields or dims
-    s = seeds.selectExpr(*[f"{d} as _s_{d}" for d in dims])
-    joined = with_amounts(base.facts, base).join(F.broadcast(s), matches(dims), "inner")
+    rows = combined_amounts(base) if amounts is None else amounts
+    listed = seeds.agg(F.collect_list(F.struct(*[F.col(d).alias(f"_s_{d}") for d in dims])).alias("s"))
+
+    def lies_on(s: Column) -> Column:
+        return functools.reduce(lambda a, b: a & b, [s[f"_s_{d}"].isNull() | (s[f"_s_{d}"] == F.col(d)) for d in dims])
+
+    joined = rows.withColumn("_seeds", listed.scalar()).select("*", F.inline(F.filter("_seeds", lies_on)))
     seed = [F.col(f"_s_{d}") for d in dims]
     # One grouping set per extension dimension; the seed's own conditions are part of every key.
     sums = joined.groupingSets([[*seed, F.col(t)] for t in targets], *[f"_s_{d}" for d in dims], *targets).agg(
-        *window_sums(base), F.max(F.col(cfg.count_field) != 0).alias("_any")
+        *window_sums(base), F.max("_any").alias("_any")
     )
     open_only = " and ".join(f"({t} is null or _s_{t} is null)" for t in targets)
     path = [f"coalesce(_s_{d}, {d}) as {d}" if d in targets else f"_s_{d} as {d}" for d in dims]
@@ -103,7 +112,7 @@ class Drilldown:
 def topk_drilldown(base: Base, store_steps: bool = True) -> Drilldown:
     """Depth 1, best seeds, depth 2, best seeds, depth 3.
 
-    With ``store_steps`` every depth is written once to the shared folder and read back by the seeds, the
+    The depths read window amounts per combination. With ``store_steps`` these and every depth are written once to the shared folder and read back by the seeds, the
     alerts, the suppressed list and the counters; without it the whole chain is one lazy plan.
     """
     cfg = base.cfg
@@ -113,13 +122,14 @@ def topk_drilldown(base: Base, store_steps: bool = True) -> Drilldown:
     def records(sums: DataFrame) -> DataFrame:
         return keep(as_records(with_windows(sums, base), cfg, source=SOURCE_TOPK))
 
-    single = records(single_sums(base))
+    amounts = keep(combined_amounts(base))
+    single = records(single_sums(base, amounts))
     single_ok = eligible(single, floor)
     single_seeds = as_seeds(single_ok, cfg.single_limit, NOTE_SINGLE_SEED)
-    pair = records(extended_sums(base, single_seeds))
+    pair = records(extended_sums(base, single_seeds, amounts=amounts))
     pair_ok = eligible(pair, floor)
     pair_seeds = as_seeds(pair_ok, cfg.pair_limit, NOTE_PAIR_SEED)
-    third = records(extended_sums(base, pair_seeds))
+    third = records(extended_sums(base, pair_seeds, amounts=amounts))
     third_ok = eligible(third, None)
 
     # Paths of different depths differ, so the union holds each path once.

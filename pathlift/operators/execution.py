@@ -99,9 +99,9 @@ def strategy_cube(facts: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
 
 
 def with_expected_rate(cube: DataFrame, policy: DataFrame, book: CodeBook = CodeBook()) -> DataFrame:
-    """Left join of the policy rate. The policy has one row per code-book cell (315), so it is broadcast."""
+    """Left join of the policy rate to the cube; both are small, and the planner sees their sizes."""
     rates = policy.select(*CELL, F.col("target_rate").alias("expected_rate"))
-    keyed = with_lookup_key(cube, book).join(F.broadcast(rates), list(CELL), "left")
+    keyed = with_lookup_key(cube, book).join(rates, list(CELL), "left")
     return keyed.withColumns(
         {
             "flag": normalized_code("te_flag"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,9 +13,9 @@ from pathlift.operators.execution import CELL, KEYS, SAME_RATE, CodeBook, loan_c
 
 
 def with_plan(joined: DataFrame, plan: DataFrame) -> DataFrame:
-    """Third table: planned rates per policy cell (one row per cell, broadcast like the policy)."""
+    """Third table: planned rates per policy cell (one row per cell)."""
     p = plan.select(*CELL, F.col("eligible").alias("plan_eligible"), "plan_a_rate", "plan_b_rate")
-    return joined.join(F.broadcast(p), list(CELL), "left").withColumns(
+    return joined.join(p, list(CELL), "left").withColumns(
         {
             "score_code": normalized_code(KEYS[3]),
             "direction": F.expr(
@@ -209,7 +210,7 @@ def deployed_relation(policy: DataFrame, plan: DataFrame) -> DataFrame:
         f"when {same.format('raw_cap')} then 'equals_raw_cap' when {same.format('plan_b_rate')} then 'equals_plan_b' "
         f"when {same.format('plan_a_rate')} then 'equals_plan_a' else 'other' end"
     )
-    joined = policy.join(F.broadcast(plan), list(CELL), "left")
+    joined = policy.join(plan, list(CELL), "left")
     return joined.select("*", F.expr(rule).alias("relation"),
                          F.expr("if(eligible, try_divide(target_rate, raw_cap), null) as scale_factor"))
 
@@ -248,7 +249,7 @@ def mapping_search(facts: DataFrame, policy: DataFrame, book: CodeBook = CodeBoo
         F.sum("n").alias("n"))
     labels = policy.select(*CELL, "target_rate")
     hit = (moved["loan_cnt"] == labels["loan_cnt"]) & (F.abs(F.col("rate") - F.col("target_rate")) < 1e-10)
-    pairs = moved.join(F.broadcast(labels), hit, "inner").groupBy(
+    pairs = moved.join(labels, hit, "inner").groupBy(
         "count_shift", *[c for part in books for c in (f"{part}_code", part)]
     ).agg(F.sum("n").alias("matched"))
 
@@ -266,10 +267,15 @@ def mapping_search(facts: DataFrame, policy: DataFrame, book: CodeBook = CodeBoo
         keep = [c for c in out.columns if c not in (part, f"{part}_code")]
         out = out.selectExpr(*keep, f"explode({permutations(part)}) as _p").withColumn(f"{part}_map", F.col("_p.m"))
         out = out.groupBy(*[c for c in out.columns if c not in ("matched", "_p")]).agg(F.sum("matched").alias("matched"))
-    checked = moved.groupBy("count_shift").agg(F.sum("n").alias("checked_cnt"))
-    ranked = out.join(F.broadcast(checked), "count_shift").selectExpr(
-        "customer_map", "use_rate_map", "score_map", "count_shift", "matched as matched_cnt", "checked_cnt",
-        "matched / checked_cnt as match_rate",
+    # Every mapping is listed, also one without any match.
+    every = moved.groupBy("count_shift").agg(F.sum("n").alias("checked_cnt"))
+    for part in books:
+        last = math.factorial(len(books[part])) - 1
+        every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias(f"{part}_map"))
+    maps = [f"{part}_map" for part in books]
+    ranked = every.join(out, ["count_shift", *maps], "left").selectExpr(
+        *maps, "count_shift", "coalesce(matched, 0) as matched_cnt", "checked_cnt",
+        "coalesce(matched, 0) / checked_cnt as match_rate",
     )
     if k is None:
         return ranked

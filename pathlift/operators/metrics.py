@@ -31,6 +31,15 @@ def with_amounts(rows: DataFrame, base: Base) -> DataFrame:
     return base.with_frame(rows).selectExpr(*rows.columns, *out)
 
 
+def combined_amounts(base: Base) -> DataFrame:
+    """Window amounts per dimension combination: the day is gone, so a combination is one row however long the range."""
+    rows = with_amounts(base.facts, base)
+    amounts = [c for c in rows.columns if c not in base.facts.columns]
+    return rows.groupBy(*base.cfg.dimensions).agg(
+        *[F.sum(c).alias(c) for c in amounts], F.max(F.col(base.cfg.count_field) != 0).alias("_any")
+    )
+
+
 def window_sums(base: Base) -> list[Column]:
     """Sums of the amounts; the aggregate runs map-side first, so no value or day becomes a hot task."""
     out: list[Column] = []

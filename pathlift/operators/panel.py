@@ -9,20 +9,13 @@ from pathlift.functions.paths import matches, path_depth
 from pathlift.functions.scalars import ratio_or_null
 from pathlift.operators.daily import daily_totals
 
-MAX_BROADCAST_PATHS = 20_000
 
-
-def small_enough(paths: DataFrame, limit: int = MAX_BROADCAST_PATHS) -> bool:
-    """Count at most ``limit + 1`` rows to decide whether a path list may be broadcast."""
-    return paths.limit(limit + 1).count() <= limit
-
-
-def path_rows(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig, bounded: bool) -> DataFrame:
+def path_rows(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig) -> DataFrame:
     """Fact rows joined to every path they lie on.
 
     Each path is anchored at its first condition, so the join is an equality on (field, value); the remaining
-    conditions are checked on the candidates. ``bounded`` says that the caller has cut or counted ``paths``: they
-    are then broadcast and facts stay where they are. Otherwise both sides shuffle on the anchor and adaptive
+    conditions are checked on the candidates. The planner chooses the join by the size of the stored path list: a
+    short one is broadcast and facts stay where they are, a long one shuffles both sides on the anchor and adaptive
     execution splits hot anchors.
     """
     dims = cfg.dimensions
@@ -35,7 +28,7 @@ def path_rows(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig, bounde
     f = facts.select("*", F.expr(f"explode(array({each})) as _x"))
     f = f.select("*", F.col("_x.field").alias("_xf"), F.col("_x.value").alias("_xv")).drop("_x")
     on = (F.col("_xf") == F.col("_af")) & (F.col("_xv") == F.col("_av")) & matches(dims)
-    joined = f.join(F.broadcast(p) if bounded else p, on, "inner")
+    joined = f.join(p, on, "inner")
     return joined.drop("_xf", "_xv", "_af", "_av", *[f"_s_{d}" for d in dims])
 
 
@@ -45,10 +38,10 @@ def day_list(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
     return totals.agg(F.array_sort(F.collect_list(entry)).alias("days"))
 
 
-def path_daily(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig, bounded: bool = False) -> DataFrame:
+def path_daily(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig) -> DataFrame:
     """Every path on every day that has data, zeros where the path has none; one scan for all measures."""
     sums = (
-        path_rows(facts, paths.select("id", *cfg.dimensions), cfg, bounded)
+        path_rows(facts, paths.select("id", *cfg.dimensions), cfg)
         .groupBy("id", "day")
         .agg(
             F.sum(cfg.count_field).alias("application_count"),

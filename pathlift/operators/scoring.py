@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pathlift.operators.panel import small_enough
 from pathlift.operators.running import running_totals, salted_join
 from pathlift.session import cut_lineage
 
@@ -16,7 +15,6 @@ ALL = "all"
 HORIZONS = ("fpd1", "fpd7", "fpd15")
 RATIO_TIERS = ((0.5, 0.50), (0.8, 0.30), (1.0, 0.15))
 MIN_BIN_ROWS = 100
-MAX_BROADCAST_EDGES = 100_000
 
 
 def prepare_sample(df: DataFrame, drop_marks: Sequence[str] = ("flag", "credit_use_type")) -> DataFrame:
@@ -199,19 +197,15 @@ def approximate_edges(
     ).selectExpr(*keys, "model", "filter(array_distinct(_q), e -> e > element_at(_q, 1) and e < element_at(_q, -1)) as edges")
 
 
-def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], spread: str) -> DataFrame:
+def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
     """Sample rows per model with their left-closed bin; rows without a usable score drop out.
 
-    The edges (one row per segment and model) are counted first: a short list is broadcast, so no sample row
-    moves; a long one is joined with the hot segments salted.
+    The edges (one row per segment and model) are stored, so the planner knows their size: a short list is broadcast
+    and no sample row moves; a long one is joined by shuffle, and adaptive execution splits hot segments.
     """
     carry = [c for c in df.columns if c not in keys and c not in models]
     rows = long_scores(df, keys, models, carry)
-    edges = cut_lineage(edges)
-    if small_enough(edges, MAX_BROADCAST_EDGES):
-        joined = rows.join(F.broadcast(edges), [*keys, "model"], "left")
-    else:
-        joined = salted_join(rows, edges, [*keys, "model"], spread)
+    joined = rows.join(cut_lineage(edges), [*keys, "model"], "left")
     e = "coalesce(edges, cast(array() as array<double>))"
     return joined.selectExpr("*", f"size(filter({e}, x -> x <= score)) as _k", f"{e} as _e").selectExpr(
         *keys, "model", "score", *carry, "_k + 1 as bin_no",
@@ -221,11 +215,11 @@ def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Se
 
 
 def binned_metrics(
-    df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str, spread: str,
+    df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Credit metrics per bin and slice, lift against the segment's rate in the same slice, best-model flag."""
-    rows = assign_bins(df, edges, keys, models, spread)
+    rows = assign_bins(df, edges, keys, models)
     bins = [*keys, "model", "bin_no", "bin_lo", "bin_hi"]
     metrics = credit_metrics_sliced(rows, bins, time_col)
     base = [F.col(k) for k in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pathlift.config import AttributionConfig
 from pathlift.operators.daily import Base
 from pathlift.operators.metrics import as_records, window_sums, with_amounts, with_windows
-from pathlift.operators.panel import path_rows, small_enough
+from pathlift.operators.panel import path_rows
 
 OPEN = (1, 2)
 
@@ -128,7 +128,7 @@ def tracked_records(base: Base, rules: DataFrame) -> DataFrame:
     """
     cfg, dims = base.cfg, base.cfg.dimensions
     rows = path_rows(with_amounts(base.facts, base), rules.select("canonical_path", "entered_day", *dims).withColumnRenamed(
-        "canonical_path", "_rule"), cfg, small_enough(rules))
+        "canonical_path", "_rule"), cfg)
     later = rows.where("entered_day is null or day >= entered_day")
     sums = later.groupBy("_rule").agg(*window_sums(base))
     figures = [c for c in sums.columns if c != "_rule"]

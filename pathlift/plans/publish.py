@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pathlift.config import AttributionConfig
 from pathlift.operators.daily import facts_in_range, partition_slice
 from pathlift.operators.drill import ranked
-from pathlift.operators.panel import path_daily, small_enough, window_approvals
+from pathlift.operators.panel import path_daily, window_approvals
 from pathlift.operators.status import apply_tracked, tracked_records
 from pathlift.plans.dashboard import Dashboard, build
 from pathlift.session import cut_lineage
@@ -69,7 +69,7 @@ def publish(
     paths = cut_lineage(
         alerts.select("id", *cfg.dimensions).unionByName(suppressed.select("id", *cfg.dimensions)).distinct())
     trend_facts = facts_in_range(raw, cfg, pt, offset, trend=True)
-    store.write("path_daily", path_daily(trend_facts, paths, cfg, small_enough(paths)), run_id)
+    store.write("path_daily", path_daily(trend_facts, paths, cfg), run_id)
     panel = store.run("path_daily", run_id)
     clock["panel"] = time.time()
 
