@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import attribution_sql as q
 from catalog.rounding import near, registry
 from pathlift.operators import daily as D, drill as R, metrics as M
 from pathlift.plans import dashboard as P
-from pathlift.sources import tables as T
+from pathlift.session import shared_dir
+from pathlift.sources import files, tables as T
 from pathlift.sources.fixtures import TEST_CONFIG as CFG, view
+from pathlift.sources.store import RunStore
 
 QUERIES, ORACLE, register = registry()
 _RUNS: dict = {}
@@ -251,10 +256,91 @@ def dashboard_trend(spark, sf_dir):
     return full_run(spark, sf_dir).daily_trend()
 
 
-@register("dashboard_document")
+RECORD = "struct<canonical_path:string,level:int,observation_count:double>"
+DOCUMENT = (
+    f"merged_alerts array<{RECORD}>, merged_alert_total bigint, suppressed_alerts array<{RECORD}>, suppressed_alert_total bigint, "
+    f"highlight {RECORD}, top_k struct<single_downstream:array<{RECORD}>,pair_downstream:array<{RECORD}>,"
+    f"third_alerts:array<{RECORD}>,third_alert_total:bigint,counts:struct<third_scanned:bigint>>, "
+    f"expert struct<single:{RECORD},pair:{RECORD},third_alerts:array<{RECORD}>,third_calculated:array<{RECORD}>,"
+    "third_calculated_total:bigint,alert_total:bigint>, "
+    "daily_trend array<struct<date:string,application_count:double>>, "
+    "rules struct<windows:array<struct<window_key:string,observation_days:int,observation_total:double>>,"
+    "thresholds:array<struct<level:int,label:string,min_z_score:double>>,"
+    "suppression_rules:array<struct<field:string,value:string>>,expert_path:array<struct<field:string,value:string>>,"
+    "field_labels:map<string,string>>")
+
+
+def document_sql() -> str:
+    def records(part: str, source: str) -> str:
+        return (f"SELECT '{part}' AS part, CAST(ROW_NUMBER() OVER (ORDER BY {q.ORDER}) - 1 AS INTEGER) AS place, "
+                f"canonical_path AS item, CAST(level AS INTEGER) AS level, obs AS number FROM {source}")
+
+    def total(part: str, source: str) -> str:
+        return f"SELECT '{part}', 0, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(COUNT(*) AS DOUBLE) FROM {source}"
+
+    def fixed(part: str, rows: list) -> str:
+        listed = ", ".join(f"({i}, '{item}', {level}, {number})" for i, (item, level, number) in enumerate(rows))
+        return (f"SELECT '{part}', CAST(i AS INTEGER), item, CAST(level AS INTEGER), CAST(number AS DOUBLE) "
+                f"FROM (VALUES {listed}) AS v(i, item, level, number)")
+
+    def cut(source: str) -> str:
+        return f"(SELECT * FROM {source} ORDER BY {q.ORDER} LIMIT {CFG.output_limit})"
+
+    found = "(SELECT * FROM third WHERE NOT suppressed AND level > 0)"
+    deep = "(SELECT * FROM expert WHERE depth = 3 AND NOT suppressed)"
+    parts = [
+        records("merged_alerts", cut("merged")), total("merged_alert_total", "merged"),
+        records("suppressed_alerts", cut("suppressed")), total("suppressed_alert_total", "suppressed"),
+        records("highlight", "head"), records("single_downstream", "seeds1"), records("pair_downstream", "seeds2"),
+        records("third_alerts", cut(found)), total("third_alert_total", found), total("third_scanned", "third"),
+        records("expert_single", "(SELECT * FROM expert WHERE depth = 1)"),
+        records("expert_pair", "(SELECT * FROM expert WHERE depth = 2)"),
+        records("expert_third_alerts", cut("(SELECT * FROM expert WHERE depth = 3 AND NOT suppressed AND level > 0)")),
+        records("expert_third_calculated", cut(deep)),
+        total("expert_third_calculated_total", "(SELECT * FROM expert WHERE depth = 3)"),
+        total("expert_alert_total", "(SELECT * FROM expert WHERE NOT suppressed AND level > 0)"),
+        "SELECT 'daily_trend', CAST(ROW_NUMBER() OVER (ORDER BY day) - 1 AS INTEGER), CAST(day AS VARCHAR), NULL, CAST(total AS DOUBLE) FROM kept",
+        "SELECT 'windows', CAST(ord AS INTEGER), w, CAST(od AS INTEGER), CAST(ot AS DOUBLE) FROM tot",
+        fixed("thresholds", [(t.label, t.level, t.min_z_score) for t in CFG.thresholds]),
+        fixed("suppression_rules", [(f"{r.field}={r.value}", "NULL", "NULL") for r in CFG.suppression_rules]),
+        fixed("expert_path", [(f"{e.field}={e.value}", "NULL", "NULL") for e in CFG.expert_path]),
+    ]
+    if CFG.field_labels:
+        parts.append(fixed("field_labels", [(f"{k}={v}", "NULL", "NULL") for k, v in sorted(CFG.field_labels.items())]))
+    return q.query([*q.base(), *q.merged()], "\nUNION ALL ".join(f"SELECT * FROM ({p})" for p in parts))
+
+
+@register("dashboard_document", document_sql())
 def dashboard_document(spark, sf_dir):
-    """Nested JSON document; compared by rows only, its parts are compared above."""
-    return full_run(spark, sf_dir).document()
+    """The nested JSON document, parsed again and laid out as rows: every list by place, every total."""
+
+    def items(part: str, rows: str, item: str, level: str = "cast(null as int)", number: str = "cast(null as double)") -> str:
+        return (f"transform({rows}, (r, i) -> named_struct('part', '{part}', 'place', i, 'item', {item}, "
+                f"'level', {level}, 'number', {number}))")
+
+    def records(part: str, rows: str) -> str:
+        return items(part, rows, "r.canonical_path", "r.level", "r.observation_count")
+
+    def total(part: str, value: str) -> str:
+        return items(part, f"array({value})", "cast(null as string)", number="cast(r as double)")
+
+    pair = "concat(r.field, '=', r.value)"
+    parts = [
+        *[records(n, n) for n in ("merged_alerts", "suppressed_alerts")], records("highlight", "array(highlight)"),
+        *[records(n, f"top_k.{n}") for n in ("single_downstream", "pair_downstream", "third_alerts")],
+        records("expert_single", "array(expert.single)"), records("expert_pair", "array(expert.pair)"),
+        *[records(f"expert_{n}", f"expert.{n}") for n in ("third_alerts", "third_calculated")],
+        *[total(n, n) for n in ("merged_alert_total", "suppressed_alert_total")],
+        total("third_alert_total", "top_k.third_alert_total"), total("third_scanned", "top_k.counts.third_scanned"),
+        *[total(f"expert_{n}", f"expert.{n}") for n in ("third_calculated_total", "alert_total")],
+        items("daily_trend", "daily_trend", "r.date", number="r.application_count"),
+        items("windows", "rules.windows", "r.window_key", "r.observation_days", "r.observation_total"),
+        items("thresholds", "rules.thresholds", "r.label", "r.level", "r.min_z_score"),
+        items("suppression_rules", "rules.suppression_rules", pair), items("expert_path", "rules.expert_path", pair),
+        items("field_labels", "array_sort(map_entries(rules.field_labels))", "concat(r.key, '=', r.value)"),
+    ]
+    parsed = full_run(spark, sf_dir).document().select(F.from_json("payload", DOCUMENT).alias("d")).select("d.*")
+    return parsed.selectExpr(f"inline(concat({', '.join(parts)}))")
 
 
 @register("partition_ranges", f"""
@@ -264,14 +350,23 @@ def partition_ranges(spark, sf_dir):
     return T.partition_ranges(view(spark, sf_dir, "fx_app_snapshots"), CFG)
 
 
+def stored_snapshots(spark, sf_dir) -> str:
+    """The snapshots as a table partitioned by pt, written once."""
+    tag = hashlib.sha1(f"facts{spark.sparkContext.applicationId}{sf_dir}".encode()).hexdigest()[:12]
+    path = f"{shared_dir(spark)}/pathlift-facts-{tag}"
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        view(spark, sf_dir, "fx_app_snapshots").write.partitionBy("pt").parquet(path)
+    return path
+
+
 @register("available_partitions", f"WITH {', '.join(q.with_clause('fx_app_snapshots'))} SELECT DISTINCT pt FROM fx_app_snapshots")
 def available_partitions(spark, sf_dir):
-    return T.available_partitions(view(spark, sf_dir, "fx_app_snapshots"), CFG)
+    return T.available_partitions(spark, stored_snapshots(spark, sf_dir), CFG)
 
 
 @register("newest_partition", f"WITH {', '.join(q.with_clause('fx_app_snapshots'))} SELECT MAX(pt) AS pt FROM fx_app_snapshots")
 def newest_partition(spark, sf_dir):
-    return T.newest_partitions(view(spark, sf_dir, "fx_app_snapshots"), CFG, 1)
+    return T.newest_partitions(spark, stored_snapshots(spark, sf_dir), CFG, 1)
 
 
 @register("observation_offsets", f"""
@@ -286,9 +381,12 @@ WITH {', '.join(q.with_clause('fx_app_snapshots'))}
 SELECT pt, CASE WHEN pt = '20240130' THEN MIN(create_date) + 1 ELSE MIN(create_date) END AS min_day, MAX(create_date) AS max_day
 FROM fx_app_snapshots GROUP BY pt""")
 def upserted_ranges(spark, sf_dir):
+    """All ranges stored, then one key replaced: the others keep their rows and are not written again."""
     old = T.partition_ranges(view(spark, sf_dir, "fx_app_snapshots"), CFG)
-    new = old.where("pt = '20240130'").withColumn("min_day", F.date_add("min_day", 1))
-    return T.upsert_ranges(old, new)
+    ranges = RunStore(spark, f"{shared_dir(spark)}/pathlift-ranges-{uuid.uuid4().hex[:12]}").ranges
+    ranges.upsert(old)
+    ranges.upsert(old.where("pt = '20240130'").withColumn("min_day", F.date_add("min_day", 1)))
+    return ranges.current()
 
 
 @register("fact_overview", f"""

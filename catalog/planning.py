@@ -196,8 +196,11 @@ def solved_plan_summary(spark, sf_dir):
 
 @register("plan_reasons", sql("""
 SELECT flag_customer, use_rate, loan_cnt, score_level, CASE WHEN NOT ok THEN 'eligibility' WHEN hitcap THEN 'limit' ELSE '' END AS bound_by,
-  CASE WHEN NOT ok THEN CONCAT('score_level=', score_level, ', not eligible') WHEN increment <= 0 THEN CONCAT('score_level=', score_level, ', no room below the cap')
-  ELSE CONCAT('score_level=', score_level, ', ', tier, ', raise ', CAST(ROUND_EVEN(rate * 100, 0) AS VARCHAR), '%', CASE WHEN hitcap THEN ' (limit cap)' ELSE '' END) END AS reason
+  CASE WHEN NOT ok THEN CONCAT('score_level=', score_level, ', not eligible')
+  WHEN increment <= 0 THEN CONCAT('score_level=', score_level, ', no room below the limit cap ', FORMAT('{:,}', CAST(ROUND_EVEN(limit_cap, 0) AS BIGINT)))
+  ELSE CONCAT('score_level=', score_level, ', fpd7 ', COALESCE(CAST(ROUND_EVEN(fpd7_rate * 100, 1) AS VARCHAR) || '%', 'unknown'), ' (', tier, '), rate cap ',
+    CAST(ROUND_EVEN(rate_cap * 100, 0) AS VARCHAR), '% x ', CAST(mult AS VARCHAR), ' x ', PRINTF('%.2f', k), ' -> raise ', CAST(ROUND_EVEN(rate * 100, 0) AS VARCHAR),
+    '%, limit after ', FORMAT('{:,}', CAST(ROUND_EVEN(LEAST(raised_avg_limit * (1 + rate), limit_cap), 0) AS BIGINT)), CASE WHEN hitcap THEN ' (limit cap)' ELSE '' END) END AS reason
 FROM pp""", *SOLVED))
 def plan_reasons(spark, sf_dir):
     return solved(spark, sf_dir).select(*P.GRID_KEYS, "bound_by", "reason")

@@ -30,13 +30,15 @@ def cached(kind: str, spark: SparkSession, sf_dir: str, make):
     return _CACHE[key]
 
 
+def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = full_run(spark, sf_dir)
+    return run.merged.select("id", *CFG.dimensions).unionByName(run.suppressed.select("id", *CFG.dimensions)).distinct()
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
-        run = full_run(spark, sf_dir)
-        paths = run.alerts.select("id", *CFG.dimensions).unionByName(
-            run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
         facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
-        return cut_lineage(L.path_daily(facts, paths, CFG))
+        return cut_lineage(L.path_daily(facts, all_paths(spark, sf_dir), CFG))
 
     return cached("panel", spark, sf_dir, make)
 
@@ -68,8 +70,7 @@ def store(spark: SparkSession, sf_dir: str) -> RunStore:
 COND = " AND ".join(f"(p.{d} IS NULL OR p.{d} = f.{d})" for d in q.DIMS)
 PANEL = [
     *q.base(), *q.merged(),
-    f"""paths AS (SELECT id, {q.COLS} FROM (SELECT * FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})
-        UNION SELECT id, {q.COLS} FROM suppressed)""",
+    f"paths AS (SELECT id, {q.COLS} FROM merged UNION SELECT id, {q.COLS} FROM suppressed)",
     f"""psum AS (SELECT p.id, f.day, SUM(f.cnt) AS n, SUM(f.approval_cnt) AS a, SUM(f.cid_cnt) AS c,
         SUM(f.approval_cid_cnt) AS ca FROM paths p JOIN f ON {COND} GROUP BY p.id, f.day)""",
     """panel AS (SELECT p.id AS alert_id, d.day AS date, CAST(COALESCE(n, 0) AS DOUBLE) AS application_count,
@@ -125,7 +126,7 @@ def pub(pt: str) -> list[str]:
     cols = "canonical_path, path, id, level, hits, hit_windows, primary_window, obs, growth, lift, z, strength"
     if pt != NEW_PT:
         return [*head, f"""published AS (SELECT {cols}, FALSE AS is_tracked_only, CAST(NULL AS DATE) AS tracking_start
-            FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})"""]
+            , ROW_NUMBER() OVER (ORDER BY {q.ORDER}) - 1 AS sort_rank FROM merged)"""]
     return unique([
         *head, *TRACKED,
         f"""allrows AS (SELECT {cols}, FALSE AS is_tracked_only, CAST(NULL AS DATE) AS tracking_start FROM merged
@@ -133,8 +134,7 @@ def pub(pt: str) -> list[str]:
             SELECT {', '.join('t.' + c.strip() for c in cols.split(','))},
             t.canonical_path NOT IN (SELECT canonical_path FROM merged), p.entered
             FROM tracked t JOIN tp p ON p.rule = t.canonical_path)""",
-        f"""published AS (SELECT * FROM (SELECT * FROM allrows WHERE NOT is_tracked_only ORDER BY {q.ORDER} LIMIT {CFG.output_limit})
-            UNION ALL SELECT * FROM allrows WHERE is_tracked_only)""",
+        f"""published AS (SELECT *, ROW_NUMBER() OVER (ORDER BY is_tracked_only, {q.ORDER}) - 1 AS sort_rank FROM allrows)""",
     ])
 
 
@@ -185,11 +185,8 @@ def path_daily_panel(spark, sf_dir):
 @register("path_daily_unbounded", q.query(PANEL, "SELECT * FROM panel"))
 def path_daily_unbounded(spark, sf_dir):
     """Same panel from a path list that is not stored, so that the planner does not know its size."""
-    run = full_run(spark, sf_dir)
-    paths = run.alerts.select("id", *CFG.dimensions).unionByName(
-        run.suppressed_alerts.select("id", *CFG.dimensions)).distinct()
     facts = D.facts_in_range(raw_facts(spark, sf_dir), CFG, NEW_PT, trend=True)
-    return L.path_daily(facts, paths, CFG)
+    return L.path_daily(facts, all_paths(spark, sf_dir), CFG)
 
 
 WIN_ROWS = " UNION ALL ".join(
@@ -199,16 +196,15 @@ WIN_ROWS = " UNION ALL ".join(
 )
 
 
-@register("window_approvals", q.query([*PANEL, f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))",
-    f"top AS (SELECT id FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})"], """
+@register("window_approvals", q.query([*PANEL, f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))"], """
 SELECT wr.id AS alert_id, wr.w AS window_key, wr.w = wr.primary_window AS is_primary, SUM(p.approval_count) AS approval_count,
   ROUND(CASE WHEN wr.o > 0 THEN SUM(p.approval_count) / wr.o * 100 END, 6) AS approval_rate_pct,
   SUM(p.cid_cnt) AS cid_cnt, SUM(p.approval_cid_cnt) AS approval_cid_cnt,
   ROUND(CASE WHEN SUM(p.cid_cnt) > 0 THEN SUM(p.approval_cid_cnt) / SUM(p.cid_cnt) * 100 END, 6) AS cid_approval_rate_pct
-FROM wr JOIN top ON top.id = wr.id LEFT JOIN panel p ON p.alert_id = wr.id AND p.date BETWEEN wr.os AND wr.oe
+FROM wr JOIN merged ON merged.id = wr.id LEFT JOIN panel p ON p.alert_id = wr.id AND p.date BETWEEN wr.os AND wr.oe
 GROUP BY wr.id, wr.w, wr.primary_window, wr.o"""))
 def window_approvals(spark, sf_dir):
-    df = L.window_approvals(full_run(spark, sf_dir).alerts, panel(spark, sf_dir))
+    df = L.window_approvals(full_run(spark, sf_dir).merged, panel(spark, sf_dir))
     return df.withColumns({c: near(c, 6) for c in ("approval_rate_pct", "cid_approval_rate_pct")})
 
 
@@ -291,26 +287,105 @@ def status_overlay(spark, sf_dir):
     return S.overlay_status(merged, current, active)
 
 
-@register("tracked_records", q.query(unique([*q.base(), *TRACKED]), """
+DEFINED = [
+    *TRACKED, *with_clause("fx_rule_alerts"),
+    """told AS (SELECT p.rule, a.*, a.pt <= STRFTIME(p.entered, '%Y%m%d') AS before FROM tp p JOIN fx_rule_alerts a ON a.canonical_path = p.rule)""",
+    f"""defs AS (SELECT rule, {', '.join(f"COALESCE(ARG_MAX({c}, pt) FILTER (WHERE before), ARG_MIN({c}, pt)) AS {c}" for c in ('source', 'is_expert_forced', 'rule_note', 'path'))}
+        FROM told GROUP BY rule)""",
+]
+
+
+@register("tracked_records", q.query(unique([*q.base(), *DEFINED]), """
 SELECT t.canonical_path, level, hit_windows, primary_window, obs AS observation_count, growth AS growth_factor,
-  lift AS structure_lift_factor, z AS z_score, p.entered AS tracking_start FROM tracked t JOIN tp p ON p.rule = t.canonical_path"""))
+  lift AS structure_lift_factor, z AS z_score, p.entered AS tracking_start, COALESCE(d.source, '已跟踪规则') AS source,
+  COALESCE(d.is_expert_forced, FALSE) AS is_expert_forced, COALESCE(d.rule_note, '') AS rule_note, COALESCE(d.path, t.path) AS path,
+  CASE WHEN d.rule IS NULL THEN 1 ELSE 2 END AS conditions
+FROM tracked t JOIN tp p ON p.rule = t.canonical_path LEFT JOIN defs d ON d.rule = t.canonical_path"""))
 def tracked_records(spark, sf_dir):
+    """Tagged rules with the definitions valid on their day; the fixture's definitions have one condition more."""
     base = D.Base.of(raw_facts(spark, sf_dir), CFG)
-    df = S.tracked_records(base, tracked_rules(spark, sf_dir))
-    return df.selectExpr(
+    part = F.struct(F.lit("x").alias("field"), F.lit("y").alias("value"), F.lit("z").alias("label"))
+    alerts = view(spark, sf_dir, "fx_rule_alerts").withColumn("conditions", F.array(part, part))
+    rules = S.with_definitions(tracked_rules(spark, sf_dir), S.definition_history(alerts))
+    return S.tracked_records(base, rules).selectExpr(
         "canonical_path", "level", "array_join(hit_windows, ',') as hit_windows", "primary_window",
-        "observation_count", "growth_factor", "structure_lift_factor", "z_score", "tracking_start")
+        "observation_count", "growth_factor", "structure_lift_factor", "z_score", "tracking_start",
+        "source", "is_expert_forced", "rule_note", "path", "size(conditions) as conditions")
+
+
+@register("rule_definitions", "WITH " + ", ".join(with_clause("fx_rule_alerts")) + """
+SELECT canonical_path, pt AS valid_from, source, is_expert_forced, rule_note FROM (
+  SELECT *, LAG(source) OVER w AS s0, LAG(rule_note) OVER w AS n0 FROM fx_rule_alerts WINDOW w AS (PARTITION BY canonical_path ORDER BY pt))
+WHERE s0 IS NULL OR s0 <> source OR n0 <> rule_note""")
+def rule_definitions(spark, sf_dir):
+    alerts = view(spark, sf_dir, "fx_rule_alerts").withColumn("conditions", F.array(F.lit(1)))
+    return S.definition_history(alerts).select("canonical_path", "valid_from", "source", "is_expert_forced", "rule_note")
 
 
 # --- store and read queries -----------------------------------------------------------------------------------------
 
 
 @register("published_alerts", q.query(pub(NEW_PT), """
-SELECT id, canonical_path, level, hit_windows, obs AS observation_count, is_tracked_only, tracking_start FROM published"""))
+SELECT id, canonical_path, level, hit_windows, obs AS observation_count, is_tracked_only, tracking_start,
+  CAST(sort_rank AS INTEGER) AS sort_rank FROM published"""))
 def published_alerts(spark, sf_dir):
     return store(spark, sf_dir).snapshot("alerts", NEW_PT).selectExpr(
         "id", "canonical_path", "level", "array_join(hit_windows, ',') as hit_windows", "observation_count",
-        "is_tracked_only", "tracking_start")
+        "is_tracked_only", "tracking_start", "sort_rank")
+
+
+def stored_counts(pt: str) -> str:
+    """Rows of the tables of a published partition, by stage."""
+    return " UNION ALL ".join(f"SELECT '{pt}' AS pt, '{stage}' AS stage, (SELECT COUNT(*) FROM {source}) AS rows" for stage, source in (
+        ("store/alerts", "published"), ("store/suppressed", "suppressed"), ("store/daily_trend", "kept"),
+        ("store/summary", "(SELECT 1)"), ("panel/path_daily", "panel_rows")))
+
+
+def counted(pt: str) -> list[str]:
+    ids = "SELECT id FROM published UNION SELECT id FROM suppressed"
+    return [*pub(pt), f"panel_rows AS (SELECT i.id, d.day FROM ({ids}) i CROSS JOIN daily d)"]
+
+
+STAGE_ROWS = " UNION ALL ".join(
+    f"(SELECT * FROM ({q.query(counted(pt), stored_counts(pt))}))" for pt in (OLD_PT, NEW_PT))
+
+
+@register("stage_log", f"""
+SELECT pt, stage, rows, CAST(NULL AS VARCHAR) AS error FROM ({STAGE_ROWS}) UNION ALL
+SELECT pt, stage, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM (VALUES ('{OLD_PT}'), ('{NEW_PT}')) AS p(pt),
+  (VALUES ('compute'), ('panel'), ('store'), ('publish')) AS s(stage)""")
+def stage_log(spark, sf_dir):
+    """Stages of the published attempts, with the rows of the tables whose size SQL can tell."""
+    s = store(spark, sf_dir)
+    told = ("store/alerts", "store/suppressed", "store/daily_trend", "store/summary", "panel/path_daily",
+            "compute", "panel", "store", "publish")
+    log = s.stages().join(s.pointers().select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
+    return log.where(F.col("stage").isin(*told)).select("pt", "stage", "rows", "error")
+
+
+@register("republished_tables", q.query(counted(OLD_PT), stored_counts(OLD_PT)))
+def republished_tables(spark, sf_dir):
+    """Rows per table that readers see after a partition was published again and a third attempt was lost midway."""
+
+    def make():
+        tag = hashlib.sha1(f"again{spark.sparkContext.applicationId}{sf_dir}".encode()).hexdigest()[:12]
+        target = RunStore(spark, f"{shared_dir(spark)}/pathlift-store-{tag}")
+        facts = view(spark, sf_dir, "fx_app_snapshots")
+        P.publish(facts, CFG, target, OLD_PT)
+        P.publish(facts, CFG, target, OLD_PT)
+        lost = target.attempt(CFG.run_id(OLD_PT))
+        lost.write("alerts", target.snapshot("alerts", OLD_PT).limit(1))
+        return target
+
+    seen = cached("again", spark, sf_dir, make)
+    counts = [
+        seen.snapshot(stage.split("/")[1], OLD_PT).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(OLD_PT).alias("pt"), F.lit(stage).alias("stage"), "rows")
+        for stage in ("store/alerts", "store/suppressed", "store/daily_trend", "store/summary", "panel/path_daily")]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @register("published_index", f"""
@@ -349,8 +424,7 @@ def stored_daily_trend(spark, sf_dir):
 
 @register("stored_alert_windows", q.query(
     [*q.base(OLD_PT, "fx_app_snapshots"), *q.merged(), f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))",
-     f"top AS (SELECT id FROM merged ORDER BY {q.ORDER} LIMIT {CFG.output_limit})",
-     "both_ AS (SELECT id FROM top UNION SELECT id FROM suppressed)"], """
+     "both_ AS (SELECT id FROM merged UNION SELECT id FROM suppressed)"], """
 SELECT wr.id AS alert_id, wr.w AS window_key, wr.os AS observation_start, wr.oe AS observation_end, wr.o AS observation_count
 FROM wr JOIN both_ ON both_.id = wr.id"""))
 def stored_alert_windows(spark, sf_dir):
@@ -358,10 +432,13 @@ def stored_alert_windows(spark, sf_dir):
         "alert_id", "window_key", "observation_start", "observation_end", "observation_count")
 
 
-@register("published_summary", summary_sql(NEW_PT))
+@register("published_summary", q.query(
+    pub(NEW_PT), f"""SELECT {SUMMARY}, {tracked_count(NEW_PT)} AS tracked_rule_count, {RATIOS}, (SELECT path FROM head) AS highlight_path,
+  CONCAT_WS('; ', CASE WHEN SUM(persons) = 0 THEN 'person_approval_ratio: cid_cnt is 0' END,
+    CASE WHEN SUM(total) = 0 THEN 'item_approval_ratio: total_application_count is 0' END) AS warnings FROM kept"""))
 def published_summary(spark, sf_dir):
-    return R.dashboard_summary(store(spark, sf_dir), NEW_PT).drop("run_id", "highlight_path", "warnings").withColumn(
-        "tracked_rule_count", F.col("tracked_rule_count"))
+    return R.dashboard_summary(store(spark, sf_dir), NEW_PT).drop("run_id").withColumn(
+        "warnings", F.array_join("warnings", "; "))
 
 
 @register("find_rules", q.query(pub(NEW_PT), """
@@ -451,14 +528,27 @@ SELECT (SELECT COUNT(*) FROM merged) AS merged_alert_count, (SELECT COUNT(*) FRO
   (SELECT COUNT(*) FROM merged WHERE level = 2) AS level2_count, (SELECT COUNT(*) FROM merged WHERE level = 3) AS level3_count,
   (SELECT COUNT(*) FROM published p JOIN cur c USING (canonical_path) WHERE c.status IN (1, 2) AND NOT is_tracked_only) AS tracked_hits,
   (SELECT COUNT(*) FROM published p JOIN cur c USING (canonical_path) WHERE c.status IN (1, 2) AND is_tracked_only) AS tracked_misses,
-  (SELECT path FROM published ORDER BY level DESC, z DESC, canonical_path LIMIT 1) AS focus_path,
+  (SELECT path FROM published ORDER BY level DESC, z DESC, sort_rank LIMIT 1) AS focus_path,
+  (SELECT path FROM published WHERE level >= 3 ORDER BY z DESC, sort_rank LIMIT 1) AS level3_focus_path,
+  (SELECT ROUND_EVEN((MAX(CASE WHEN rn = 1 THEN total END) / MAX(CASE WHEN rn = 2 THEN total END) - 1) * 100, 4) FROM kept) AS latest_day_change_pct,
   ROUND((SELECT COUNT(*) FROM merged WHERE level >= 2) * 100.0 / GREATEST((SELECT COUNT(*) FROM merged), 1), 6) AS level2_plus_share_pct"""))
 def daily_digest(spark, sf_dir):
     rows = R.with_status(store(spark, sf_dir).snapshot("alerts", NEW_PT),
                          S.current_status(view(spark, sf_dir, "fx_status_log")))
     df = R.digest(rows, store(spark, sf_dir).snapshot("summary", NEW_PT))
-    return df.drop("latest_day_change_pct", "level3_focus_path").withColumn(
-        "level2_plus_share_pct", near("level2_plus_share_pct", 6))
+    return df.withColumn("level2_plus_share_pct", near("level2_plus_share_pct", 6))
+
+
+@register("digest_rules", q.query(pub(NEW_PT), """
+SELECT CASE WHEN is_tracked_only THEN 'miss' ELSE 'hit' END AS kind,
+  CAST(ROW_NUMBER() OVER (PARTITION BY is_tracked_only ORDER BY CASE WHEN is_tracked_only THEN 0 ELSE -level END, path, canonical_path) AS INTEGER) - 1 AS place,
+  path, level, CASE level WHEN 0 THEN 'Level0 无预警' WHEN 1 THEN 'Level1 黄色' WHEN 2 THEN 'Level2 橙色' ELSE 'Level3 红色' END AS level_label,
+  c.status, CASE c.status WHEN 1 THEN '已上策略' ELSE '持续观察' END AS status_label, tracking_start, hit_windows
+FROM published p JOIN cur c USING (canonical_path) WHERE c.status IN (1, 2)"""))
+def digest_rules(spark, sf_dir):
+    rows = R.with_status(store(spark, sf_dir).snapshot("alerts", NEW_PT),
+                         S.current_status(view(spark, sf_dir, "fx_status_log")))
+    return R.digest_rules(rows).withColumn("hit_windows", F.array_join("hit_windows", ","))
 
 
 @register("alerts_with_seeds", q.query(pub(OLD_PT), """

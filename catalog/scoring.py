@@ -73,14 +73,18 @@ METRICS = """COUNT(*) AS cnt, ROUND(AVG(curr_credit_quota) + 1e-9, 4) AS avg_lim
   ROUND(SUM(next_loan_prin) / NULLIF(SUM(hn), 0) + 1e-9, 4) AS next_avg_loan,
   ROUND(SUM(ni) / NULLIF(SUM(next_loan_prin), 0) + 1e-9, 6) AS next_daily_interest,
   ROUND(SUM(next_total_fee) / NULLIF(SUM(next_loan_prin), 0) + 1e-9, 6) AS next_total_fee_rate,
-  ROUND(SUM(fpd7_fz_dd) / NULLIF(SUM(fpd7_fm_dd), 0) + 1e-9, 6) AS fpd7_dd, ROUND(SUM(fpd7_fz_bj) / NULLIF(SUM(fpd7_fm_bj), 0) + 1e-9, 6) AS fpd7_bj"""
+  ROUND(SUM(curr_loan_prin) + 1e-9, 2) AS loan_amount, ROUND(SUM(next_total_fee) + 1e-9, 2) AS next_total_fee,
+  CAST(SUM(fpd1_fm_dd) AS BIGINT) AS due1_cnt,
+  """ + ", ".join(f"ROUND(SUM(fpd{h}_fz_{k}) / NULLIF(SUM(fpd{h}_fm_{k}), 0) + 1e-9, 6) AS fpd{h}_{k}" for h in (1, 7, 15) for k in ("dd", "bj"))
 MONEY = ("avg_limit", "avg_loan", "next_avg_limit", "next_avg_loan")
+TOTALS = ("loan_amount", "next_total_fee")
 
 
 def metric_round(df):
-    df = df.drop("loan_amount", "next_total_fee")
+    totals = [c for c in TOTALS if c in df.columns]
+    df = df.withColumns({c: near(c, 2) for c in totals})
     money = [c for c in MONEY if c in df.columns]
-    return rounded(df, 6, tuple(money)).withColumns({c: near(c, 4) for c in money})
+    return rounded(df, 6, (*money, *totals)).withColumns({c: near(c, 4) for c in money})
 
 
 @register("credit_metrics", sql(f"SELECT loan_ser_node, flag_customer, {METRICS} FROM smp GROUP BY 1, 2"))
@@ -122,9 +126,10 @@ def quantile_edges(spark, sf_dir):
     return rounded(df.selectExpr(*KEYS, "model", "p + 1 as edge_no", "edge"))
 
 
-BINS = [*EDGES, """bn AS (SELECT l.*, 1 + LEN(LIST_FILTER(e, lambda x: x <= score)) AS bin_no FROM lng l
-  JOIN eg USING (loan_ser_node, flag_customer, model))""",
+BINS = [*EDGES, """bn AS (SELECT *, COALESCE(e[bin_no - 1], CAST('-infinity' AS DOUBLE)) AS lo, COALESCE(e[bin_no], CAST('infinity' AS DOUBLE)) AS hi
+  FROM (SELECT l.*, e, 1 + LEN(LIST_FILTER(e, lambda x: x <= score)) AS bin_no FROM lng l JOIN eg USING (loan_ser_node, flag_customer, model)))""",
         f"""bm AS (SELECT loan_ser_node, flag_customer, model, CAST(bin_no AS INTEGER) AS bin_no, slice, SUM(curr_loan_prin) AS amt,
+  MIN(lo) AS lo, MIN(hi) AS hi, AVG(curr_credit_quota) AS quota,
   SUM(fpd7_fz_dd) / NULLIF(SUM(fpd7_fm_dd), 0) AS dd, {METRICS}
   FROM (SELECT *, CAST(loan_week_begin AS VARCHAR) AS slice FROM bn UNION ALL SELECT *, 'all' FROM bn) GROUP BY 1, 2, 3, 4, 5)""",
         """sr AS (SELECT loan_ser_node, flag_customer, slice, SUM(fpd7_fz_dd) / NULLIF(SUM(fpd7_fm_dd), 0) AS rate FROM (
@@ -157,40 +162,41 @@ def binned_metrics(spark, sf_dir):
 
 def binned(spark, sf_dir):
     s = sample(spark, sf_dir)
-    counts = S.stored_counts(s, KEYS, MODELS)
-    edges = S.quantile_edges(s, KEYS, MODELS, counts=counts)
-    return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, counts)
+    curve = S.score_curve(s, KEYS, MODELS)
+    edges = S.quantile_edges(s, KEYS, MODELS, curve=curve)
+    return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, curve)
 
 
 @register("bin_ordinals", sql("""
-SELECT DISTINCT loan_ser_node, flag_customer, model, CAST(bin_no AS INTEGER) AS bin_no,
+SELECT DISTINCT loan_ser_node, flag_customer, model, CAST(bin_no AS INTEGER) AS bin_no, ROUND(lo, 6) AS bin_lo,
   CAST(DENSE_RANK() OVER (PARTITION BY loan_ser_node, flag_customer, model ORDER BY bin_no) AS INTEGER) AS bin_ordinal
-FROM (SELECT DISTINCT loan_ser_node, flag_customer, model, bin_no FROM bn)""", *BINS))
+FROM (SELECT DISTINCT loan_ser_node, flag_customer, model, bin_no, lo FROM bn)""", *BINS))
 def bin_ordinals(spark, sf_dir):
     s = sample(spark, sf_dir)
     rows = S.assign_bins(s, S.quantile_edges(s, KEYS, MODELS), KEYS, MODELS)
     bins = rows.select(*KEYS, "model", "bin_no", "bin_lo").distinct()
-    return S.bin_ordinal(bins, KEYS).drop("bin_lo")
+    return rounded(S.bin_ordinal(bins, KEYS))
 
 
 SUGGEST = [*BINS, """bb AS (SELECT b.*, s.rate FROM bm b JOIN sr s USING (loan_ser_node, flag_customer, slice)
   JOIN (SELECT * FROM best WHERE slice = 'all') t ON t.loan_ser_node = b.loan_ser_node AND t.flag_customer = b.flag_customer AND t.best_model = b.model
   WHERE b.slice = 'all')""",
-           """sg AS (SELECT loan_ser_node, flag_customer, CAST(SUM(cnt) AS BIGINT) AS n, SUM(amt) / SUM(cnt) AS al FROM bb GROUP BY 1, 2)""",
+           """sg AS (SELECT loan_ser_node, flag_customer, CAST(SUM(cnt) AS BIGINT) AS n, SUM(amt) / SUM(cnt) AS al, SUM(quota * cnt) / SUM(cnt) AS aq FROM bb GROUP BY 1, 2)""",
            """pk AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY loan_ser_node, flag_customer ORDER BY dd NULLS LAST, bin_no) AS rn
   FROM bb WHERE cnt >= 100) WHERE rn = 1)""",
            """sug AS (SELECT p.loan_ser_node, p.flag_customer, p.model AS best_model, p.bin_no, p.cnt AS bin_rows, s.n AS segment_rows, p.avg_loan AS bin_avg_loan, p.amt,
-  s.al, p.dd, p.rate, CASE WHEN p.rate > 0 THEN p.dd / p.rate END AS rr,
+  p.lo, p.hi, p.quota, s.aq, s.al, p.dd, p.rate, CASE WHEN p.rate > 0 THEN p.dd / p.rate END AS rr,
   CAST(CASE WHEN p.dd / NULLIF(p.rate, 0) < 0.5 THEN 0.5 WHEN p.dd / NULLIF(p.rate, 0) < 0.8 THEN 0.3 WHEN p.dd / NULLIF(p.rate, 0) < 1 THEN 0.15 ELSE 0 END AS DOUBLE) AS ratio
   FROM pk p JOIN sg s USING (loan_ser_node, flag_customer))"""]
 
 
 @register("raise_suggestions", sql("""
 SELECT loan_ser_node, flag_customer, best_model, bin_no, bin_rows, segment_rows, bin_avg_loan, ROUND(al + 1e-9, 4) AS segment_avg_loan,
-  ROUND(dd + 1e-9, 6) AS bin_fpd7_dd, ROUND(rate + 1e-9, 6) AS segment_fpd7_dd, ROUND(rr + 1e-9, 6) AS risk_ratio, ratio AS suggested_ratio FROM sug""", *SUGGEST))
+  ROUND(dd + 1e-9, 6) AS bin_fpd7_dd, ROUND(rate + 1e-9, 6) AS segment_fpd7_dd, ROUND(rr + 1e-9, 6) AS risk_ratio, ratio AS suggested_ratio,
+  ROUND(lo, 6) AS bin_lo, ROUND(hi, 6) AS bin_hi, ROUND(quota, 4) AS bin_avg_limit, ROUND(aq, 4) AS segment_avg_limit FROM sug""", *SUGGEST))
 def raise_suggestions(spark, sf_dir):
-    df = S.raise_suggestions(binned(spark, sf_dir), KEYS).drop("bin_lo", "bin_hi", "bin_avg_limit", "segment_avg_limit")
-    money = ("bin_avg_loan", "segment_avg_loan")
+    df = S.raise_suggestions(binned(spark, sf_dir), KEYS)
+    money = ("bin_avg_loan", "segment_avg_loan", "bin_avg_limit", "segment_avg_limit")
     return rounded(df, 6, (*money, "suggested_ratio")).withColumns(
         {c: near(c, 4) for c in money})
 

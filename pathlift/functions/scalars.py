@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The text that stands for a missing dimension value, and the bounds for infinite ratios.
 MISSING = "none"
@@ -92,17 +92,13 @@ def ladder(x: Column, steps: Sequence[tuple[float | None, object]]) -> Column:
     return last if out is None else out.otherwise(last)
 
 
-def first_true(rules: Iterable[tuple[Column, object]], default: object) -> Column:
-    """Ordered decision list: the value of the first condition that holds."""
-    out: Column | None = None
-    for cond, value in rules:
-        v = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(cond, v) if out is None else out.when(cond, v)
-    fallback = default if isinstance(default, Column) else F.lit(default)
-    return fallback if out is None else out.otherwise(fallback)
-
-
 def json_number(x: Column | str) -> Column:
     """Double that JSON can carry: non-finite values become NULL."""
     d = col_of(x).cast("double")
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None).cast("double")).otherwise(d)
+
+
+def with_absent(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The table with every named column; those it lacks hold NULL, so that results have the same columns anywhere."""
+    lacking = [n for n in names if n not in df.columns]
+    return df.withColumns({n: F.lit(None).cast("double") for n in lacking}) if lacking else df

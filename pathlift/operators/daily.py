@@ -11,6 +11,10 @@ from pathlift.functions.scalars import normalize_value
 from pathlift.session import cut_lineage
 
 
+#: Days a comparison needs: one to observe, one to compare with.
+TWO_DAYS = 2
+
+
 def check_columns(raw: DataFrame, cfg: AttributionConfig) -> None:
     """Refuse dimensions the table does not have, before any expression is built from them."""
     missing = [c for c in (*cfg.dimensions, cfg.date_field, *cfg.measures) if c not in raw.columns]
@@ -65,6 +69,15 @@ def facts_in_range(
     )
 
 
+def trend_facts(raw: DataFrame, base: "Base", pt: str | None = None, offset: int = 0) -> DataFrame:
+    """Facts of the trend range; those of the base serve where they reach back as far, so facts are read once."""
+    cfg = base.cfg
+    if cfg.trend_days > cfg.lookback_days:
+        return facts_in_range(raw, cfg, pt, offset, trend=True)
+    start = window_range(raw, cfg, pt, offset).select("trend_start").scalar()
+    return base.facts.where(F.col("day") >= start)
+
+
 def collapse(facts: DataFrame, cfg: AttributionConfig) -> DataFrame:
     """One row per dimension combination and day. Partial sums shrink the data before the only shuffle."""
     return facts.groupBy("day", *cfg.dimensions).agg(
@@ -88,7 +101,8 @@ def kept_days(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
 def window_frame(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
     """One row with the kept days and, per window, its day bounds and totals.
 
-    The arrays hold at most ``lookback_days`` entries, so the row can travel as a scalar subquery.
+    The arrays hold at most ``lookback_days`` entries, so the row can travel as a scalar subquery. Fewer than two days
+    stop the query that reads it: without a baseline there is nothing to compare.
     """
     entry = F.struct(F.col("day").alias("day"), F.coalesce(F.col(cfg.count_field), F.lit(0.0)).alias("total"))
     one = kept_days(totals, cfg).agg(F.sort_array(F.collect_list(entry), asc=False).alias("days"))
@@ -112,7 +126,9 @@ def window_frame(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
             total(base).alias("baseline_total"),
         )
 
-    return one.where(size >= 2).select(
+    enough = F.assert_true(size >= TWO_DAYS, F.format_string(
+        "at least %d days with data are needed in the range, found %d", F.lit(TWO_DAYS), size))
+    return one.where(enough.isNull()).select(
         F.struct(
             F.get(days, size - 1)["day"].alias("first_day"),
             F.get(days, F.lit(0))["day"].alias("last_day"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathlift.functions.scalars import code_map, normalized_code, safe_double
+from pathlift.functions.scalars import code_map, normalized_code, safe_double, with_absent
 
 KEYS = (
     "jq_customer_flag", "defq_use_rate_level", "separate_installment_loan_cnt", "jq_mix_score_bin",
@@ -69,12 +69,15 @@ def valid_population(df: DataFrame, with_caps: bool = False) -> DataFrame:
     return df.where(" and ".join(f"cast({n} as double) >= 0" for n in names))
 
 
-def horizons_of(df: DataFrame) -> list[str]:
-    return [h for h in HORIZONS if f"{h}_fz_dd" in df.columns]
+#: Columns of early default by horizon: customers (dd) that fell due and that defaulted.
+HORIZON_COLUMNS = tuple(f"{h}_{part}_dd" for h in HORIZONS for part in ("fz", "fm"))
 
 
 def strategy_cube(facts: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
-    """Six raw keys and the additive measures; the only pass over customers, combined before the shuffle."""
+    """Six raw keys and the additive measures; the only pass over customers, combined before the shuffle.
+
+    All four horizons are there; one whose columns the table lacks has NULL sums.
+    """
     before, after = "cast(jq_credit_quota as double)", "cast(cash_quota_amount_now_after as double)"
     measures = {
         "cnt": "count(1)",
@@ -90,10 +93,10 @@ def strategy_cube(facts: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
         "t0_cnt": "count_if(cast(next_curday_flag as bigint) = 1)",
         "next_loan_cnt": "count_if(cast(next_loan_flag as bigint) = 1)",
     }
-    for h in horizons_of(facts):
+    for h in HORIZONS:
         measures[f"{h}_num"] = f"sum(cast({h}_fz_dd as double))"
         measures[f"{h}_den"] = f"sum(cast({h}_fm_dd as double))"
-    return valid_population(facts).groupBy(*extra_keys, *KEYS).agg(
+    return valid_population(with_absent(facts, HORIZON_COLUMNS)).groupBy(*extra_keys, *KEYS).agg(
         *[F.expr(f"{sql} as {name}") for name, sql in measures.items()]
     )
 
@@ -114,7 +117,7 @@ def with_expected_rate(cube: DataFrame, policy: DataFrame, book: CodeBook = Code
     )
 
 
-def bucket_sums(horizons: Sequence[str]) -> list[Column]:
+def bucket_sums() -> list[Column]:
     """Additive figures of a bucket, split by raised (flag 1) and not raised (flag 0)."""
     sums: dict[str, str] = {
         "total_cnt": "sum(cnt)",
@@ -132,7 +135,7 @@ def bucket_sums(horizons: Sequence[str]) -> list[Column]:
         "positive_rate_not_raised_cnt": "sum(if(flag = '0' and actual_rate > 0, cnt, 0))",
     }
     names = ["cnt", "before_sum", "after_sum", "loan_sum", "next_prin_sum", "next_prin_cnt", "t0_cnt", "next_loan_cnt"]
-    names += [f"{h}_{part}" for h in horizons for part in ("num", "den")]
+    names += [f"{h}_{part}" for h in HORIZONS for part in ("num", "den")]
     for prefix, flag in (("raised", "1"), ("not_raised", "0")):
         for n in names:
             zero = "0" if n.endswith("cnt") else "0D"
@@ -140,21 +143,17 @@ def bucket_sums(horizons: Sequence[str]) -> list[Column]:
     return [F.expr(f"coalesce({sql}, 0) as {name}") for name, sql in sums.items()]
 
 
-def horizons_in_cube(cube: DataFrame) -> list[str]:
-    return [h for h in HORIZONS if f"{h}_num" in cube.columns]
-
-
 def buckets(joined: DataFrame) -> DataFrame:
     """Cell, mapped / unmapped and overall buckets in one aggregate (grouping sets)."""
     cell = [F.col(c) for c in CELL]
     df = joined.groupingSets(
         [[*cell, F.col("is_mapped")], [F.col("is_mapped")], []], *CELL, "is_mapped"
-    ).agg(F.grouping_id().alias("_g"), *bucket_sums(horizons_in_cube(joined)))
+    ).agg(F.grouping_id().alias("_g"), *bucket_sums())
     kind = "case when _g = 0 then 'cell' when is_mapped is null then 'all' when is_mapped then 'mapped' else 'unmapped' end"
     return df.withColumn("bucket", F.expr(kind)).where("bucket <> 'cell' or is_mapped").drop("_g", "is_mapped")
 
 
-def execution_figures(b: DataFrame, horizons: Sequence[str]) -> DataFrame:
+def execution_figures(b: DataFrame) -> DataFrame:
     """Counts, averages, rates and the conclusion of every bucket. Amounts in cents become yuan."""
     df = b.selectExpr("*", "raised_cnt + not_raised_cnt as settled_cnt",
                       "raised_before_sum + not_raised_before_sum as before_sum",
@@ -185,7 +184,7 @@ def execution_figures(b: DataFrame, horizons: Sequence[str]) -> DataFrame:
         "not_raised_avg_next_loan": ("not_raised_next_prin_sum", "not_raised_next_prin_cnt"),
         "not_raised_next_use_rate": ("not_raised_next_prin_sum", "not_raised_after_sum / 100"),
     }
-    for h in horizons:
+    for h in HORIZONS:
         ratios[f"raised_{h}_rate"] = (f"raised_{h}_num", f"raised_{h}_den")
         ratios[f"not_raised_{h}_rate"] = (f"not_raised_{h}_num", f"not_raised_{h}_den")
     counts = [
@@ -193,7 +192,7 @@ def execution_figures(b: DataFrame, horizons: Sequence[str]) -> DataFrame:
         "positive_rate_not_raised_cnt", "zero_rate_raised_cnt", "actual_raise_cnt", "actual_unchanged_cnt",
         "actual_decrease_cnt",
     ]
-    counts += [f"{p}_{h}_den" for h in horizons for p in ("raised", "not_raised")]
+    counts += [f"{p}_{h}_den" for h in HORIZONS for p in ("raised", "not_raised")]
     keys = [c for c in (*CELL, "bucket", "expected_rate") if c in b.columns]
     out = df.selectExpr(
         *keys,
@@ -213,19 +212,17 @@ def conclusion_sql() -> str:
 
 def cell_report(joined: DataFrame, policy: DataFrame) -> DataFrame:
     """One row per policy cell, also for cells nobody fell into."""
-    horizons = horizons_in_cube(joined)
-    sums = joined.where("is_mapped").groupBy(*CELL).agg(*bucket_sums(horizons))
+    sums = joined.where("is_mapped").groupBy(*CELL).agg(*bucket_sums())
     figures = [c for c in sums.columns if c not in CELL]
     full = policy.select(*CELL, F.col("target_rate").alias("expected_rate")).join(sums, list(CELL), "left")
     filled = full.select(*CELL, "expected_rate", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in figures])
-    return execution_figures(filled, horizons)
+    return execution_figures(filled)
 
 
 def overall_report(joined: DataFrame, target: float = TARGET_AVERAGE) -> DataFrame:
     """Whole, mapped and unmapped population with the attainment of the target average."""
-    horizons = horizons_in_cube(joined)
     b = buckets(joined).where("bucket <> 'cell'").drop(*CELL)
-    df = execution_figures(b, horizons)
+    df = execution_figures(b)
     t = f"{float(target)}D"
     return df.selectExpr(
         "*",

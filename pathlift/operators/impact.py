@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from pathlift.functions.paths import quoted
-from pathlift.functions.scalars import normalized_code
+from pathlift.functions.scalars import normalized_code, with_absent
 from pathlift.operators.execution import CELL, KEYS, SAME_RATE, CodeBook, loan_count, valid_population
 
 
@@ -99,9 +99,16 @@ def launch_by_hour(facts: DataFrame, since: str, time_col: str, *keys: str) -> D
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Columns a settlement table may lack: days and daily fee of the loan, early default by customers and by amount.
+SETTLEMENT_COLUMNS = (
+    "loan_period_days", "interest_fee_daily",
+    *(f"{h}_{part}_{kind}" for h in ("fpd1", "fpd7") for part in ("fz", "fm") for kind in ("dd", "bj")),
+)
+
+
 def daily_settlement(facts: DataFrame) -> DataFrame:
-    """Eighteen figures per settlement day; figures whose source columns are absent are left out."""
-    have = set(facts.columns)
+    """Eighteen figures per settlement day; figures whose source columns are absent are NULL."""
+    facts = with_absent(facts, SETTLEMENT_COLUMNS)
     sums = {
         "settled_cnt": "count(1)",
         "_before": "sum(cast(jq_credit_quota as double))",
@@ -112,20 +119,16 @@ def daily_settlement(facts: DataFrame) -> DataFrame:
         "_r_after": "sum(if(cast(te_flag as bigint) = 1, cast(cash_quota_amount_now_after as double), 0D))",
         "next_loan_cnt": "count_if(cast(loan_prin as double) > 0)",
         "_next": "sum(cast(loan_prin as double))",
+        "avg_loan_days": "avg(cast(loan_period_days as double))",
+        "avg_daily_fee": "avg(cast(interest_fee_daily as double))",
     }
-    optional = {"loan_period_days": "avg_loan_days", "interest_fee_daily": "avg_daily_fee"}
-    for column, name in optional.items():
-        if column in have:
-            sums[name] = f"avg(cast({column} as double))"
     rates = {}
     for h in ("fpd1", "fpd7"):
         for kind, suffix in (("dd", "rate"), ("bj", "amount_rate")):
-            if f"{h}_fz_{kind}" in have:
-                sums[f"_{h}_{kind}_n"] = f"sum(cast({h}_fz_{kind} as double))"
-                sums[f"_{h}_{kind}_d"] = f"sum(cast({h}_fm_{kind} as double))"
-                rates[f"{h}_{suffix}"] = f"try_divide(_{h}_{kind}_n, _{h}_{kind}_d)"
-                if kind == "dd":
-                    rates[f"{h}_matured_cnt"] = f"cast(_{h}_dd_d as bigint)"
+            sums[f"_{h}_{kind}_n"] = f"sum(cast({h}_fz_{kind} as double))"
+            sums[f"_{h}_{kind}_d"] = f"sum(cast({h}_fm_{kind} as double))"
+            rates[f"{h}_{suffix}"] = f"try_divide(_{h}_{kind}_n, _{h}_{kind}_d)"
+        rates[f"{h}_matured_cnt"] = f"cast(_{h}_dd_d as bigint)"
     df = valid_population(facts).groupBy("jq_date").agg(*[F.expr(f"{s} as {n}") for n, s in sums.items()])
     return df.selectExpr(
         "jq_date", "settled_cnt",
@@ -138,15 +141,15 @@ def daily_settlement(facts: DataFrame) -> DataFrame:
         "try_divide(_r_after, raised_cnt) / 100 as raised_avg_after",
         "next_loan_cnt",
         "try_divide(_next, next_loan_cnt) as avg_next_loan",
-        *[n for n in optional.values() if n in df.columns],
+        "avg_loan_days", "avg_daily_fee",
         *[f"{sql} as {name}" for name, sql in rates.items()],
     )
 
 
 def effect_framework(facts: DataFrame) -> DataFrame:
-    """Strategy x score x flag: limits, loans, use rates, next-loan rate and early default."""
-    horizons = [h for h in ("fpd1", "fpd7") if f"{h}_fz_dd" in facts.columns]
-    df = valid_population(facts).groupBy(
+    """Strategy x score x flag: limits, loans, use rates, next-loan rate and early default (NULL where not in the table)."""
+    horizons = ("fpd1", "fpd7")
+    df = valid_population(with_absent(facts, SETTLEMENT_COLUMNS)).groupBy(
         "str_type", normalized_code("jq_mix_score_bin").alias("score"), normalized_code("te_flag").alias("flag")
     ).agg(
         F.count(F.lit(1)).alias("cnt"),

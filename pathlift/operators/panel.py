@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pathlift.config import AttributionConfig
-from pathlift.functions.paths import matches, path_depth
+from pathlift.functions.paths import path_depth
 from pathlift.functions.scalars import ratio_or_null
 from pathlift.operators.daily import daily_totals
 
 
-def path_rows(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """Fact rows joined to every path they lie on.
+def field_sets(paths: DataFrame, cfg: AttributionConfig) -> list[tuple[str, ...]]:
+    """The sets of fields that paths have conditions on: at most the subsets of the dimensions up to the paths' depth."""
+    used = paths.select(F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in cfg.dimensions])).alias("s"))
+    return sorted(tuple(r.s) for r in used.distinct().collect())
+
 
-    Each path is anchored at its first condition, so the join is an equality on (field, value); the remaining
-    conditions are checked on the candidates. The planner chooses the join by the size of the stored path list: a
-    short one is broadcast and facts stay where they are, a long one shuffles both sides on the anchor and adaptive
-    execution splits hot anchors.
+def path_sums(facts: DataFrame, paths: DataFrame, measures: list[str], cfg: AttributionConfig) -> DataFrame:
+    """Sums per path and day, with all columns of ``paths``; no row for a day on which a path has no facts.
+
+    Facts are summed once to (fields, day) for every set of fields that paths use, as grouping sets whose partial sums
+    combine before the exchange. Each sum then stands for exactly one path: one equality on all dimensions, null
+    where a field is open, finds it. No fact row meets a path, and no value becomes a hot key.
     """
-    dims = cfg.dimensions
-    carried = [c for c in paths.columns if c not in dims]
-    first = ", ".join(f"if({d} is null, null, named_struct('field', '{d}', 'value', {d}))" for d in dims)
-    p = paths.selectExpr(
-        *carried, *[f"{d} as _s_{d}" for d in dims], f"coalesce({first}) as _anchor"
-    ).select("*", F.col("_anchor.field").alias("_af"), F.col("_anchor.value").alias("_av")).drop("_anchor")
-    each = ", ".join(f"named_struct('field', '{d}', 'value', {d})" for d in dims)
-    f = facts.select("*", F.expr(f"explode(array({each})) as _x"))
-    f = f.select("*", F.col("_x.field").alias("_xf"), F.col("_x.value").alias("_xv")).drop("_x")
-    on = (F.col("_xf") == F.col("_af")) & (F.col("_xv") == F.col("_av")) & matches(dims)
-    joined = f.join(p, on, "inner")
-    return joined.drop("_xf", "_xv", "_af", "_av", *[f"_s_{d}" for d in dims])
+    dims = list(cfg.dimensions)
+    sets = [["day", *s] for s in field_sets(paths, cfg)] or [["day"]]
+    sums = facts.groupingSets([[F.col(c) for c in s] for s in sets], "day", *dims).agg(
+        *[F.sum(m).alias(m) for m in measures])
+    wanted = paths.withColumnsRenamed({d: f"_s_{d}" for d in dims})
+    same = functools.reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"_s_{d}")) for d in dims])
+    return sums.join(wanted, same).drop(*[f"_s_{d}" for d in dims])
 
 
 def day_list(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
@@ -39,17 +41,11 @@ def day_list(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
 
 
 def path_daily(facts: DataFrame, paths: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """Every path on every day that has data, zeros where the path has none; one scan for all measures."""
-    sums = (
-        path_rows(facts, paths.select("id", *cfg.dimensions), cfg)
-        .groupBy("id", "day")
-        .agg(
-            F.sum(cfg.count_field).alias("application_count"),
-            F.sum(cfg.approval_fields[0]).alias("approval_count"),
-            F.sum(cfg.person_field).alias("cid_cnt"),
-            F.sum(cfg.person_approval_field).alias("approval_cid_cnt"),
-        )
-    )
+    """Every path on every day that has data, zeros where the path has none; ``paths`` holds each id once."""
+    measures = [cfg.count_field, cfg.approval_fields[0], cfg.person_field, cfg.person_approval_field]
+    names = ["application_count", "approval_count", "cid_cnt", "approval_cid_cnt"]
+    sums = path_sums(facts, paths.select("id", *cfg.dimensions), measures, cfg).select(
+        "id", "day", *[F.col(m).alias(n) for m, n in zip(measures, names)])
     days = day_list(daily_totals(facts, cfg), cfg)
     grid = paths.select("id").distinct().select("id", F.explode(days.scalar()).alias("d")).select("id", "d.*")
     filled = grid.join(sums.withColumnRenamed("day", "date"), ["id", "date"], "left")
@@ -132,7 +128,11 @@ def trend_rows(panel: DataFrame, days: int = 60, starts: DataFrame | None = None
             "tracking_start is null or date >= tracking_start"
         )
     w = W.partitionBy("alert_id").orderBy(F.desc("date"))
-    rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= days).drop("_rn")
+    return trend_figures(rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= days).drop("_rn"))
+
+
+def trend_figures(rows: DataFrame) -> DataFrame:
+    """Shares and rates of daily rows in percent, 0.0 on a zero denominator."""
     return rows.selectExpr(
         "alert_id", "date", "application_count", "total_application_count",
         "if(total_application_count <> 0, application_count / total_application_count * 100, 0D)"

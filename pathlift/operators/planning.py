@@ -179,11 +179,13 @@ def solve_scale(
         F.coalesce(F.max("_brk").over(up), F.lit(0.0)).alias("_from"),
         F.coalesce(F.sum("_full").over(up), F.lit(0.0)).alias("_flat"),
         F.sum("_w").over(down).alias("_slope"),
-    ).withColumn("need", needed_increment_by(grid, target, keys) if not keys else F.lit(None).cast("double"))
+    )
     if keys:
         needs = grid.groupBy(*keys).agg(
             F.expr(f"{float(target)}D * sum(settled) - sum(settled * settled_avg_limit) as need"))
-        pieces = pieces.drop("need").join(needs, keys)
+        pieces = pieces.join(needs, keys)
+    else:
+        pieces = pieces.withColumn("need", needed_increment(grid, target))
     solved = pieces.selectExpr(
         *keys, "need", "_brk", "_flat + _slope * _brk as _at_end", "_flat + _slope * _from as _at_start",
         "(need - _flat) / _slope as _k",
@@ -198,10 +200,6 @@ def solve_scale(
     )
 
 
-def needed_increment_by(grid: DataFrame, target: float, keys: Sequence[str]) -> Column:
-    return needed_increment(grid, target)
-
-
 def full_scale(grid: DataFrame, rule: RateRule, limit: float = 3.0) -> DataFrame:
     """Smallest k at which every eligible cell touches its ceiling, and how many touch it."""
     k = grid.where("eligible").agg(
@@ -220,8 +218,13 @@ def solved_plan(grid: DataFrame, rule: RateRule, target: float, lo: float = 0.0,
 
 
 def plan_details(plan: DataFrame, rule: RateRule) -> DataFrame:
-    """Which constraint bound each cell, whether it touched a cap, and the reason as text."""
-    pct = "string(bround(rate * 100, 0))"
+    """Which constraint bound each cell, whether it touched a cap, and the reason as text: risk, the cap of the rate
+    times multiplier times k, the raise that came out and the limit after it."""
+
+    def pct(x: str, digits: int = 0) -> str:
+        return f"coalesce(concat(string(bround({x} * 100, {digits})), '%'), 'unknown')"
+
+    money = "coalesce(format_number({0}, 0), 'unknown')"
     return plan.withColumns(
         {
             "hit_rate_ceiling": F.expr(f"eligible and ({rule.slope}) * k >= {rule.ceiling} - 1e-9"),
@@ -234,9 +237,11 @@ def plan_details(plan: DataFrame, rule: RateRule) -> DataFrame:
                 " if(hit_rate_ceiling, 'rate', null), if(hit_limit_cap, 'limit', null))), '+')"),
             "reason": F.expr(
                 "case when not eligible then concat('score_level=', score_level, ', not eligible')"
-                " when increment <= 0 then concat('score_level=', score_level, ', no room below the cap')"
-                f" else concat('score_level=', score_level, ', ', tier, ', raise ', {pct}, '%',"
-                " if(hit_limit_cap, ' (limit cap)', '')) end"),
+                " when increment <= 0 then concat('score_level=', score_level, ', no room below the limit cap ', "
+                f"{money.format('limit_cap')})"
+                f" else concat('score_level=', score_level, ', fpd7 ', {pct('fpd7_rate', 1)}, ' (', tier, '), rate cap ', "
+                f"{pct('rate_cap')}, ' x ', string(tier_multiplier), ' x ', format_string('%.2f', k), ' -> raise ', "
+                f"{pct('rate')}, ', limit after ', {money.format('new_limit')}, if(hit_limit_cap, ' (limit cap)', '')) end"),
         }
     )
 

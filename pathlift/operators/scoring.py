@@ -41,18 +41,21 @@ def long_scores(df: DataFrame, keys: Sequence[str], models: Sequence[str], carry
     )
 
 
+def with_whole(partial: DataFrame, by: Sequence[str], time_col: str, sums: Sequence[str]) -> DataFrame:
+    """Rows of sums per (by, week) and, rolled up from these, over all weeks; ``slice`` names the week or ``all``."""
+    base = [F.col(c) for c in by]
+    both = partial.groupingSets([[*base, F.col(time_col)], base], *by, time_col).agg(
+        F.grouping(time_col).alias("_all"), *[F.sum(c).alias(c) for c in sums])
+    return both.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
+
+
 def score_counts(df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None) -> DataFrame:
     """Good and bad matured rows per (keys, model, distinct score); with ``time_col`` per week and over all weeks."""
-    carry = ["y_bad"] + ([time_col] if time_col else [])
-    rows = long_scores(df.where("fpd7_fm_dd = 1"), keys, models, carry)
-    sums = (F.expr("count_if(y_bad = 1) as bad"), F.expr("count_if(y_bad = 0) as good"))
-    base = [F.col(k) for k in (*keys, "model", "score")]
-    if not time_col:
-        return rows.groupBy(*keys, "model", "score").agg(*sums)
-    both = rows.groupingSets([[*base, F.col(time_col)], base], *keys, "model", "score", time_col).agg(
-        F.grouping(time_col).alias("_all"), *sums
-    )
-    return both.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
+    by = [*keys, "model", "score"]
+    rows = long_scores(df.where("fpd7_fm_dd = 1"), keys, models, ["y_bad"] + ([time_col] if time_col else []))
+    counts = rows.groupBy(*by, *([time_col] if time_col else [])).agg(
+        F.expr("count_if(y_bad = 1) as bad"), F.expr("count_if(y_bad = 0) as good"))
+    return with_whole(counts, by, time_col, ("bad", "good")) if time_col else counts
 
 
 def stored_counts(df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None) -> DataFrame:
@@ -60,18 +63,33 @@ def stored_counts(df: DataFrame, keys: Sequence[str], models: Sequence[str], tim
     return cut_lineage(score_counts(df, keys, models, time_col))
 
 
-def ks_auc(
+def score_curve(
     df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None,
     counts: DataFrame | None = None,
+) -> DataFrame:
+    """Running good and bad counts over the distinct scores of every segment, written once: KS, AUC and edges read it."""
+    by = [*keys] + (["slice"] if time_col else [])
+    counts = stored_counts(df, keys, models, time_col) if counts is None else counts
+    return cut_lineage(running_totals(counts, [*by, "model"], "score", ("bad", "good"), ("model",)))
+
+
+def ks_auc(
+    df: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str | None = None,
+    counts: DataFrame | None = None, curve: DataFrame | None = None, matured: DataFrame | None = None,
 ) -> DataFrame:
     """Exact KS and AUC per segment and model on matured rows, independent of the score's direction.
 
     NULL below fifty scored rows, with one class, or with one distinct score; segments with fewer than fifty
-    matured rows are left out.
+    matured rows are left out. ``curve`` and ``matured`` (keys, matured_rows) save reading the sample again.
     """
     by = [*keys] + (["slice"] if time_col else [])
-    counts = stored_counts(df, keys, models, time_col) if counts is None else counts
-    run = running_totals(counts, [*by, "model"], "score", ("bad", "good"), ("model",))
+    if curve is None:
+        counts = stored_counts(df, keys, models, time_col) if counts is None else counts
+        run = running_totals(counts, [*by, "model"], "score", ("bad", "good"), ("model",))
+    else:
+        run = curve
+    if matured is None:
+        matured = matured_segments(df, keys, time_col)
     curve = run.groupBy(*by, "model").agg(
         F.max("bad_total").alias("bad"),
         F.max("good_total").alias("good"),
@@ -84,19 +102,13 @@ def ks_auc(
         *by, "model", "bad + good as scored_rows",
         f"if({ok}, _ks, null) as ks", f"if({ok}, greatest(_auc, 1 - _auc), null) as auc",
     )
-    return figures.join(matured_segments(df, keys, time_col), by)
+    return figures.join(matured.where(F.col("matured_rows") >= MIN_ROWS), by)
 
 
 def matured_segments(df: DataFrame, keys: Sequence[str], time_col: str | None) -> DataFrame:
     rows = df.where("fpd7_fm_dd = 1").where(" and ".join(f"{k} is not null" for k in keys))
-    base = [F.col(k) for k in keys]
-    if not time_col:
-        sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("matured_rows"))
-    else:
-        sized = rows.groupingSets([[*base, F.col(time_col)], base], *keys, time_col).agg(
-            F.grouping(time_col).alias("_all"), F.count(F.lit(1)).alias("matured_rows")
-        ).withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
-    return sized.where(F.col("matured_rows") >= MIN_ROWS)
+    sized = rows.groupBy(*keys, *([time_col] if time_col else [])).agg(F.count(F.lit(1)).alias("matured_rows"))
+    return with_whole(sized, keys, time_col, ["matured_rows"]) if time_col else sized
 
 
 def best_model(figures: DataFrame, by: Sequence[str], models: Sequence[str]) -> DataFrame:
@@ -118,58 +130,73 @@ def model_effect(df: DataFrame, keys: Sequence[str], models: Sequence[str], time
     return wide.join(best, by).join(credit_metrics_sliced(df, keys, time_col), by, "full_outer")
 
 
-def metric_columns(columns: Sequence[str]) -> list[str]:
-    """The credit metrics that the available columns allow, as aggregate expressions."""
-    have = set(columns)
-    out = {
-        "cnt": "count(1)",
-        "avg_limit": "avg(curr_credit_quota)",
-        "avg_loan": "try_divide(sum(curr_loan_prin), count(businessid))",
-        "daily_interest": "try_divide(sum(curr_interest_amount), sum(curr_loan_prin))",
-        "total_fee_rate": "try_divide(sum(curr_total_fee), sum(curr_loan_prin))",
-        "loan_amount": "sum(curr_loan_prin)",
-        "next_avg_limit": "try_divide(sum(next_curr_credit_quota), sum(has_next))",
-        "next_avg_loan": "try_divide(sum(next_loan_prin), sum(has_next))",
-        "next_daily_interest": "try_divide(sum(next_interest_amount), sum(next_loan_prin))",
-        "next_total_fee_rate": "try_divide(sum(next_total_fee), sum(next_loan_prin))",
-        # Often labelled as the next loan amount; what it sums is the fee.
-        "next_total_fee": "sum(next_total_fee)",
-    }
-    if "fpd1_fm_dd" in have:
-        out["due1_cnt"] = "sum(fpd1_fm_dd)"
-    for h in HORIZONS:
-        for kind in ("dd", "bj"):
-            if f"{h}_fz_{kind}" in have:
-                out[f"{h}_{kind}"] = f"try_divide(sum({h}_fz_{kind}), sum({h}_fm_{kind}))"
-    return [f"{sql} as {name}" for name, sql in out.items()]
+#: Sums and counts that the credit metrics are made of; sums of parts add up to those of the whole.
+SUMS = {
+    "cnt": "count(1)", "loans": "count(businessid)", "limits": "count(curr_credit_quota)",
+    "matured_rows": "count_if(fpd7_fm_dd = 1)",
+    **{f"sum_{c}": f"sum({c})" for c in (
+        "curr_credit_quota", "curr_loan_prin", "curr_interest_amount", "curr_total_fee", "next_curr_credit_quota",
+        "has_next", "next_loan_prin", "next_interest_amount", "next_total_fee",
+        *(f"{h}_{part}_{kind}" for h in HORIZONS for kind in ("dd", "bj") for part in ("fz", "fm")))},
+}
+METRICS = {
+    "cnt": "cnt",
+    "avg_limit": "try_divide(sum_curr_credit_quota, limits)",
+    "avg_loan": "try_divide(sum_curr_loan_prin, loans)",
+    "daily_interest": "try_divide(sum_curr_interest_amount, sum_curr_loan_prin)",
+    "total_fee_rate": "try_divide(sum_curr_total_fee, sum_curr_loan_prin)",
+    "loan_amount": "sum_curr_loan_prin",
+    "next_avg_limit": "try_divide(sum_next_curr_credit_quota, sum_has_next)",
+    "next_avg_loan": "try_divide(sum_next_loan_prin, sum_has_next)",
+    "next_daily_interest": "try_divide(sum_next_interest_amount, sum_next_loan_prin)",
+    "next_total_fee_rate": "try_divide(sum_next_total_fee, sum_next_loan_prin)",
+    # Often labelled as the next loan amount; what it sums is the fee.
+    "next_total_fee": "sum_next_total_fee",
+    "due1_cnt": "cast(sum_fpd1_fm_dd as bigint)",
+    **{f"{h}_{kind}": f"try_divide(sum_{h}_fz_{kind}, sum_{h}_fm_{kind})" for h in HORIZONS for kind in ("dd", "bj")},
+}
+
+
+def partial_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sums behind the credit metrics per group; a source column that the table lacks counts as NULL."""
+    lacking = {sql[4:-1] for sql in SUMS.values() if sql.startswith("sum(")} - set(df.columns)
+    rows = df.withColumns({c: F.lit(None).cast("double") for c in sorted(lacking)}) if lacking else df
+    return rows.groupBy(*by).agg(*[F.expr(f"{sql} as {name}") for name, sql in SUMS.items()])
+
+
+def metrics_of(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Credit metrics out of partial sums: always all of them, NULL where a horizon or fee was not in the table."""
+    return sums.selectExpr(*by, *[f"{sql} as {name}" for name, sql in METRICS.items()])
 
 
 def credit_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = df.where(" and ".join(f"{k} is not null" for k in keys))
-    return rows.groupBy(*keys).agg(*[F.expr(e) for e in metric_columns(df.columns)])
+    return metrics_of(partial_sums(rows, keys), keys)
 
 
 def credit_metrics_sliced(df: DataFrame, keys: Sequence[str], time_col: str) -> DataFrame:
-    """Credit metrics per week and over all weeks, one pass."""
+    """Credit metrics per week and over all weeks: rows are summed once, to weeks, and weeks to the whole."""
     rows = df.where(" and ".join(f"{k} is not null" for k in keys))
-    base = [F.col(k) for k in keys]
-    both = rows.groupingSets([[*base, F.col(time_col)], base], *keys, time_col).agg(
-        F.grouping(time_col).alias("_all"), *[F.expr(e) for e in metric_columns(df.columns)]
-    )
-    return both.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
+    sums = with_whole(partial_sums(rows, [*keys, time_col]), keys, time_col, list(SUMS))
+    return metrics_of(sums, [*keys, "slice"])
 
 
 def quantile_edges(
-    df: DataFrame, keys: Sequence[str], models: Sequence[str], bins: int = 5, counts: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], models: Sequence[str], bins: int = 5, counts: DataFrame | None = None,
+    curve: DataFrame | None = None,
 ) -> DataFrame:
     """Inner edges of equal-frequency bins per (keys, model), exact with linear interpolation.
 
     Positions are looked up in the running counts of distinct scores, so no group is buffered. Edges equal to
-    the smallest or largest score and repeated edges drop out.
+    the smallest or largest score and repeated edges drop out. ``curve`` as in ``ks_auc``.
     """
-    counts = stored_counts(df, keys, models) if counts is None else counts
-    sized = counts.withColumn("n", F.col("bad") + F.col("good")).drop("bad", "good")
-    run = running_totals(sized, [*keys, "model"], "score", ("n",), ("model",))
+    if curve is None:
+        counts = stored_counts(df, keys, models) if counts is None else counts
+        sized = counts.withColumn("n", F.col("bad") + F.col("good")).drop("bad", "good")
+        run = running_totals(sized, [*keys, "model"], "score", ("n",), ("model",))
+    else:
+        run = curve.selectExpr(
+            *keys, "model", "score", "bad + good as n", "bad_before + good_before as n_before", "bad_total + good_total as n_total")
 
     def at(position: str) -> str:
         return f"max(if(n_before <= {position} and {position} < n_before + n, score, null))"
@@ -197,37 +224,58 @@ def approximate_edges(
     ).selectExpr(*keys, "model", "filter(array_distinct(_q), e -> e > element_at(_q, 1) and e < element_at(_q, -1)) as edges")
 
 
-def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+def placed_scores(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], carry: Sequence[str],
+                  whole: bool = False) -> DataFrame:
     """Sample rows per model with their left-closed bin; rows without a usable score drop out.
 
-    The edges (one row per segment and model) are stored, so the planner knows their size: a short list is broadcast
-    and no sample row moves; a long one is joined by shuffle, and adaptive execution splits hot segments.
+    All models' edges of a segment are one row, joined before models multiply the rows, which then hold only
+    ``carry``. The list is stored, so the planner knows its size: a short one is broadcast and no sample row moves; a
+    long one is joined by shuffle, and adaptive execution splits hot segments. ``whole`` adds every row once more
+    with NULL as model, for figures of the segment.
     """
-    carry = [c for c in df.columns if c not in keys and c not in models]
-    rows = long_scores(df, keys, models, carry)
-    joined = rows.join(cut_lineage(edges), [*keys, "model"], "left")
-    e = "coalesce(edges, cast(array() as array<double>))"
-    return joined.selectExpr("*", f"size(filter({e}, x -> x <= score)) as _k", f"{e} as _e").selectExpr(
-        *keys, "model", "score", *carry, "_k + 1 as bin_no",
+    listed = edges.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("model", "edges"))).alias("_edges"))
+    kept = df.where(" and ".join(f"{k} is not null" for k in keys)) if keys else df
+    joined = kept.join(cut_lineage(listed), list(keys), "left")
+    own = [c for c in carry if c not in keys]
+    pairs = [f"named_struct('model', '{m}', 'score', cast({m} as double), "
+             f"'_e', coalesce(_edges['{m}'], cast(array() as array<double>)))" for m in models]
+    if whole:
+        pairs.append("named_struct('model', cast(null as string), 'score', cast(null as double), "
+                     "'_e', cast(null as array<double>))")
+    rows = joined.selectExpr(*keys, *own, f"inline(array({', '.join(pairs)}))").where(
+        "(score > 0 and score < double('infinity'))" + (" or model is null" if whole else ""))
+    return rows.selectExpr("*", "size(filter(_e, x -> x <= score)) as _k").selectExpr(
+        *keys, "model", "score", *own, "_k + 1 as bin_no",
         "if(_k = 0, double('-infinity'), get(_e, _k - 1)) as bin_lo",
         "coalesce(get(_e, _k), double('infinity')) as bin_hi",
     )
 
 
+def assign_bins(df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """All columns of the sample per model, with the bin; see ``placed_scores``."""
+    return placed_scores(df, edges, keys, models, [c for c in df.columns if c not in models])
+
+
 def binned_metrics(
     df: DataFrame, edges: DataFrame, keys: Sequence[str], models: Sequence[str], time_col: str,
-    counts: DataFrame | None = None,
+    curve: DataFrame | None = None,
 ) -> DataFrame:
-    """Credit metrics per bin and slice, lift against the segment's rate in the same slice, best-model flag."""
-    rows = assign_bins(df, edges, keys, models)
+    """Credit metrics per bin and slice, lift against the segment's rate in the same slice, best-model flag.
+
+    The sample is read once, to sums per (segment, model, bin, week) and per (segment, week); weeks are rolled up,
+    and rates, lifts and matured rows follow from these sums. ``curve`` as in ``ks_auc``.
+    """
     bins = [*keys, "model", "bin_no", "bin_lo", "bin_hi"]
-    metrics = credit_metrics_sliced(rows, bins, time_col)
-    base = [F.col(k) for k in keys]
-    rate = df.where(" and ".join(f"{k} is not null" for k in keys)).groupingSets(
-        [[*base, F.col(time_col)], base], *keys, time_col
-    ).agg(F.grouping(time_col).alias("_all"), F.expr("try_divide(sum(fpd7_fz_dd), sum(fpd7_fm_dd)) as segment_fpd7_dd"))
-    rate = rate.withColumn("slice", F.expr(f"if(_all = 1, '{ALL}', string({time_col}))")).drop("_all", time_col)
-    best = best_model(ks_auc(df, keys, models, counts=counts), keys, models).select(*keys, "best_model")
+    needed = [time_col, "businessid", *[c for c in df.columns if any(f"({c})" in sql or f"({c} " in sql for sql in SUMS.values())]]
+    rows = placed_scores(df, edges, keys, models, list(dict.fromkeys(needed)), whole=True)
+    weekly = cut_lineage(partial_sums(rows, [*bins, time_col]))
+    sums = with_whole(weekly, bins, time_col, list(SUMS))
+    segments = sums.where("model is null")
+    metrics = metrics_of(sums.where("model is not null"), [*bins, "slice"])
+    rate = segments.selectExpr(*keys, "slice", "try_divide(sum_fpd7_fz_dd, sum_fpd7_fm_dd) as segment_fpd7_dd")
+    matured = segments.where(F.col("slice") == ALL).select(*keys, "matured_rows")
+    curve = score_curve(df, keys, models) if curve is None else curve
+    best = best_model(ks_auc(df, keys, models, curve=curve, matured=matured), keys, models).select(*keys, "best_model")
     return metrics.join(rate, [*keys, "slice"], "left").join(best, list(keys), "left").withColumns(
         {
             "fpd7_dd_lift": F.expr("try_divide(fpd7_dd, segment_fpd7_dd)"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pathlift.config import AttributionConfig
 from pathlift.operators.daily import Base
 from pathlift.operators.metrics import as_records, window_sums, with_amounts, with_windows
-from pathlift.operators.panel import path_rows
+from pathlift.operators.panel import path_sums
 
 OPEN = (1, 2)
 
@@ -120,15 +120,54 @@ def overlay_status(records: DataFrame, current: DataFrame, active: DataFrame) ->
     )
 
 
+#: What a rule keeps of the alert it was made from.
+DEFINITION = ("source", "is_expert_forced", "rule_note", "drilldown_rule", "enters_next_level", "path", "conditions")
+
+
+def definition_history(alerts: DataFrame, pt_col: str = "pt") -> DataFrame:
+    """Definitions of all paths over time: one row whenever a path's definition changes, valid from that partition on.
+
+    ``alerts``: canonical_path, the columns of DEFINITION and the partition each alert was published for. A path has
+    at most one row per partition, which bounds the ordered window.
+    """
+    own = F.struct(*DEFINITION)
+    w = W.partitionBy("canonical_path").orderBy(pt_col)
+    rows = alerts.select("canonical_path", F.col(pt_col), own.alias("_own"), F.to_json(own).alias("_text"))
+    rows = rows.withColumn("_before", F.lag("_text").over(w)).where("_before is null or _before <> _text")
+    return rows.select("canonical_path", F.col(pt_col).alias("valid_from"), "_own.*")
+
+
+def with_definitions(rules: DataFrame, history: DataFrame) -> DataFrame:
+    """Each rule with the definition that was valid when it was tagged; the first later one if there was none yet.
+
+    ``valid_from`` is a partition id of the form of the day. A path without any definition gets NULL.
+    """
+    own = F.struct(*DEFINITION)
+    entered = F.date_format("entered_day", "yyyyMMdd")
+    joined = rules.select("canonical_path", "entered_day").join(history, "canonical_path")
+    before = F.col("valid_from") <= entered
+    chosen = joined.groupBy("canonical_path", "entered_day").agg(
+        F.max_by(F.when(before, own), F.when(before, F.col("valid_from"))).alias("_asof"),
+        F.min_by(own, F.col("valid_from")).alias("_first"))
+    chosen = chosen.select(
+        F.col("canonical_path").alias("_path"), F.col("entered_day").alias("_day"), F.coalesce("_asof", "_first").alias("_own"))
+    same = (F.col("canonical_path") == F.col("_path")) & F.col("entered_day").eqNullSafe(F.col("_day"))
+    plain = rules.drop(*[c for c in DEFINITION if c in rules.columns])
+    return plain.join(chosen, same, "left").select(*plain.columns, *[F.col(f"_own.{c}").alias(c) for c in DEFINITION])
+
+
 def tracked_records(base: Base, rules: DataFrame) -> DataFrame:
     """Rebuild tracked rules from the day they were tagged, measured against the full totals.
 
-    ``rules``: canonical_path, entered_day, dimension columns, and optionally source / rule_note. A rule without
-    data still gets a record of zeros.
+    ``rules``: canonical_path, entered_day, dimension columns, and optionally the columns of DEFINITION, which the
+    records then keep (source, forced flag, note, order of the conditions). A rule without data still gets a record
+    of zeros.
     """
     cfg, dims = base.cfg, base.cfg.dimensions
-    rows = path_rows(with_amounts(base.facts, base), rules.select("canonical_path", "entered_day", *dims).withColumnRenamed(
-        "canonical_path", "_rule"), cfg)
+    rows = with_amounts(base.facts, base)
+    amounts = [c for c in rows.columns if c not in base.facts.columns]
+    wanted = rules.select(F.col("canonical_path").alias("_rule"), "entered_day", *dims)
+    rows = path_sums(rows, wanted, amounts, cfg)
     later = rows.where("entered_day is null or day >= entered_day")
     sums = later.groupBy("_rule").agg(*window_sums(base))
     figures = [c for c in sums.columns if c != "_rule"]
@@ -136,8 +175,13 @@ def tracked_records(base: Base, rules: DataFrame) -> DataFrame:
         *dims, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in figures]
     )
     records = as_records(with_windows(filled, base), cfg, source="已跟踪规则")
-    starts = rules.select("canonical_path", F.col("entered_day").alias("tracking_start"))
-    return records.join(starts, "canonical_path", "left")
+    known = [c for c in DEFINITION if c in rules.columns]
+    starts = rules.select(
+        F.col("canonical_path").alias("_rule"), F.col("entered_day").alias("tracking_start"),
+        *[F.col(c).alias(f"_d_{c}") for c in known])
+    kept = records.join(starts, F.col("canonical_path") == F.col("_rule"), "left")
+    return kept.select(
+        *[F.coalesce(F.col(f"_d_{c}"), F.col(c)).alias(c) if c in known else F.col(c) for c in records.columns], "tracking_start")
 
 
 def apply_tracked(merged: DataFrame, tracked: DataFrame) -> DataFrame:

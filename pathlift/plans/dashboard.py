@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pathlift.config import AttributionConfig
 from pathlift.functions.paths import matches
@@ -16,6 +17,16 @@ from pathlift.operators.drill import (
 from pathlift.session import cut_lineage
 
 
+#: Settings that the document repeats, and their form in it.
+RULES = {
+    "thresholds": "array<struct<level:int,min_observation_count:double,min_growth_factor:double,"
+                  "min_structure_lift_factor:double,min_z_score:double,label:string>>",
+    "suppression_rules": "array<struct<field:string,value:string,reason:string>>",
+    "expert_path": "array<struct<field:string,value:string,label:string>>",
+    "field_labels": "map<string,string>",
+}
+
+
 @dataclass
 class Dashboard:
     cfg: AttributionConfig
@@ -88,28 +99,70 @@ class Dashboard:
             F.lit(len(cfg.dimensions)).alias("dimension_count"), "_b.*",
         )
 
+    def rules(self) -> DataFrame:
+        """One row: the settings a reader needs to understand the figures, with the bounds of the windows."""
+        settings = {k: v for k, v in self.cfg.to_dict().items() if k in RULES}
+        text = json.dumps(settings, ensure_ascii=False, default=str)
+        schema = ", ".join(f"{name} {kind}" for name, kind in RULES.items())
+        return self.windows.agg(_rows(self.windows, "ord", self.cfg).alias("windows")).select(
+            "windows", F.from_json(F.lit(text), schema).alias("r")).select("windows", "r.*")
+
     def document(self) -> DataFrame:
-        """One row, one JSON text. Every list in it is cut to the output limit before it is collected."""
+        """One row, one JSON text. Every list in it is cut to the output limit before it is collected; the totals
+        beside the lists count what there was before the cut."""
+        limit, topk, expert = self.cfg.output_limit, self.topk, self.expert
 
-        def listed(df: DataFrame, order: str) -> DataFrame:
-            entry = F.struct(order, F.struct(*[c for c in df.columns if c not in self.cfg.dimensions]).alias("r"))
-            return df.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["r"]).alias("rows"))
+        def listed(df: DataFrame, order: str = "sort_rank") -> DataFrame:
+            return df.agg(_rows(df, order, self.cfg).alias("rows"))
 
         def one(df: DataFrame) -> DataFrame:
-            return df.select(F.struct("*").alias("row"))
+            return df.select(F.struct(*[c for c in df.columns if c not in self.cfg.dimensions]).alias("row"))
+
+        def total(df: DataFrame) -> DataFrame:
+            return df.agg(F.count(F.lit(1)).alias("n"))
+
+        def found(df: DataFrame) -> DataFrame:
+            return df.where("not is_suppressed and level > 0")
 
         parts = {
             "summary": one(self.summary()),
             "daily_trend": listed(self.daily_trend(), "date"),
             "windows": listed(self.windows, "ord"),
-            "merged_alerts": listed(self.alerts, "sort_rank"),
-            "suppressed_alerts": listed(self.suppressed_alerts, "sort_rank"),
-            "counts": one(self.topk.counts),
+            "highlight": one(self.highlight),
+            "merged_alerts": listed(self.alerts),
+            "merged_alert_total": total(self.merged),
+            "suppressed_alerts": listed(self.suppressed_alerts),
+            "suppressed_alert_total": total(self.suppressed),
+            "counts": one(topk.counts),
+            "rules": one(self.rules()),
         }
-        row = self.meta().select(F.struct("*").alias("meta"), *[p.scalar().alias(n) for n, p in parts.items()])
+        nested = {"top_k": {
+            "single_downstream": listed(ranked(topk.single_seeds, self.cfg.single_limit)),
+            "pair_downstream": listed(ranked(topk.pair_seeds, self.cfg.pair_limit)),
+            "third_alerts": listed(ranked(found(topk.third), limit)),
+            "third_alert_total": total(found(topk.third)),
+            "counts": one(topk.counts),
+        }}
+        if expert is not None:
+            calculated = expert.third.where("not is_suppressed")
+            nested["expert"] = {
+                "single": one(expert.single), "pair": one(expert.pair),
+                "third_alerts": listed(ranked(found(expert.third), limit)),
+                "third_calculated": listed(ranked(calculated, limit)),
+                "third_calculated_total": total(expert.third), "alert_total": total(expert.alerts),
+            }
+        columns = [p.scalar().alias(n) for n, p in parts.items()]
+        columns += [F.struct(*[p.scalar().alias(n) for n, p in group.items()]).alias(name) for name, group in nested.items()]
+        row = self.meta().select(F.struct("*").alias("meta"), *columns)
         return row.select(F.to_json(F.struct("*")).alias("payload"))
 
 
+def _rows(df: DataFrame, order: str, cfg: AttributionConfig) -> Column:
+    """All rows of a short table as an ordered array of structs, without the dimension columns."""
+    entry = F.struct(order, F.struct(*[c for c in df.columns if c not in cfg.dimensions]).alias("r"))
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["r"])
+
+
 def summary(
     base: Base, merged: DataFrame, suppressed: DataFrame, expert: ExpertChain | None, head: DataFrame
 ) -> DataFrame:

@@ -1,22 +1,29 @@
-"""Publishing: compute a partition, rebuild tracked rules, store every table, then move the pointer."""
+"""Publishing: compute a partition, rebuild tracked rules, store every table of an attempt, then move the pointer."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
 from pathlift.config import AttributionConfig
-from pathlift.operators.daily import facts_in_range, partition_slice
-from pathlift.operators.drill import ranked
+from pathlift.operators.daily import partition_slice, trend_facts
+from pathlift.operators.metrics import rank_order
 from pathlift.operators.panel import path_daily, window_approvals
-from pathlift.operators.status import apply_tracked, tracked_records
+from pathlift.operators.ranking import numbered
+from pathlift.operators.status import apply_tracked, definition_history, tracked_records
 from pathlift.plans.dashboard import Dashboard, build
 from pathlift.session import cut_lineage
-from pathlift.sources.store import RunStore
-from pathlift.sources.tables import partition_ranges
+from pathlift.sources.store import Attempt, RunStore
+from pathlift.sources.tables import newest_partitions
+
+
+#: Tables written at the same time, and those of one row.
+WRITERS, ONE_FILE = 4, ("payloads", "runs", "summary")
 
 
 def with_approvals(records: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -32,10 +39,42 @@ def window_rows(records: DataFrame, approvals: DataFrame) -> DataFrame:
     return flat.join(approvals.drop("is_primary"), ["alert_id", "window_key"], "left")
 
 
-def numbered(records: DataFrame, limit: int, among: str = "true") -> DataFrame:
-    """All records; ranks are given up to the limit, and what lies beyond (or is not ranked) shares the last one."""
-    first = cut_lineage(ranked(records.where(among), limit).select("id", "sort_rank").dropDuplicates(["id"]))
-    return records.join(first, "id", "left").withColumn("sort_rank", F.coalesce("sort_rank", F.lit(limit)))
+def ranked_records(records: DataFrame, last: str = "false") -> DataFrame:
+    """All records with their exact place in report order, from 0 and without gaps; rows that meet ``last`` come behind."""
+    placed = numbered(records.withColumn("_last", F.expr(last)), [F.asc("_last"), *rank_order()], into="sort_rank")
+    return placed.drop("_last")
+
+
+def stored_definitions(store: RunStore, offset: int = 0) -> DataFrame:
+    """How the rules of all published partitions were defined, and since when; see ``with_definitions``."""
+    index = store.pointers().where(F.col("offset_days") == offset).select("run_id", "pt")
+    return definition_history(store.snapshots("alerts", offset=offset).join(index, "run_id"))
+
+
+class StageLog:
+    """Rows and seconds of an attempt's stages, written to the store's log; an error is logged with its stage."""
+
+    def __init__(self, store: RunStore, attempt: Attempt, pt: str, offset: int):
+        self.store, self.attempt, self.pt, self.offset = store, attempt, pt, offset
+        self.seconds: dict[str, float] = {}
+
+    @contextmanager
+    def stage(self, name: str, *tables: str):
+        start, error = time.time(), None
+        try:
+            yield
+        except Exception as failure:
+            error = str(failure).splitlines()[0][:500]
+            raise
+        finally:
+            self.seconds[name] = took = round(time.time() - start, 3)
+            head = (self.attempt.run_id, self.attempt.name, self.pt, int(self.offset))
+            if error is None and tables:
+                # Row counts come from the footers of the files just written.
+                rows = [(*head, f"{name}/{t}", self.attempt.read(t).count(), None, None) for t in tables]
+            else:
+                rows = []
+            self.store.log_stages([*rows, (*head, name, None, took, error)])
 
 
 def publish(
@@ -47,53 +86,68 @@ def publish(
     tracked: DataFrame | None = None,
     source: str = "scheduled",
 ) -> dict:
-    """Compute and store one (pt, offset). ``tracked``: canonical_path, status, entered_day, dimension columns."""
-    clock = {"start": time.time()}
-    if partition_slice(raw, cfg, pt).isEmpty():
-        raise ValueError(f"partition {pt} has no rows; nothing was stored")
-    dash = build(raw, cfg, pt, offset)
-    clock["computed"] = time.time()
-    run_id = cfg.run_id(pt, offset)
+    """Compute and store one (pt, offset) as a new attempt, then point readers to it.
 
-    merged = dash.merged.withColumns(
-        {"tracking_start": F.lit(None).cast("date"), "is_tracked_only": F.lit(False)}
-    )
-    tracked_count = F.lit(0)
-    if tracked is not None:
-        rebuilt = tracked_records(dash.base, tracked)
-        merged = apply_tracked(dash.merged, rebuilt)
-        tracked_count = tracked.agg(F.count_if(F.col("status") == 2)).scalar()
-    alerts = cut_lineage(numbered(merged, cfg.output_limit, "not is_tracked_only"))
-    suppressed = cut_lineage(numbered(dash.suppressed, cfg.output_limit))
-
-    paths = cut_lineage(
-        alerts.select("id", *cfg.dimensions).unionByName(suppressed.select("id", *cfg.dimensions)).distinct())
-    trend_facts = facts_in_range(raw, cfg, pt, offset, trend=True)
-    store.write("path_daily", path_daily(trend_facts, paths, cfg), run_id)
-    panel = store.run("path_daily", run_id)
-    clock["panel"] = time.time()
-
-    both = alerts.unionByName(suppressed, allowMissingColumns=True)
-    approvals = cut_lineage(window_approvals(both, panel))
-    store.write("alerts", with_approvals(alerts, approvals), run_id)
-    store.write("suppressed", with_approvals(suppressed, approvals), run_id)
-    store.write("alert_windows", window_rows(both.dropDuplicates(["id"]), approvals), run_id)
-    seeds = dash.topk.single_seeds.unionByName(dash.topk.pair_seeds)
-    store.write("seeds", seeds, run_id)
-    store.write("summary", dash.summary().withColumn("tracked_rule_count", tracked_count), run_id)
-    store.write("daily_trend", dash.daily_trend(), run_id)
-    store.write("partition_ranges", partition_ranges(raw, cfg), run_id)
-    store.write("payloads", dash.document().select(
-        F.lit(pt).alias("pt"), F.lit(offset).alias("offset_days"), "payload"), run_id, files=1)
-    clock["stored"] = time.time()
-    store.write("runs", run_row(dash, cfg, pt, offset, source, int((clock["computed"] - clock["start"]) * 1000)),
-                run_id, files=1)
-    store.publish_pointer(run_id, pt, offset)
+    ``tracked``: canonical_path, status, entered_day, dimension columns, and, from ``with_definitions``, what the rules
+    were made from. Whatever fails on the way, readers go on
+    reading the attempt published before, whole; the stage log says where it ended. Only this partition is read.
+    """
+    run_id = cfg.run_id(pt, offset)
+    attempt = store.attempt(run_id)
+    log = StageLog(store, attempt, pt, offset)
+    start = time.time()
+    with log.stage("compute"):
+        if partition_slice(raw, cfg, pt).isEmpty():
+            raise ValueError(f"partition {pt} has no rows; nothing was stored")
+        dash = build(raw, cfg, pt, offset)
+        merged = dash.merged.withColumns(
+            {"tracking_start": F.lit(None).cast("date"), "is_tracked_only": F.lit(False)}
+        )
+        tracked_count = F.lit(0)
+        if tracked is not None:
+            merged = apply_tracked(dash.merged, tracked_records(dash.base, tracked))
+            tracked_count = tracked.agg(F.count_if(F.col("status") == 2)).scalar()
+        alerts = cut_lineage(ranked_records(merged, "is_tracked_only"))
+        suppressed = cut_lineage(ranked_records(dash.suppressed))
+    computed_ms = int((time.time() - start) * 1000)
+
+    with log.stage("panel", "path_daily"):
+        paths = cut_lineage(
+            alerts.select("id", *cfg.dimensions).unionByName(suppressed.select("id", *cfg.dimensions)).distinct())
+        panel = path_daily(trend_facts(raw, dash.base, pt, offset), paths, cfg)
+        starts = alerts.where("tracking_start is not null").select(F.col("id").alias("alert_id"), "tracking_start")
+        attempt.write("path_daily", panel.join(starts.distinct(), "alert_id", "left"),
+                      expected_rows=paths.count() * (cfg.trend_days + 3))
+        panel = attempt.read("path_daily")
+
+    tables = ("alerts", "suppressed", "alert_windows", "seeds", "summary", "daily_trend", "payloads", "runs")
+    with log.stage("store", *tables):
+        both = alerts.unionByName(suppressed, allowMissingColumns=True)
+        approvals = cut_lineage(window_approvals(both, panel))
+        payload = dash.document().select(F.lit(pt).alias("pt"), F.lit(offset).alias("offset_days"), "payload")
+        contents = {
+            "alerts": with_approvals(alerts, approvals),
+            "suppressed": with_approvals(suppressed, approvals),
+            "alert_windows": window_rows(both.dropDuplicates(["id"]), approvals),
+            "seeds": dash.topk.single_seeds.unionByName(dash.topk.pair_seeds),
+            "summary": dash.summary().withColumn("tracked_rule_count", tracked_count),
+            "daily_trend": dash.daily_trend(),
+            "payloads": payload,
+            "runs": run_row(dash, cfg, pt, offset, source, computed_ms),
+        }
+        # Independent tables in folders of their own: they are written side by side.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(lambda t: attempt.write(t, contents[t], one_file=t in ONE_FILE), tables))
+
+    with log.stage("publish"):
+        # The bounds of this partition are known from its own range; no other partition is read.
+        store.ranges.upsert(dash.ranges.select(
+            F.lit(pt).alias("pt"), F.col("table_date_min").alias("min_day"), F.col("table_date_max").alias("max_day")))
+        attempt.publish(pt, offset)
     return {
-        "run_id": run_id, "pt": pt, "offset": offset, "source": source,
-        "compute_s": round(clock["computed"] - clock["start"], 1),
-        "panel_s": round(clock["panel"] - clock["computed"], 1),
-        "store_s": round(clock["stored"] - clock["panel"], 1),
+        "run_id": run_id, "attempt": attempt.name, "pt": pt, "offset": offset, "source": source,
+        "compute_s": round(log.seconds["compute"], 1), "panel_s": round(log.seconds["panel"], 1),
+        "store_s": round(log.seconds["store"], 1),
     }
 
 
@@ -109,16 +163,38 @@ def run_row(dash: Dashboard, cfg: AttributionConfig, pt: str, offset: int, sourc
 
 
 def backfill(
-    raw: DataFrame, cfg: AttributionConfig, store: RunStore, pts: Iterable[str], tracked: DataFrame | None = None
+    raw: DataFrame, cfg: AttributionConfig, store: RunStore, pts: Iterable[str], tracked: DataFrame | None = None,
+    workers: int = 1, resume: bool = False,
 ) -> list[dict]:
-    """Publish several partitions; a failing one is reported and does not stop the rest."""
-    results = []
-    for pt in pts:
+    """Publish several partitions, ``workers`` at a time; a failing one is reported and does not stop the rest.
+
+    With ``resume`` partitions already published under this configuration are left out, so that a second call goes on
+    where the first ended.
+    """
+
+    def one(pt: str) -> dict:
+        if resume:
+            done = store.pointer(pt)
+            if done and done.run_id == cfg.run_id(pt):
+                return {"pt": pt, "run_id": done.run_id, "attempt": done.attempt, "ok": True, "resumed": True}
         try:
-            results.append({**publish(raw, cfg, store, pt, 0, tracked, "backfill"), "ok": True})
+            return {**publish(raw, cfg, store, pt, 0, tracked, "backfill"), "ok": True, "resumed": False}
         except Exception as error:  # noqa: BLE001 - reported per partition
-            results.append({"pt": pt, "ok": False, "error": str(error)})
-    return results
+            return {"pt": pt, "ok": False, "error": str(error)}
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        return list(pool.map(one, pts))
+
+
+def backfill_newest(
+    path: str, cfg: AttributionConfig, store: RunStore, n: int, tracked: DataFrame | None = None, workers: int = 1,
+    resume: bool = True,
+) -> list[dict]:
+    """Publish the ``n`` newest partitions of a stored fact table; which these are is read from its folders."""
+    pts = [r.pt for r in newest_partitions(store.spark, path, cfg, n).collect()]
+    raw = store.spark.read.option("basePath", path).parquet(*[f"{path.rstrip('/')}/{cfg.partition_field}={p}" for p in pts])
+    raw = raw.withColumn(cfg.partition_field, F.col(cfg.partition_field).cast("string"))
+    return backfill(raw, cfg, store, pts, tracked, workers, resume)
 
 
 def freshness(ranges: DataFrame, run_date: date) -> DataFrame:

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pathlift.functions.scalars import partition_day
-from pathlift.operators.panel import approval_ratios, trend_rows
+from pathlift.operators.panel import approval_ratios, trend_figures
 from pathlift.plans.publish import long_form
 from pathlift.sources.store import RunStore
 
 ALLOWED_DAYS = (7, 15, 30, 60)
-# Status words users may type.
-STATUS_WORDS = {"0": 0, "不需要处理": 0, "1": 1, "已上策略": 1, "2": 2, "持续观察": 2}
+RECORD_ID = re.compile("[0-9a-f]{12}")
+# Names of the statuses; users may type a name or its number.
+STATUS_LABELS = {0: "不需要处理", 1: "已上策略", 2: "持续观察"}
+STATUS_WORDS = {word: n for n, label in STATUS_LABELS.items() for word in (str(n), label)}
 
 
 def latest_partition(store: RunStore, offset: int = 0) -> DataFrame:
     return store.latest_partition(offset)
 
 
-def dashboard_summary(store: RunStore, pt: str, offset: int = 0) -> DataFrame:
-    rows = store.snapshot("summary", pt, offset)
+def chosen_pt(store: RunStore, pt: str | None, offset: int = 0) -> str:
+    """The partition asked for, or the newest published one."""
+    found = pt or store.newest_pt(offset)
+    if not found:
+        raise ValueError("nothing was published yet")
+    return found
+
+
+def dashboard_summary(store: RunStore, pt: str | None = None, offset: int = 0) -> DataFrame:
+    """Overview figures of a partition, of the newest published one by default."""
+    rows = store.snapshot("summary", chosen_pt(store, pt, offset), offset)
     return approval_ratios(rows, "approval_count", "total_application_count", "approval_cid_cnt", "cid_cnt")
 
 
@@ -55,9 +68,10 @@ def with_status(alerts: DataFrame, statuses: DataFrame | None) -> DataFrame:
 
 
 def find_rules(
-    store: RunStore, pt: str, keyword: str = "", level: str = "", status: str = "", statuses: DataFrame | None = None
+    store: RunStore, pt: str | None = None, keyword: str = "", level: str = "", status: str = "",
+    statuses: DataFrame | None = None,
 ) -> DataFrame:
-    rows = with_status(store.snapshot("alerts", pt), statuses)
+    rows = with_status(store.snapshot("alerts", chosen_pt(store, pt)), statuses)
     return rows.where(keyword_filter(keyword) & level_filter(level) & status_filter(status))
 
 
@@ -79,24 +93,31 @@ def rule_matches(text: str) -> Column:
     return (F.lower("id") == needle) | (F.lower("canonical_path") == needle) | (F.lower("path") == needle)
 
 
-def rule_detail(store: RunStore, pt: str, id_or_path: str) -> DataFrame:
+def rule_detail(store: RunStore, pt: str | None, id_or_path: str) -> DataFrame:
     """First rule by id, canonical or display path, in report order."""
-    return store.snapshot("alerts", pt).where(rule_matches(id_or_path)).orderBy("sort_rank").limit(1)
+    rows = store.snapshot("alerts", chosen_pt(store, pt))
+    return rows.where(rule_matches(id_or_path)).orderBy("sort_rank").limit(1)
 
 
-def path_trend(store: RunStore, pt: str, record_id: str, days: int = 60) -> DataFrame:
+def path_trend(store: RunStore, pt: str | None, record_id: str, days: int = 60) -> DataFrame:
+    """Daily figures of one record: one pointer, one file of the clustered panel, which also holds the tracking start."""
     if days not in ALLOWED_DAYS:
         raise ValueError(f"days must be one of {ALLOWED_DAYS}")
-    panel = store.snapshot("path_daily", pt).where(F.col("alert_id") == record_id)
-    starts = store.snapshot("alerts", pt).where("tracking_start is not null").select(
-        F.col("id").alias("alert_id"), "tracking_start"
-    )
-    rows = trend_rows(panel, days, starts)
+    record_id = record_id.strip()
+    if not RECORD_ID.fullmatch(record_id):
+        raise ValueError("a record id has twelve hexadecimal digits")
+    panel = store.lookup("path_daily", record_id, chosen_pt(store, pt))
+    seen = panel.where("tracking_start is null or date >= tracking_start")
+    rows = trend_figures(seen.orderBy(F.desc("date")).limit(days))
     return approval_ratios(rows, "approval_count", "application_count", "approval_cid_cnt", "cid_cnt")
 
 
-def tracked_rule_followup(store: RunStore, path: str, start_pt: str, end_pt: str) -> DataFrame:
-    """One row per calendar day of the range: was the day published, did the rule appear, with which figures."""
+def tracked_rule_followup(store: RunStore, path: str, start_pt: str, end_pt: str | None = None) -> DataFrame:
+    """One row per calendar day of the range: was the day published, did the rule appear, with which figures.
+
+    The range ends with the newest published partition by default. Only the days' published attempts are read.
+    """
+    end_pt = chosen_pt(store, end_pt)
     if start_pt > end_pt:
         raise ValueError("start_pt must not be after end_pt")
     one = store.spark.range(1)
@@ -104,7 +125,7 @@ def tracked_rule_followup(store: RunStore, path: str, start_pt: str, end_pt: str
         F.explode(F.sequence(partition_day(F.lit(start_pt)), partition_day(F.lit(end_pt)))).alias("d")
     ).select(F.date_format("d", "yyyyMMdd").alias("pt"))
     index = store.pointers().where("offset_days = 0").select("pt", "run_id")
-    hits = store.read("alerts").where(rule_matches(path)).select(
+    hits = store.snapshots("alerts", start_pt, end_pt).where(rule_matches(path)).select(
         "run_id", "id", "canonical_path", "level", "observation_count", "growth_factor", "z_score",
         "is_tracked_only",
     )
@@ -143,6 +164,22 @@ def digest(alerts: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
+def digest_rules(alerts: DataFrame) -> DataFrame:
+    """The tagged rules of a digest: hits by falling level and path, then misses by path, each with its place.
+
+    A person tags these rules one by one, and a digest is read by people; numbering them needs one ordered list.
+    """
+    miss = F.coalesce(F.col("is_tracked_only"), F.lit(False))
+    labels = F.create_map(*[F.lit(x) for n, label in STATUS_LABELS.items() for x in (n, label)])
+    rows = alerts.where(F.col("status").isin(1, 2)).select(
+        F.when(miss, F.lit("miss")).otherwise(F.lit("hit")).alias("kind"),
+        F.coalesce("path", "canonical_path").alias("path"), "level", "level_label", "status",
+        F.try_element_at(labels, F.col("status")).alias("status_label"), "tracking_start", "hit_windows", "canonical_path",
+    )
+    w = W.partitionBy("kind").orderBy(F.when(F.col("kind") == "hit", -F.col("level")), "path", "canonical_path")
+    return rows.withColumn("place", F.row_number().over(w) - 1).drop("canonical_path")
+
+
 def alerts_with_seeds(alerts: DataFrame, seeds: DataFrame) -> DataFrame:
     """Alerts and level-0 seeds in one list; the alert wins where both exist."""
     columns = [c for c in alerts.columns if c in seeds.columns]

@@ -62,7 +62,19 @@ SELECT businessid, jq_date, jq_time, str_type, app_flow_flag, te_flag, cashloan_
   CASE WHEN l_tax >= 0.06 THEN 1 ELSE 0 END AS next_curday_flag,
   CASE WHEN l_tax >= 0.04 THEN l_extendedprice * 0.3 END AS loan_prin,
   CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS fpd7_fm_dd,
-  CASE WHEN l_orderkey % 4 = 0 AND l_linenumber > 4 + score_q THEN 1 ELSE 0 END AS fpd7_fz_dd
+  CASE WHEN l_orderkey % 4 = 0 AND l_linenumber > 4 + score_q THEN 1 ELSE 0 END AS fpd7_fz_dd,
+  CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice ELSE 0 END AS fpd7_fm_bj,
+  CASE WHEN l_orderkey % 4 = 0 AND l_linenumber > 4 + score_q THEN l_extendedprice * 0.5 ELSE 0 END AS fpd7_fz_bj,
+  CASE WHEN l_orderkey % 3 > 0 THEN 1 ELSE 0 END AS fpd1_fm_dd,
+  CASE WHEN l_orderkey % 3 = 1 AND l_linenumber > 3 + score_q THEN 1 ELSE 0 END AS fpd1_fz_dd,
+  CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice ELSE 0 END AS fpd1_fm_bj,
+  CASE WHEN l_orderkey % 3 = 1 AND l_linenumber > 3 + score_q THEN l_extendedprice * 0.75 ELSE 0 END AS fpd1_fz_bj,
+  CASE WHEN l_orderkey % 6 = 0 THEN 1 ELSE 0 END AS fpd15_fm_dd,
+  CASE WHEN l_orderkey % 12 = 0 AND l_linenumber > 3 + score_q THEN 1 ELSE 0 END AS fpd15_fz_dd,
+  CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS fpd30_fm_dd,
+  CASE WHEN l_orderkey % 20 = 0 AND l_linenumber > 2 + score_q THEN 1 ELSE 0 END AS fpd30_fz_dd,
+  CASE WHEN l_linenumber < 7 THEN 7 * l_linenumber END AS loan_period_days,
+  CAST(l_extendedprice * l_tax / 100 AS DOUBLE) AS interest_fee_daily
 FROM c
 """
 
@@ -85,6 +97,14 @@ SELECT l_orderkey * 10 + l_linenumber AS businessid,
   CASE WHEN l_orderkey % 4 <> 0 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 7 THEN 1 ELSE 0 END AS fpd7_fz_dd,
   CAST(CASE WHEN l_orderkey % 4 <> 0 THEN l_extendedprice ELSE 0 END AS DOUBLE) AS fpd7_fm_bj,
   CAST(CASE WHEN l_orderkey % 4 <> 0 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 7 THEN l_extendedprice * 0.5 ELSE 0 END AS DOUBLE) AS fpd7_fz_bj,
+  CASE WHEN l_orderkey % 4 <> 0 THEN 1 ELSE 0 END AS fpd1_fm_dd,
+  CASE WHEN l_orderkey % 4 <> 0 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 6 THEN 1 ELSE 0 END AS fpd1_fz_dd,
+  CAST(CASE WHEN l_orderkey % 4 <> 0 THEN l_extendedprice ELSE 0 END AS DOUBLE) AS fpd1_fm_bj,
+  CAST(CASE WHEN l_orderkey % 4 <> 0 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 6 THEN l_extendedprice * 0.75 ELSE 0 END AS DOUBLE) AS fpd1_fz_bj,
+  CASE WHEN l_orderkey % 8 > 3 THEN 1 ELSE 0 END AS fpd15_fm_dd,
+  CASE WHEN l_orderkey % 8 > 3 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 8 THEN 1 ELSE 0 END AS fpd15_fz_dd,
+  CAST(CASE WHEN l_orderkey % 8 > 3 THEN l_extendedprice ELSE 0 END AS DOUBLE) AS fpd15_fm_bj,
+  CAST(CASE WHEN l_orderkey % 8 > 3 AND l_linenumber + CAST(l_quantity AS BIGINT) % 3 >= 8 THEN l_extendedprice * 0.25 ELSE 0 END AS DOUBLE) AS fpd15_fz_bj,
   l_extendedprice AS curr_loan_prin,
   CAST(l_extendedprice * 2 AS DOUBLE) AS curr_credit_quota,
   CAST(l_discount AS DOUBLE) AS curr_interest_ratio,
@@ -115,7 +135,19 @@ SELECT event_id AS id, CONCAT('traffic_channel=', event_type) AS canonical_path,
 FROM events WHERE event_id % 20 = 0
 """
 
+# Alerts of earlier partitions, whose definitions change on the 12th and the 20th.
+FX_RULE_ALERTS = """
+SELECT CONCAT('traffic_channel=', event_type) AS canonical_path,
+  CONCAT('202401', LPAD(CAST(EXTRACT(DAY FROM ts) AS STRING), 2, '0')) AS pt,
+  CASE WHEN EXTRACT(DAY FROM ts) < 12 THEN 'Top-K' ELSE 'expert' END AS source,
+  EXTRACT(DAY FROM ts) >= 12 AS is_expert_forced,
+  CASE WHEN EXTRACT(DAY FROM ts) < 20 THEN '' ELSE 'reviewed' END AS rule_note,
+  'rule' AS drilldown_rule, FALSE AS enters_next_level, CONCAT('path of ', event_type) AS path
+FROM events WHERE EXTRACT(DAY FROM ts) >= 5 AND event_type <> 'click' GROUP BY 1, 2, 3, 4, 5, 8
+"""
+
 VIEWS = {
+    "fx_rule_alerts": (FX_RULE_ALERTS, ()),
     "fx_app_daily": (FX_APP_DAILY, ()),
     "fx_app_snapshots": (FX_APP_SNAPSHOTS, ("fx_app_daily",)),
     "fx_limit_result": (FX_LIMIT_RESULT, ()),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from pathlift.config import AttributionConfig
 from pathlift.functions.scalars import safe_double, strip, valid_partition_id
+from pathlift.sources import files
 
 
 def scan_partition(spark: SparkSession, path: str, pt: str, cfg: AttributionConfig) -> DataFrame:
@@ -16,14 +17,14 @@ def scan_partition(spark: SparkSession, path: str, pt: str, cfg: AttributionConf
     return spark.read.parquet(path).where(F.col(cfg.partition_field) == F.lit(pt))
 
 
-def available_partitions(facts: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """Valid partition ids, newest first."""
-    pt = F.col(cfg.partition_field).cast("string")
-    return facts.select(pt.alias("pt")).distinct().where(valid_partition_id("pt")).orderBy(F.desc("pt"))
+def available_partitions(spark: SparkSession, path: str, cfg: AttributionConfig) -> DataFrame:
+    """Valid partition ids of a stored fact table, newest first: from the folder names, without opening a file."""
+    ids = [(v,) for v in files.partition_values(spark, path, cfg.partition_field)]
+    return spark.createDataFrame(ids, "pt string").where(valid_partition_id("pt")).orderBy(F.desc("pt"))
 
 
-def newest_partitions(facts: DataFrame, cfg: AttributionConfig, n: int) -> DataFrame:
-    return available_partitions(facts, cfg).limit(n)
+def newest_partitions(spark: SparkSession, path: str, cfg: AttributionConfig, n: int) -> DataFrame:
+    return available_partitions(spark, path, cfg).limit(n)
 
 
 def partition_ranges(facts: DataFrame, cfg: AttributionConfig) -> DataFrame:
@@ -33,11 +34,6 @@ def partition_ranges(facts: DataFrame, cfg: AttributionConfig) -> DataFrame:
     )
 
 
-def upsert_ranges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace the partitions present in ``new``, keep the others."""
-    return old.join(new.select("pt"), "pt", "left_anti").unionByName(new)
-
-
 def observation_offsets(ranges: DataFrame, step: int = 15) -> DataFrame:
     """Offsets on offer for each partition: 0, step, 2 * step, ... below its span in days."""
     span = F.datediff("max_day", "min_day") + 1

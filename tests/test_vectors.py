@@ -188,7 +188,7 @@ def test_published_index_keeps_newest_per_key(spark, tmp_path):
 
     store = RunStore(spark, str(tmp_path / "s"))
     for run in ("20260801_0_a", "20260801_0_b"):
-        store.publish_pointer(run, "20260801", 0)
+        store.attempt(run).publish("20260801")
     assert [r.run_id for r in store.published().collect()] == ["20260801_0_b"]
 
 
