@@ -2,12 +2,14 @@
 
 Rows get exact places by range numbering. Levels are built from the leaves up and stored as node rows: each knows the
 siblings beside it on the next few levels and the key of the node they lead to (its parent link). A recursive query
-climbs from every leaf along these links, appends the siblings it passes and folds them into a claimed leaf digest,
-up to the root.
-
-One node row spans ``STRIDE`` levels, so a climb of 40 levels takes ten joins, and nodes above many leaves are stored in
-copies of which every leaf uses one by its place, so that no key of the climb's join holds more than about
-``LEAVES_A_COPY`` rows, the root's included.
+climbs from the leaves along these links, appends the siblings it passes and folds them into a claimed leaf digest of
+every leaf, up to the root.
+
+One node row spans ``STRIDE`` levels, so a climb of 40 levels takes ten joins. Neighbouring leaves lead to the same
+nodes: a row of the climb is a block of them, with a digest folded for each and the siblings they share held once, so
+Spark, which shuffles every round of a recursion, moves little more than the digests. Nodes above many leaves are stored in
+copies of which every block uses one by a hash: no key of the climb's join holds more than about ``LEAVES_A_COPY`` leaves,
+the root's included.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ def leaf_digest(columns: Sequence[str], changed: dict[str, Column] | None = None
 
 @dataclass
 class Manifest:
-    """``leaves``: own columns, subroot link and first step of every row; ``nodes``: the rows above; ``subroots``; ``root``."""
+    """``blocks``: neighbouring leaves with their first steps and the link they share; ``nodes``: the rows above."""
 
-    leaves: DataFrame
+    blocks: DataFrame
     nodes: DataFrame
     subroots: DataFrame
     root: str | None
@@ -100,21 +102,26 @@ def _copies(beneath: Column) -> Column:
 
 
 def _linked(blocks: DataFrame, hop: int, is_top: bool) -> DataFrame:
-    """The members of the blocks, each with the link to the node above: (up_tree, up_hop, up_pos, up_copies)."""
+    """Blocks with the link to the node above them: (up_tree, up_hop, up_pos, up_copies)."""
     done = F.col("done")
     if is_top:  # above the last node there is nothing
         tree, at, pos = F.when(~done, F.lit(TOP)), F.lit(hop + 1), F.col("block")
     else:
         tree = F.col("tree")
         at, pos = F.when(done, LEAF_OF_TOP).otherwise(hop + 1), F.when(done, F.lit(0)).otherwise(F.col("block"))
-    return blocks.select(
-        "tree", F.lit(hop).alias("hop"), F.explode("members").alias("m"), tree.alias("up_tree"),
-        at.cast("int").alias("up_hop"), pos.cast("long").alias("up_pos"), _copies(F.col("beneath")).alias("up_copies"),
-    ).select("tree", "hop", "m.*", "up_tree", "up_hop", "up_pos", "up_copies")
+    return blocks.withColumns({
+        "hop": F.lit(hop), "up_tree": tree, "up_hop": at.cast("int"), "up_pos": pos.cast("long"),
+        "up_copies": _copies(F.col("beneath"))})
+
+
+def _single(linked: DataFrame) -> DataFrame:
+    """The members of linked blocks as rows of their own."""
+    return linked.select("tree", "hop", F.explode("members").alias("m"), "up_tree", "up_hop", "up_pos", "up_copies").select(
+        "tree", "hop", "m.*", "up_tree", "up_hop", "up_pos", "up_copies")
 
 
 def _grown(rows: DataFrame, largest: int, stride: int, is_top: bool) -> tuple[list[DataFrame], DataFrame]:
-    """Every hop's linked node rows, from the leaves up, and the last nodes (tree, top, beneath) of all trees."""
+    """Every hop's linked blocks, from the leaves up, and the last nodes (tree, top, beneath) of all trees."""
     hops, ended = [], []
     hop, width = 0, RUN**stride
     while True:
@@ -159,12 +166,10 @@ def manifest(rows: DataFrame, group: str, order: Sequence[str], leaf: str = "lea
         F.lit(TOP).alias("tree"), "pos", "hash", "n", "beneath", F.col("tree").alias("own"))
     top_hops, root = _grown(top_rows, trees.agg(F.max("n")).first()[0] or 1, stride, is_top=True)
     # The lowest nodes of the upper tree are found under the group they stand for.
-    top_hops[0] = top_hops[0].withColumns(
-        {"tree": F.col("own"), "hop": F.lit(LEAF_OF_TOP), "pos": F.lit(0).cast("long")})
-    nodes = None
-    for rows_above in [*hops[1:], *top_hops]:
-        copied = _copied(rows_above)
-        nodes = nodes.unionByName(copied) if nodes is not None else copied
+    nodes = _copied(_single(top_hops[0]).withColumns(
+        {"tree": F.col("own"), "hop": F.lit(LEAF_OF_TOP), "pos": F.lit(0).cast("long")}))
+    for above in [*hops[1:], *top_hops[1:]]:
+        nodes = nodes.unionByName(_copied(_single(above)))
     found = root.first()
     value = F.when(F.col("tree") != "-", F.substring("tree", 2, 2**31 - 1))
     return Manifest(hops[0], cut_lineage(nodes), trees.select(value.alias(group), F.col("top").alias("subroot")),
@@ -183,32 +188,35 @@ def _any_number_of_rows(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-_FOLD = "aggregate(n.steps, {start}, (a, s) -> sha2(concat(lower(hex(s.left)), a, lower(hex(s.right))), 256))"
-_SIBLINGS = "aggregate(n.steps, {start}, (a, s) -> concat(a, s.left, s.right))"
-_LINK = "n.up_tree, n.up_hop, n.up_pos, pmod({place}, n.up_copies) AS up_copy"
+_FOLD = "aggregate({steps}, {start}, (a, s) -> sha2(concat(lower(hex(s.left)), a, lower(hex(s.right))), 256))"
+_SIBLINGS = "aggregate({steps}, {start}, (a, s) -> concat(a, s.left, s.right))"
 
 CLIMB = f"""
-WITH RECURSIVE climb(own, place, up_tree, up_hop, up_pos, up_copy, subroot, folded, siblings) AS (
-  SELECT n.own, n.pos, {_LINK.format(place='n.pos')}, CAST(NULL AS STRING),
-         {_FOLD.format(start='n.own.CLAIM')}, {_SIBLINGS.format(start="X''")}
-  FROM {{leaves}} n
+WITH RECURSIVE climb(tree, block, up_tree, up_hop, up_pos, up_copy, subroot, folded, siblings) AS (
+  SELECT b.tree, b.block, b.up_tree, b.up_hop, b.up_pos, pmod(xxhash64(b.tree, b.block), b.up_copies), CAST(NULL AS STRING),
+         transform(b.members, m -> {_FOLD.format(steps='m.steps', start='m.own.CLAIM')}), X''
+  FROM {{blocks}} b
   UNION ALL
-  SELECT c.own, c.place, {_LINK.format(place='c.place')},
+  SELECT c.tree, c.block, n.up_tree, n.up_hop, n.up_pos, pmod(xxhash64(c.tree, c.block), n.up_copies),
          coalesce(c.subroot, CASE WHEN n.hop = {LEAF_OF_TOP} THEN n.hash END),
-         {_FOLD.format(start='c.folded')}, {_SIBLINGS.format(start='c.siblings')}
+         transform(c.folded, f -> {_FOLD.format(steps='n.steps', start='f')}),
+         {_SIBLINGS.format(steps='n.steps', start='c.siblings')}
   FROM climb c JOIN {{nodes}} n
     ON n.tree = c.up_tree AND n.hop = c.up_hop AND n.pos = c.up_pos AND n.copy = c.up_copy)
-SELECT own, subroot, folded, sha2(lower(hex(siblings)), 256) AS proof_sha256 FROM climb WHERE up_tree IS NULL"""
+SELECT tree, block, subroot, folded, siblings FROM climb WHERE up_tree IS NULL"""
 
 
 def climbed(found: Manifest, claim: str) -> DataFrame:
     """Every row's own columns, subroot, root, proof_sha256, and folded_root: what the digest in ``claim`` leads to."""
-    spark = found.leaves.sparkSession
+    spark = found.blocks.sparkSession
     with _any_number_of_rows(spark):
-        rows = cut_lineage(spark.sql(CLIMB.replace("CLAIM", f"`{claim}`"), leaves=found.leaves, nodes=found.nodes))
-    return rows.select(
-        "own.*", "subroot", F.lit(found.root).cast("string").alias("root"), "proof_sha256",
-        F.col("folded").alias("folded_root"))
+        tops = cut_lineage(spark.sql(CLIMB.replace("CLAIM", f"`{claim}`"), blocks=found.blocks, nodes=found.nodes))
+    each = found.blocks.select("tree", "block", "members").join(tops, ["tree", "block"]).select(
+        "subroot", "siblings", F.explode(F.arrays_zip("members", "folded")).alias("x"))
+    proof = F.expr(_SIBLINGS.format(steps="x.members.steps", start="X''"))
+    return each.select(
+        "x.members.own.*", "subroot", F.lit(found.root).cast("string").alias("root"),
+        digest(F.lower(F.hex(F.concat(proof, F.col("siblings"))))).alias("proof_sha256"), F.col("x.folded").alias("folded_root"))
 
 
 def tamper_proofs(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"),
