@@ -44,10 +44,11 @@ def split_long(text: str, size: int = SPLIT_ABOVE) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
+def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids as unsigned 32-bit integers; strings of special tokens are ordinary text."""
     if len(text) <= SPLIT_ABOVE:
-        return enc.encode_ordinary(text)
-    return [i for part in split_long(text) for i in enc.encode_ordinary(part)]
+        return enc.encode_to_numpy(text, disallowed_special=())
+    return np.concatenate([enc.encode_to_numpy(part, disallowed_special=()) for part in split_long(text)])
 
 
 def encode(ranks_path: str, pattern: str, column: Column) -> Column:
@@ -56,7 +57,7 @@ def encode(ranks_path: str, pattern: str, column: Column) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         enc = encoding(ranks_path, pattern)
-        return pa.array([np.array(encode_text(enc, t), np.int32) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([encode_text(enc, t).view(np.int32) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return run(F.coalesce(column.cast("string"), F.lit("")))
 
@@ -72,13 +73,26 @@ def decode(ranks_path: str, pattern: str, column: Column) -> Column:
     return run(column)
 
 
-def ids_sha256(column: Column) -> Column:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, lowercase hex."""
+def digested(ranks_path: str, pattern: str, column: Column) -> Column:
+    """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column without null.
 
-    @F.arrow_udf("string")
-    def run(ids: pa.Array) -> pa.Array:
-        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-        return pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])])
+    Each text is encoded once and its ids are decoded once, in one function: columns that feed one function into
+    another would encode again for every use. Digests are SHA-256 in lowercase hex, of the ids as little-endian
+    unsigned 32-bit integers and of the decoded bytes.
+    """
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pa.Array) -> pa.Array:
+        enc = encoding(ranks_path, pattern)
+        rows = []
+        for text in texts:
+            ids = encode_text(enc, text.as_py())
+            rows.append((
+                len(ids), hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest(),
+                hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest()))
+        return pa.StructArray.from_arrays(
+            [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
     return run(column)
 
@@ -91,15 +105,9 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text"
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_tokens, digests of its ids and of the bytes they decode to.
 
-    Null texts count as empty (no ids, digest of nothing). Repeated rows and null ids are kept as they are, an empty
-    table gives no rows, other columns are ignored.
+    Null texts count as empty (no ids, digest of nothing). A text of any length is encoded whole; one without a safe
+    boundary in one piece. Repeated rows and null ids are kept as they are, an empty table gives no rows, other
+    columns are ignored.
     """
-    ids = df.select(F.col(id_col), text_of(text_col).alias("_text")).select(
-        id_col, encode(ranks_path, pattern, F.col("_text")).alias("_ids")
-    )
-    return ids.select(
-        id_col,
-        F.size("_ids").cast("long").alias("n_tokens"),
-        ids_sha256(F.col("_ids")).alias("ids_sha256"),
-        F.sha2(decode(ranks_path, pattern, F.col("_ids")), 256).alias("decoded_sha256"),
-    )
+    found = df.select(F.col(id_col), digested(ranks_path, pattern, text_of(text_col)).alias("_found"))
+    return found.select(id_col, "_found.n_tokens", "_found.ids_sha256", "_found.decoded_sha256")
