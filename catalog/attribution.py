@@ -394,15 +394,11 @@ WITH {', '.join(q.with_clause('fx_app_daily'))}
 SELECT MIN(create_date) AS min_day, MAX(create_date) AS max_day, COUNT(*) AS aggregate_rows, CAST(SUM(cnt) AS BIGINT) AS cnt,
   CAST(SUM(approval_cnt) AS BIGINT) AS approval_cnt, CAST(SUM(approval_jy0_cnt) AS BIGINT) AS approval_jy0_cnt FROM fx_app_daily""")
 def fact_overview(spark, sf_dir):
-    return raw_facts(spark, sf_dir).agg(
-        F.min("create_date").alias("min_day"), F.max("create_date").alias("max_day"),
-        F.count(F.lit(1)).alias("aggregate_rows"), F.sum("cnt").alias("cnt"),
-        F.sum("approval_cnt").alias("approval_cnt"), F.sum("approval_jy0_cnt").alias("approval_jy0_cnt"))
+    return D.fact_overview(raw_facts(spark, sf_dir), CFG)
 
 
 @register("fact_last_31_days", f"""
 WITH {', '.join(q.with_clause('fx_app_daily'))}
 SELECT create_date AS day, CAST(SUM(cnt) AS BIGINT) AS cnt FROM fx_app_daily GROUP BY 1 ORDER BY 1 DESC LIMIT 31""")
 def fact_last_31_days(spark, sf_dir):
-    return raw_facts(spark, sf_dir).groupBy(F.col("create_date").alias("day")).agg(
-        F.sum("cnt").alias("cnt")).orderBy(F.desc("day")).limit(31)
+    return D.last_days(raw_facts(spark, sf_dir), CFG)

@@ -59,7 +59,9 @@ def grid_balance(spark, sf_dir):
 
 
 @register("grid_one_to_one", "WITH " + ", ".join(with_clause("fx_segment_grid", "fx_policy")) + """
-SELECT COUNT(*) - COUNT(p.target_rate) AS rows_without_match, CAST(0 AS BIGINT) AS repeated_left_keys, CAST(0 AS BIGINT) AS repeated_right_keys
+SELECT COUNT(*) - COUNT(p.target_rate) AS rows_without_match,
+  (SELECT COUNT(*) FROM (SELECT 1 FROM fx_segment_grid GROUP BY flag_customer, use_rate, loan_cnt, score_level HAVING COUNT(*) > 1)) AS repeated_left_keys,
+  (SELECT COUNT(*) FROM (SELECT 1 FROM fx_policy GROUP BY customer, use_rate, loan_cnt, score HAVING COUNT(*) > 1)) AS repeated_right_keys
 FROM fx_segment_grid g LEFT JOIN fx_policy p ON p.customer = g.flag_customer AND p.use_rate = g.use_rate AND p.loan_cnt = g.loan_cnt AND p.score = g.score_level""")
 def grid_one_to_one(spark, sf_dir):
     policy = view(spark, sf_dir, "fx_policy").withColumnsRenamed({"customer": "flag_customer", "score": "score_level"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -422,6 +423,39 @@ def stored_daily_trend(spark, sf_dir):
     return store(spark, sf_dir).snapshot("daily_trend", OLD_PT).select("date", "application_count", "approval_count")
 
 
+@register("ingested_trend", q.query(q.base(OLD_PT, "fx_app_snapshots"), f"""
+SELECT '{OLD_PT}_0_elsewhere' AS run_id, day AS date, CAST(total AS DOUBLE) AS application_count, CAST(approvals AS DOUBLE) AS approval_count,
+  CAST(NULL AS DOUBLE) AS focus_path_count FROM kept"""))
+def ingested_trend(spark, sf_dir):
+    """A trend computed elsewhere, handed over as JSON lines without one of the columns."""
+
+    def make():
+        tag = uuid.uuid4().hex[:12]
+        source, target = f"{shared_dir(spark)}/pathlift-handed-{tag}", RunStore(spark, f"{shared_dir(spark)}/pathlift-store-{tag}")
+        rows = store(spark, sf_dir).snapshot("daily_trend", OLD_PT).drop("run_id", "focus_path_count")
+        rows.write.json(f"{source}/daily_trend")
+        target.ingest(source, f"{OLD_PT}_0_elsewhere", OLD_PT, 0, ("daily_trend",))
+        return target
+
+    return cached("ingested", spark, sf_dir, make).snapshot("daily_trend", OLD_PT).select(
+        "run_id", "date", "application_count", "approval_count", "focus_path_count")
+
+
+@register("older_panel", q.query(PANEL, """
+SELECT 'older' AS run_id, alert_id, date, application_count, CAST(NULL AS DOUBLE) AS cid_cnt, CAST(NULL AS DATE) AS tracking_start FROM panel"""))
+def older_panel(spark, sf_dir):
+    """A panel stored before there were attempts and the newer columns: read under the full schema."""
+
+    def make():
+        target = RunStore(spark, f"{shared_dir(spark)}/pathlift-store-{uuid.uuid4().hex[:12]}")
+        rows = panel(spark, sf_dir).select("alert_id", "date", "application_count")
+        rows.write.parquet(f"{target.path('path_daily')}/run_id=older")
+        return target
+
+    return cached("older", spark, sf_dir, make).read("path_daily").select(
+        "run_id", "alert_id", "date", "application_count", "cid_cnt", "tracking_start")
+
+
 @register("stored_alert_windows", q.query(
     [*q.base(OLD_PT, "fx_app_snapshots"), *q.merged(), f"wr AS (SELECT DISTINCT * FROM ({WIN_ROWS}))",
      "both_ AS (SELECT id FROM merged UNION SELECT id FROM suppressed)"], """
@@ -505,11 +539,15 @@ def compare_partitions(spark, sf_dir):
     return df.select("field", *[near(c, 8).alias(c) for c in ("value_a", "value_b", "delta")])
 
 
-@register("parity_check", q.query(q.base(), "SELECT CAST(0 AS BIGINT) AS differing_fields FROM kept WHERE rn = 1"))
+@register("parity_check", f"""
+WITH stored AS ({summary_sql(NEW_PT)}), fresh AS ({q.query([*q.base(), *q.merged()], f"SELECT {SUMMARY}, {RATIOS} FROM kept")})
+{' UNION ALL '.join(f"SELECT '{c}' AS field, ROUND(CAST(s.{c} AS DOUBLE), 6) AS stored, ROUND(CAST(r.{c} AS DOUBLE), 6) AS recomputed FROM stored s, fresh r WHERE s.{c} IS DISTINCT FROM r.{c} AND NOT COALESCE(ABS(s.{c} - r.{c}) <= 1e-9, FALSE)" for c in SUMMARY_FIELDS[:16])}
+UNION ALL SELECT 'tracked_rule_count', ROUND(CAST(tracked_rule_count AS DOUBLE), 6), NULL FROM stored""")
 def parity_check(spark, sf_dir):
-    """Summary recomputed from the day-level facts against the stored one: nothing may differ."""
-    stored = store(spark, sf_dir).snapshot("summary", NEW_PT).drop("tracked_rule_count")
-    return P.parity(stored, full_run(spark, sf_dir).summary()).agg(F.count(F.lit(1)).alias("differing_fields"))
+    """The stored summary against one computed anew from the day-level facts: only the count of tracked rules is lacking there."""
+    stored = store(spark, sf_dir).snapshot("summary", NEW_PT)
+    return P.parity(stored, full_run(spark, sf_dir).summary()).select(
+        "field", near("stored", 6).alias("stored"), near("recomputed", 6).alias("recomputed"))
 
 
 @register("freshness", f"""

@@ -168,6 +168,20 @@ def window_table(totals: DataFrame, cfg: AttributionConfig) -> DataFrame:
     )
 
 
+def fact_overview(raw: DataFrame, cfg: AttributionConfig) -> DataFrame:
+    """One row: first and last day of a fact table, its rows, and the totals of the counts and approvals."""
+    day = F.to_date(cfg.date_field)
+    return raw.agg(
+        F.min(day).alias("min_day"), F.max(day).alias("max_day"), F.count(F.lit(1)).alias("aggregate_rows"),
+        *[F.sum(m).alias(m) for m in (cfg.count_field, *cfg.approval_fields)])
+
+
+def last_days(raw: DataFrame, cfg: AttributionConfig, n: int = 31) -> DataFrame:
+    """Totals of the newest days that have data."""
+    daily = raw.groupBy(F.to_date(cfg.date_field).alias("day")).agg(F.sum(cfg.count_field).alias(cfg.count_field))
+    return daily.orderBy(F.desc("day")).limit(n)
+
+
 @dataclass
 class Base:
     """What every step of a run shares."""

@@ -219,6 +219,20 @@ def cell_report(joined: DataFrame, policy: DataFrame) -> DataFrame:
     return execution_figures(filled)
 
 
+def cells_by_strategy(facts: DataFrame, policy: DataFrame, strategies: Sequence[str], strategy: str = "str_type",
+                      book: CodeBook = CodeBook()) -> DataFrame:
+    """Every policy cell once per strategy, also where a strategy has nobody in it."""
+    rows = facts.where(F.col(strategy).isin(*strategies))
+    keyed = with_lookup_key(strategy_cube(rows, (strategy,)), book).withColumn("flag", normalized_code("te_flag"))
+    sums = keyed.groupBy(strategy, *CELL).agg(
+        F.expr("sum(cnt) as _n"), F.expr("sum(if(flag = '1', cnt, 0)) as _r"),
+        F.expr("sum(if(flag = '1', before_sum, 0D)) as _b"), F.sum("next_loan_cnt").alias("_nl"), F.sum("t0_cnt").alias("_t0"))
+    cells = policy.select("*", F.explode(F.array(*[F.lit(s) for s in strategies])).alias(strategy))
+    return cells.join(sums, [strategy, *CELL], "left").selectExpr(
+        strategy, *CELL, "target_rate", "coalesce(_n, 0) as settled_cnt", "coalesce(_r, 0) as raised_cnt",
+        "try_divide(_b, _r) / 100 as raised_avg_before", "try_divide(_nl, _n) as next_loan_rate", "try_divide(_t0, _n) as t0_rate")
+
+
 def overall_report(joined: DataFrame, target: float = TARGET_AVERAGE) -> DataFrame:
     """Whole, mapped and unmapped population with the attainment of the target average."""
     b = buckets(joined).where("bucket <> 'cell'").drop(*CELL)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathlift.sources import files
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -52,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[context.applicationId]
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """The folder of everything this application stores on the way; ``remove_steps`` drops it."""
+    return f"{shared_dir(spark).rstrip('/')}/pathlift-steps/{spark.sparkContext.applicationId}"
+
+
+def remove_steps(spark: SparkSession) -> bool:
+    """Drop what this application stored on the way. Results that still read it must be written elsewhere before."""
+    return files.remove(spark, steps_dir(spark))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a step that later steps read more than once, and go on from the written table.
 
@@ -59,6 +71,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of repeating everything before it, read only the columns they need, and know its size when joining.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pathlift-steps/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{steps_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
