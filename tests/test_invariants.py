@@ -44,14 +44,16 @@ def test_lazy_and_stored_drilldown_agree(spark, sf_dir):
 def test_publishing_twice_changes_nothing(spark, sf_dir, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     facts = view(spark, sf_dir, "fx_app_snapshots")
+    first = PUB.backfill(facts, CFG, store, [B.OLD_PT, "19990101", B.NEW_PT], workers=2)
+    assert [r["ok"] for r in first] == [True, False, True] and "no rows" in first[1]["error"]
+    tables = ("alerts", "alert_windows", "path_daily", "daily_trend", "summary")
+    before = {t: sorted(map(str, store.snapshot(t, B.OLD_PT).collect())) for t in tables}
+    assert all(before.values()) and store.read("runs").count() == 2
     PUB.publish(facts, CFG, store, B.OLD_PT)
-    before = {t: sorted(map(str, store.read(t).collect())) for t in ("alerts", "alert_windows", "path_daily", "daily_trend", "summary")}
-    results = PUB.backfill(facts, CFG, store, [B.OLD_PT, "19990101"])
-    assert [r["ok"] for r in results] == [True, False] and "no rows" in results[1]["error"]
-    assert all(store.run(t, CFG.run_id("19990101")).count() == 0 for t in before)
-    after = {t: sorted(map(str, store.run(t, CFG.run_id(B.OLD_PT)).collect())) for t in before}
-    assert before == after
-    assert store.published().where(F.col("pt") == B.OLD_PT).count() == 1
+    assert all(store.run(t, CFG.run_id("19990101")).count() == 0 for t in tables)
+    assert before == {t: sorted(map(str, store.run(t, CFG.run_id(B.OLD_PT)).collect())) for t in tables}
+    assert store.published().where(F.col("pt") == B.OLD_PT).count() == 1 and store.read("runs").count() == 2
+    assert store.ranges.current().count() == 2
 
 
 def test_old_tables_without_new_columns(spark, tmp_path):
