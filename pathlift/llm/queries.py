@@ -7,13 +7,13 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathlift.session import shared_dir
+from pathlift.session import steps_dir
 
 from . import (
     byte_bpe, exact_dedup, fingerprints, langid, line_dedup, merkle, near_dedup, packing, quality, resampling, token_table,
     topk, toxicity,
 )
-from .common import crc_fold, table
+from .common import crc_fold, cut_lineage, table
 
 TOXIC_FOLDS, LANGUAGE_FOLDS = 5, 3
 WORD_FILE = "word_bpe_49k.json"
@@ -70,11 +70,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/token-table/{uuid.uuid4().hex}"
+    path = f"{steps_dir(spark)}/token-table-{uuid.uuid4().hex}"
     token_table.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_FILE), end_id=2)
     rows = token_table.read(spark, path, ["doc_id", "ids", "pos"]).select(
         "doc_id", "pos", F.size("ids").cast("long").alias("n_tokens"), token_table.ids_crc32("ids").alias("ids_crc32"))
-    return token_table.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # The ids are read back once; sums and starts work on the figures.
+    return token_table.starts(cut_lineage(rows)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

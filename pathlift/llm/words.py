@@ -26,23 +26,42 @@ LETTERS = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
 #: Characters at which str.split() divides though Unicode doesn't count them as white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 LONGEST_KEPT = 64
+#: Bits that tell which words came before, and words (and pieces) kept in a generation of the memory.
+SEEN_BITS, KEPT = 1 << 23, 600_000
 
 
 class _Memory(dict):
-    """Values made on first use. A full memory becomes the older generation, from which used keys come back."""
+    """Values made on first use. A full memory becomes the older generation, from which used keys come back.
 
-    def __init__(self, make, limit: int):
+    With ``twice`` a key is kept from its second use on: most distinct words of a corpus come once, and would push out
+    the others. Which keys came before is told by one bit each; two keys that share a bit only cost memory.
+    """
+
+    def __init__(self, make, limit: int, twice: bool = False):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
+        self.seen = bytearray(SEEN_BITS >> 3) if twice else None
+
+    def _came_before(self, key) -> bool:
+        at = hash(key) % SEEN_BITS
+        bit = 1 << (at & 7)
+        if self.seen[at >> 3] & bit:
+            return True
+        self.seen[at >> 3] |= bit
+        return False
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+            if self.seen is not None and not self._came_before(key):
+                return value
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
+                if self.seen is not None:
+                    self.seen = bytearray(SEEN_BITS >> 3)
             self[key] = value
         return value
 
@@ -64,15 +83,15 @@ def _word_wise(spec: dict) -> bool:
 class WordTokenizer:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, kept: int = 200_000):
+    def __init__(self, path: str, kept: int = KEPT):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             self.word_wise = _word_wise(json.load(file))
         self._model = self.tokenizer.model
         self._bytes = str.maketrans({c: self._as_bytes(c) for c in LETTERS})
-        self._pieces = _Memory(self._encode_piece, kept)
-        self._words = _Memory(self._encode_word, kept)
+        self._pieces = _Memory(self._encode_piece, kept, twice=True)
+        self._words = _Memory(self._encode_word, kept, twice=True)
 
     def _as_bytes(self, letter: str) -> str:
         return "".join(piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
