@@ -1,25 +1,29 @@
 """Packing of documents into fixed windows: counts of length combinations by non-negative least squares.
 
-1. One pass encodes each document and cuts it into whole windows and a tail. Only lengths and checksums are kept: of
-   every whole window, of the tail, and of the tail's power-of-two parts, so no later step needs the ids again.
+1. One pass encodes each document and cuts it into whole windows and a tail. Kept are lengths, checksums of every whole
+   window and of the tail, and the ids of the tail, which only the tails that are cut later read again.
 2. The histogram of tail lengths (fewer than ``window`` numbers, however many documents) goes to the driver, which
    enumerates shallow combinations of lengths that fill a window exactly, solves their repeat counts against the
-   histogram by non-negative least squares, rounds them and greedily repeats what still fits.
-3. Every tail has a rank within its length. The solution gives ranges of ranks to slots of combinations; the rest is
-   cut into its power-of-two parts, which, laid out by falling size, meet every window border: nothing is padded.
+   histogram by non-negative least squares, rounds them and repeats what still fits.
+3. The lengths left over are packed greedily by best fit, still as counts: the largest length that fits goes next into a
+   window, and where none fits one document is cut at the window's border; its rest is a length of its own. Only what
+   remains at the very end, less than a window, is laid out in sequences of powers of two, so nothing is padded.
+4. Every tail has a rank within its length. The plan gives ranges of ranks to slots (sequence, offset, part of the tail).
 
 Positions are arithmetic on ranks; no group of documents ever meets in one task.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import crc32, cut_lineage, sliced, text_of
 from .words import packed_id, word_tokenizer
@@ -33,49 +37,42 @@ SWEEPS = 6
 
 _MEASURED = (
     "part int, doc {id}, n_ids long, full_first long, full_crcs array<long>, tail_len int, tail_rank long, "
-    "tail_crc long, bits array<struct<power:int,at:int,crc:long>>"
+    "tail_crc long, tail binary"
 )
 
 
 def measured(df: DataFrame, tokenizer: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: its length, checksums of its parts, and its rank among equal tails of its partition."""
-    kind = df.schema[id_col].dataType
-    arrow_kind = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(kind)]
-    end = packed_id(end_id)
+    """Per document: its length, checksums of its parts, the ids of its tail, and its rank among equal tails of its
+    partition."""
+    kind, end = df.schema[id_col].dataType, packed_id(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer).encode
         part, full_seen, ranks = TaskContext.get().partitionId(), 0, defaultdict(int)
         for batch in sliced(batches):
-            rows: dict[str, list] = {k: [] for k in ("n", "first", "full", "tail", "rank", "crc", "bits")}
+            rows: dict[str, list] = {k: [] for k in ("n", "first", "full", "size", "rank", "crc", "tail")}
             for text in batch.column(1).to_pylist():
                 ids = encode(text) + end
                 n = len(ids) // 4
-                whole, tail = divmod(n, window)
-                rest = ids[whole * window * 4 :]
-                bits, at = [], 0
-                for power in range(window.bit_length() - 1, -1, -1):
-                    if tail >> power & 1:
-                        bits.append({"power": power, "at": at, "crc": crc32(rest[at * 4 : (at + (1 << power)) * 4])})
-                        at += 1 << power
+                whole, size = divmod(n, window)
+                tail = ids[whole * window * 4 :]
                 rows["n"].append(n)
                 rows["first"].append(full_seen)
                 rows["full"].append([crc32(ids[i * window * 4 : (i + 1) * window * 4]) for i in range(whole)])
+                rows["size"].append(size)
+                rows["rank"].append(ranks[size])
+                rows["crc"].append(crc32(tail))
                 rows["tail"].append(tail)
-                rows["rank"].append(ranks[tail])
-                rows["crc"].append(crc32(rest))
-                rows["bits"].append(bits)
                 full_seen += whole
-                ranks[tail] += 1
-            bit = pa.list_(pa.struct([("power", pa.int32()), ("at", pa.int32()), ("crc", pa.int64())]))
+                ranks[size] += 1
             yield pa.record_batch(
                 [
-                    pa.array([part] * batch.num_rows, pa.int32()), batch.column(0).cast(arrow_kind),
+                    pa.array([part] * batch.num_rows, pa.int32()), batch.column(0),
                     pa.array(rows["n"], pa.int64()), pa.array(rows["first"], pa.int64()),
-                    pa.array(rows["full"], pa.list_(pa.int64())), pa.array(rows["tail"], pa.int32()),
-                    pa.array(rows["rank"], pa.int64()), pa.array(rows["crc"], pa.int64()), pa.array(rows["bits"], bit),
+                    pa.array(rows["full"], pa.list_(pa.int64())), pa.array(rows["size"], pa.int32()),
+                    pa.array(rows["rank"], pa.int64()), pa.array(rows["crc"], pa.int64()), pa.array(rows["tail"], pa.binary()),
                 ],
-                names=["part", "doc", "n_ids", "full_first", "full_crcs", "tail_len", "tail_rank", "tail_crc", "bits"],
+                names=["part", "doc", "n_ids", "full_first", "full_crcs", "tail_len", "tail_rank", "tail_crc", "tail"],
             )
 
     plain = df.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
@@ -145,8 +142,112 @@ def solved(histogram: np.ndarray, window: int) -> tuple[list[tuple[tuple[tuple[i
     return [(columns[j], int(counts[j])) for j in order if counts[j]], left
 
 
-def _slots(histogram: np.ndarray, window: int, first_sequence: int) -> tuple[list[tuple], int, int]:
-    """Rows (length, first rank, last rank, sequence, offset, base positions), first cut sequence, ids in cut tails."""
+@dataclass
+class _Source:
+    """Equal pieces to pack: ``n`` tails of ``length`` from rank ``first`` on, each without its first ``start`` ids."""
+
+    length: int
+    first: int
+    n: int
+    start: int = 0
+
+    @property
+    def size(self) -> int:
+        return self.length - self.start
+
+
+class _Pool:
+    """Sources by size."""
+
+    def __init__(self, sources: list[_Source]):
+        self.sizes: list[int] = []
+        self.by_size: dict[int, list[_Source]] = {}
+        for source in sources:
+            self.add(source)
+
+    def add(self, source: _Source) -> None:
+        if source.size not in self.by_size:
+            insort(self.sizes, source.size)
+            self.by_size[source.size] = []
+        self.by_size[source.size].append(source)
+
+    def drop_empty(self, sources: list[_Source]) -> None:
+        for source in sources:
+            if not source.n:
+                kept = self.by_size[source.size]
+                kept.remove(source)
+                if not kept:
+                    del self.by_size[source.size]
+                    self.sizes.remove(source.size)
+
+    def largest(self, room: int, uses: dict[int, int], whole: bool = False) -> _Source | None:
+        """Of the sources with something left, one of the largest size up to ``room``; ``whole``: never cut before."""
+        for at in range(bisect_right(self.sizes, room) - 1, -1, -1):
+            for source in self.by_size[self.sizes[at]]:
+                if source.n > uses.get(id(source), 0) and not (whole and source.start):
+                    return source
+        return None
+
+
+def best_fit(sources: list[_Source], window: int, sequence: int) -> list[tuple]:
+    """Slots for all sources, from the given sequence on: windows filled by the largest piece that fits, many at once.
+
+    A window is composed once and repeated as often as its sources allow, so every step uses up a source; cutting
+    leaves a new one of at most half as many pieces, which bounds the steps by the lengths times the logarithm of
+    their counts. The cut prefers tails that are still whole.
+    """
+    pool, rows = _Pool(sources), []
+    while pool.sizes:
+        room, uses, parts, cut = window, {}, [], None
+        while room:
+            source = pool.largest(room, uses)
+            size = source.size if source else room
+            if source is None:  # nothing fits: the rest of the window is the beginning of a larger piece
+                source = cut = pool.largest(window, uses, whole=True) or pool.largest(window, uses)
+                if source is None:
+                    break
+            parts.append((source, uses.get(id(source), 0), window - room, size))
+            uses[id(source)] = uses.get(id(source), 0) + 1
+            room -= size
+        used = list({id(source): source for source, *_ in parts}.values())
+        n = min(source.n // uses[id(source)] for source in used)
+        rest = None
+        for source, turn, offset, size in parts:
+            first = source.first + turn * n
+            rows.append((source.length, first, first + n, sequence, offset, source.start, size))
+            if source is cut and size < source.size:
+                rest = _Source(source.length, first, n, source.start + size)
+        for source in used:
+            source.first += uses[id(source)] * n
+            source.n -= uses[id(source)] * n
+        pool.drop_empty(used)
+        if rest:
+            pool.add(rest)
+        if room:  # the last pieces of all: less than a window
+            rows, sequence = _in_powers(rows, sequence, window - room), sequence
+            break
+        sequence += n
+    return rows
+
+
+def _in_powers(rows: list[tuple], sequence: int, total: int) -> list[tuple]:
+    """The slots of the last sequence, ``total`` ids, dealt anew to sequences whose lengths are powers of two."""
+    borders, at = [], 0
+    for power in range(total.bit_length() - 1, -1, -1):
+        if total >> power & 1:
+            borders.append((at, at + (1 << power)))
+            at += 1 << power
+    out = [row for row in rows if row[3] != sequence]
+    for length, first, last, _, offset, start, size in (row for row in rows if row[3] == sequence):
+        for number, (low, high) in enumerate(borders):
+            a, b = max(offset, low), min(offset + size, high)
+            if a < b:
+                out.append((length, first, last, sequence + number, a - low, start + a - offset, b - a))
+    return out
+
+
+def _slots(histogram: np.ndarray, window: int, first_sequence: int) -> list[tuple]:
+    """Rows (length, first rank, last rank, sequence, offset, start in the tail, size) for all tails."""
     plan, left = solved(histogram, window)
     used = np.zeros(len(histogram), dtype=np.int64)
     rows, sequence = [], first_sequence
@@ -154,40 +255,14 @@ def _slots(histogram: np.ndarray, window: int, first_sequence: int) -> tuple[lis
         offset = 0
         for length, times in column:
             for _ in range(times):
-                rows.append((length, int(used[length]), int(used[length]) + n, sequence, offset, None))
+                rows.append((length, int(used[length]), int(used[length]) + n, sequence, offset, 0, length))
                 used[length] += n
                 offset += length
         sequence += n
-    powers = window.bit_length()
-    lengths = np.arange(len(histogram))
-    base = np.zeros((len(histogram), powers), dtype=np.int64)
-    position = 0
-    for power in range(powers - 1, -1, -1):
-        counts = left * (lengths >> power & 1)
-        base[:, power] = position + (np.cumsum(counts) - counts) * (1 << power)
-        position += int(counts.sum()) << power
-    for length in np.flatnonzero(left):
-        rows.append((
-            int(length), int(used[length]), int(used[length] + left[length]), sequence, None,
-            [int(v) for v in base[length]],
-        ))
-    return rows, sequence, position
-
-
-_SLOT_SCHEMA = "s_len int, s_first long, s_last long, s_sequence long, s_offset int, s_base array<long>"
-
-
-def _cut_place(position: Column, total: int, first: int, window: int) -> tuple[Column, Column]:
-    """Sequence and offset of a position in the stream of cut tails; its last window ends in power-of-two sequences."""
-    whole = total // window
-    sequence, offset = F.floor(position / window) + first, position % window
-    at, index = whole * window, first + whole
-    for power in range(window.bit_length() - 1, -1, -1):
-        if (total % window) >> power & 1:
-            sequence = F.when(position >= at, F.lit(index)).otherwise(sequence)
-            offset = F.when(position >= at, position - at).otherwise(offset)
-            at, index = at + (1 << power), index + 1
-    return sequence.cast("long"), offset.cast("long")
+    return rows + best_fit([_Source(int(n), int(used[n]), int(left[n])) for n in np.flatnonzero(left)], window, sequence)
+
+
+_SLOT_SCHEMA = "s_len int, s_first long, s_last long, s_sequence long, s_offset int, s_start int, s_size int"
 
 
 # --- the operator ----------------------------------------------------------------------------------------------------
@@ -217,48 +292,31 @@ def packed(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     histogram = np.zeros(window, dtype=np.int64)
     for row in by_length.groupBy("tail_len").agg(F.sum("n").alias("n")).collect():  # fewer rows than the window
         histogram[row.tail_len] = row.n
-    rows, cut_first, cut_total = _slots(histogram, window, int(full))
-    slots = spark.createDataFrame(rows, _SLOT_SCHEMA)  # bounded by the combinations of the window
-
-    ranked = (
-        docs.join(parts.select("part", "full_base"), "part")
-        .join(by_length.select("part", "tail_len", "rank_base"), ["part", "tail_len"], "left")
-        .withColumn("rank", F.col("rank_base") + F.col("tail_rank"))
-    )
-    placed = ranked.join(
-        F.broadcast(slots),
-        (F.col("tail_len") == F.col("s_len")) & (F.col("rank") >= F.col("s_first")) & (F.col("rank") < F.col("s_last")),
-        "left",
-    )
-    return placed.select(
-        F.col("doc").alias(id_col), F.col("n_ids").alias("doc_tokens"), F.explode(_pieces(window, cut_first, cut_total)).alias("p")
-    ).select(id_col, "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset")
-
-
-def _pieces(window: int, cut_first: int, cut_total: int) -> Column:
-    def piece(start, length, crc, sequence, offset):
-        return F.struct(
-            start.cast("long").alias("start"), length.cast("long").alias("length"), crc.alias("ids_crc32"),
-            sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"),
-        )
-
-    tail_start = F.col("n_ids") - F.col("tail_len")
-    at = F.col("rank") - F.col("s_first")
-    whole = F.transform("full_crcs", lambda crc, i: piece(
-        i * window, F.lit(window), crc, F.col("full_base") + F.col("full_first") + i, F.lit(0)))
-    uncut = F.array(piece(tail_start, F.col("tail_len"), F.col("tail_crc"), F.col("s_sequence") + at, F.col("s_offset")))
-
-    def cut(bit):
-        size = F.pow(F.lit(2.0), bit["power"]).cast("long")
-        position = F.element_at("s_base", bit["power"] + 1) + at * size
-        sequence, offset = _cut_place(position, cut_total, cut_first, window)
-        return piece(tail_start + bit["at"], size, bit["crc"], sequence, offset)
-
-    none = F.array().cast("array<struct<start:long,length:long,ids_crc32:long,sequence_id:long,offset:long>>")
-    tail = (
-        F.when(F.col("tail_len") == 0, none).when(F.col("s_base").isNull(), uncut).otherwise(F.transform("bits", cut))
-    )
-    return F.concat(whole, tail)
+    rows = _slots(histogram, window, int(full))
+    # Bounded by the combinations of the window and the steps of the greedy packing, not by the documents.
+    slots = F.broadcast(spark.createDataFrame(rows, _SLOT_SCHEMA))
+
+    ranked = docs.where("tail_len > 0").join(by_length.select("part", "tail_len", "rank_base"), ["part", "tail_len"]).withColumn(
+        "rank", F.col("rank_base") + F.col("tail_rank"))
+    meets = (F.col("tail_len") == F.col("s_len")) & (F.col("rank") >= F.col("s_first")) & (F.col("rank") < F.col("s_last"))
+    placed = ranked.join(slots, meets)
+    tail_start, sequence = F.col("n_ids") - F.col("tail_len"), F.col("s_sequence") + F.col("rank") - F.col("s_first")
+
+    def piece(start, length, crc, sequence_id, offset) -> list[Column]:
+        return [
+            F.col("doc").alias(id_col), start.cast("long").alias("start"), length.cast("long").alias("length"),
+            crc.alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"), sequence_id.cast("long").alias("sequence_id"),
+            offset.cast("long").alias("offset")]
+
+    uncut = placed.where("s_size = s_len").select(
+        *piece(tail_start, F.col("s_size"), F.col("tail_crc"), sequence, F.col("s_offset")))
+    part_crc = F.crc32(F.substr("tail", F.col("s_start") * 4 + 1, F.col("s_size") * 4))
+    cut = placed.where("s_size < s_len").select(
+        *piece(tail_start + F.col("s_start"), F.col("s_size"), part_crc, sequence, F.col("s_offset")))
+    whole = docs.where(F.size("full_crcs") > 0).join(parts.select("part", "full_base"), "part").select(
+        "doc", "n_ids", (F.col("full_base") + F.col("full_first")).alias("base"), F.posexplode("full_crcs").alias("i", "crc"))
+    whole = whole.select(*piece(F.col("i") * window, F.lit(window), F.col("crc"), F.col("base") + F.col("i"), F.lit(0)))
+    return uncut.union(cut).union(whole)
 
 
 def sequences(pieces: DataFrame, window: int = 2048) -> DataFrame:

@@ -108,6 +108,30 @@ def test_packing_plan_uses_the_histogram():
         packing.packed(None, WORDS, window=100)
 
 
+def test_left_over_lengths_are_packed_by_best_fit():
+    """Every id once, windows full, few documents cut and hardly any twice; many documents need few slots."""
+    rng = np.random.default_rng(0)
+    for window, mean in ((64, 2.5), (2048, 5.5)):
+        histogram = np.bincount(np.clip(rng.lognormal(mean, 1, 5_000).astype(int), 1, window - 1), minlength=window)
+        used, covered = defaultdict(list), defaultdict(list)
+        for length, first, last, sequence, offset, start, size in packing._slots(histogram, window, 3):
+            for k in range(last - first):
+                used[sequence + k].append((offset, size))
+                covered[length, first + k].append((start, size))
+        assert sorted(used) == list(range(3, 3 + len(used)))
+        for parts, ends in [(p, None) for p in used.values()] + [(p, length) for (length, _), p in covered.items()]:
+            at = 0
+            for start, size in sorted(parts):
+                assert start == at
+                at += size
+            assert at == ends if ends else at == window or (at < window and at & (at - 1) == 0)
+        assert {k: len({r for length, r in covered if length == k}) for k in np.flatnonzero(histogram)} == dict(
+            zip(np.flatnonzero(histogram), histogram[histogram > 0]))
+        pieces = [len(p) for p in covered.values()]
+        assert np.mean([n > 2 for n in pieces]) < 0.01 and np.mean([n > 1 for n in pieces]) < 0.05
+        assert len(packing._slots(histogram * 10_000, window, 0)) < 40 * window
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(3)
     rows, labels = [], []
