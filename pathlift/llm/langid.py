@@ -21,8 +21,6 @@ EXCERPTS, EXCERPT_CHARS = 256, 384
 #: Texts are compressed in blocks, so that the dictionary matters for all of a long text and not for its start only.
 BLOCK_BYTES = 8_192
 LEVEL = 6
-#: Texts up to so many bytes that come out nearly alike are compressed again with so many parts of each dictionary.
-SHORT_BYTES, FINER = 1_024, 8
 #: Output bytes by which the next language must be larger, as a share, for a text to be accepted.
 LEAST_MARGIN = 0.002
 UNKNOWN = "und"
@@ -67,7 +65,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           held_out: int = 1) -> LanguageModel:
     """Dictionaries from the bounded sample: EXCERPTS excerpts of EXCERPT_CHARS characters for each language.
 
-    Documents without text, letters, language or id are not learnt from.
+    Documents without text, letters, language or id are not learnt from; without any there is no language. Repeated rows
+    count once, as they have one hash.
     """
     content: dict[str, list[str]] = {}
     for row in sorted(excerpts(docs, id_col, text_col, lang_col, folds, held_out).collect()):
@@ -85,19 +84,12 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Compressors:
     def __init__(self, model: LanguageModel):
         self.by_lang = {lang: _compressor(content) for lang, content in model.content.items()}
-        self.parts = {}
-        for lang, content in model.content.items():
-            size = len(content) // FINER
-            self.parts[lang] = [_compressor(content[i * size : (i + 1) * size]) for i in range(FINER)] if size >= 64 else []
 
     def ranked(self, text: str) -> list[tuple[int, str]]:
         """(output bytes, language), smallest first."""
         data = plain(text).encode()
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [b""]
-        out = sorted((sum(len(c.compress(block)) for block in blocks), lang) for lang, c in self.by_lang.items())
-        if len(out) > 1 and len(data) <= SHORT_BYTES and out[1][0] - out[0][0] <= 1 and all(self.parts.values()):
-            out = sorted((sum(len(c.compress(data)) for c in cs), lang) for lang, cs in self.parts.items())
-        return out
+        return sorted((sum(len(c.compress(block)) for block in blocks), lang) for lang, c in self.by_lang.items())
 
     def judge(self, text: str | None) -> dict:
         """Ties go to the language that comes first by name, with a margin of zero."""
