@@ -23,8 +23,8 @@ def normalised(column: Column) -> Column:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (struct of the kept columns, all by default), keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the smallest id stays, null ids last; of rows equal in id as well exactly one stays
-    (the first in storage order). An empty table gives no rows. Columns of the input live inside ``row`` and cannot
+    Of equal texts the row with the smallest id stays, null ids last; of rows equal in id as well exactly one stays,
+    no matter which. An empty table gives no rows. Columns of the input live inside ``row`` and cannot
     clash with those of the result.
     """
     columns = df.columns if keep is None else keep
