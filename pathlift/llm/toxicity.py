@@ -8,8 +8,10 @@ number per bucket, so scoring needs a single number per bucket and remembers it
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import crc_fold, cut_lineage, text_of, unused
-from .words import _Memory
+from .words import _Memory, held
 
 #: At most so many labelled documents of each class are learnt from (those with the smallest hash of their id).
 SAMPLE_PER_CLASS = 2_000
@@ -34,18 +36,21 @@ SPREAD = 0.01
 SHOWN = 12_000
 BATCH = 16
 RATE = 0.3
-WORDS_KEPT = 300_000
+#: Words remembered, with their buckets while learning and with one number when scoring, in a generation of the memory.
+GRAMS_KEPT, WORDS_KEPT = 100_000, 300_000
+#: Bags made before they are handed on, and texts taken out of an Arrow batch.
+BAGS_AT_ONCE, TEXTS_AT_ONCE = 64, 256
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def grams(word: str) -> list[int]:
+def grams(word: str) -> array:
     """Buckets of a word: its n-grams between markers, and itself; none for a word of punctuation only."""
     core = word.strip(PUNCTUATION)
     if not core:
-        return []
+        return array("i")
     marked = f"<{core}>"
     parts = [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(p.encode()) % BUCKETS for p in (*parts, marked + "w")]
+    return array("i", [zlib.crc32(p.encode()) % BUCKETS for p in (*parts, marked + "w")])
 
 
 def damped(n: int) -> float:
@@ -135,10 +140,12 @@ def training_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     rows = texts.join(F.broadcast(ids), "id").select("label", "text")  # at most 2 * SAMPLE_PER_CLASS ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known_grams = _Memory(grams, WORDS_KEPT)
+        known_grams = held(grams, lambda: _Memory(grams, GRAMS_KEPT))
         for frame in batches:
-            bags = [bag(text, known_grams) for text in frame.text]
-            yield pd.DataFrame({"label": frame.label, "ids": [b[0] for b in bags], "shares": [b[1] for b in bags]})
+            for at in range(0, len(frame), BAGS_AT_ONCE):
+                part = frame.iloc[at : at + BAGS_AT_ONCE]
+                bags = [bag(text, known_grams) for text in part.text]
+                yield pd.DataFrame({"label": part.label.to_numpy(), "ids": [b[0] for b in bags], "shares": [b[1] for b in bags]})
 
     return rows.mapInPandas(run, "label int, ids array<int>, shares array<float>")
 
@@ -161,32 +168,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(np.frombuffer(bytes(done[0].buckets), np.float32), done[0].bias)
 
 
-def score(model: ToxicityModel, column: Column) -> Column:
-    """Probability of label 1 for a whole text; null counts as empty, an empty text gets what the bias says."""
-    buckets, bias = model.buckets.tobytes(), model.bias
+class _Scorer:
+    """Logits of texts; the sums of words met before are remembered."""
+
+    def __init__(self, buckets: bytes, bias: float):
+        self.values = np.frombuffer(buckets, np.float32).astype(np.float64)
+        self.bias = bias
+        self.words = _Memory(self.word, WORDS_KEPT)
 
-    class _Scorer:
-        def __init__(self):
-            self.values = np.frombuffer(buckets, np.float32).astype(np.float64)
-            self.words = _Memory(self.word, WORDS_KEPT)
+    def word(self, text: str) -> complex:
+        ids = grams(text)
+        return complex(float(self.values[ids].sum()), len(ids)) if ids else 0j
 
-        def word(self, text: str) -> complex:
-            ids = grams(text)
-            return complex(float(self.values[ids].sum()), len(ids)) if ids else 0j
+    def logit(self, text: str) -> float:
+        total = complex(0, PRIOR)  # sum of bucket values, and number of n-grams
+        value = self.words.__getitem__
+        for word, n in Counter(text.lower().split()).items():
+            total += value(word) * damped(n)
+        return total.real / total.imag + self.bias
 
-    scorer = []
+
+def score(model: ToxicityModel, column: Column) -> Column:
+    """Probability of label 1 for a whole text; null counts as empty, an empty text gets what the bias says."""
+    buckets, bias = model.buckets.tobytes(), model.bias
+    name = hashlib.sha256(buckets).hexdigest(), bias
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        if not scorer:
-            scorer.append(_Scorer())
-        value = scorer[0].words.__getitem__
-        logits = []
-        for text in texts.to_pylist():
-            total = complex(0, PRIOR)  # sum of bucket values, and number of n-grams
-            for word, n in Counter(text.lower().split()).items():
-                total += value(word) * damped(n)
-            logits.append(total.real / total.imag + bias)
+        scorer = held((_Scorer, name), lambda: _Scorer(buckets, bias))
+        parts = (texts.slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, len(texts), TEXTS_AT_ONCE))
+        logits = [scorer.logit(text) for part in parts for text in part]
         return pa.array(1 / (1 + np.exp(-np.clip(np.array(logits, dtype=np.float64), -50, 50))))
 
     return run(F.coalesce(column.cast("string"), F.lit("")))

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -159,6 +161,49 @@ def test_toxicity(spark, docs, empty):
     assert all(r.p < 0.5 for r in docs.select(toxicity.score(blank, F.col("text")).alias("p")).collect())
 
 
+def test_a_worker_holds_the_memory_of_one_operator():
+    first = words.word_tokenizer(WORDS)
+    first.encode("frequent words are remembered " * 3)
+    assert words.word_tokenizer(WORDS) is first
+    gone = weakref.ref(first)
+    del first
+    scorer = words.held((toxicity._Scorer, 1), lambda: toxicity._Scorer(bytes(4 * toxicity.BUCKETS), 0.5))
+    assert gone() is None and scorer.logit("") == 0.5
+    assert words.word_tokenizer(WORDS).encode("ka")
+
+
+def test_buckets_of_words_are_kept_small():
+    distinct = [f"w{zlib.crc32(bytes([i >> 8, i & 255])):x}" for i in range(5_000)]
+    tracemalloc.start()
+    known = words._Memory(toxicity.grams, 10_000)
+    toxicity.bag(" ".join(distinct[:1]), known)
+    before = tracemalloc.get_traced_memory()[0]
+    for word in distinct:
+        known[word]
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(known) == 5_000 and grown < 400 * len(distinct)  # as lists of numbers: over 900 a word
+
+
+def test_toxicity_bags_in_parts(spark):
+    texts = {i: prose(i, 20 + i % 7) for i in range(3 * toxicity.BAGS_AT_ONCE)} | {500: None, 501: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    assert len(learnt) > 2 * toxicity.BAGS_AT_ONCE
+    got = toxicity.training_bags(docs, marks, "doc_id", "text", "toxic", 5).collect()
+
+    class Known(dict):
+        def __missing__(self, word):
+            return toxicity.grams(word)
+
+    def row(label, ids, shares):
+        return label, tuple(ids), tuple(np.float32(shares).tolist())
+
+    want = [row(i % 2, *toxicity.bag(texts[i] or "", Known())) for i in learnt]
+    assert sorted(row(*r) for r in got) == sorted(want)
+
+
 def plain_fingerprint(text, n=4):
     lowered = (text or "").translate({i: i + 32 for i in range(65, 91)})
     tokens = re.findall(r"[^\x20\x09-\x0D]+", lowered)
