@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import crc32, cut_lineage, sliced, text_of
+from .common import crc32, cut_lineage, sliced, small_batches, text_of
 from .words import packed_id, word_tokenizer
 
 DEPTH = 8
@@ -279,7 +279,8 @@ def packed(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = df.sparkSession
-    docs = cut_lineage(measured(df, tokenizer, end_id, window, id_col, text_col))
+    with small_batches(spark):
+        docs = cut_lineage(measured(df, tokenizer, end_id, window, id_col, text_col))
 
     by_length = docs.where("tail_len > 0").groupBy("part", "tail_len").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("tail_len").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

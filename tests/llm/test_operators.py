@@ -172,6 +172,38 @@ def test_a_worker_holds_the_memory_of_one_operator():
     assert words.word_tokenizer(WORDS).encode("ka")
 
 
+def test_words_of_a_tokenizer_are_kept_small():
+    kept, letters = 2_000, "abcdefghijklmnopqrstuvwxyz"
+    distinct = [f"{a}{b}{c}{d}" for a in "Xy" for b in letters for c in letters for d in "klmnopqr"]
+    tracemalloc.start()
+    own = words.WordTokenizer(WORDS, kept)
+    before = tracemalloc.get_traced_memory()[0]
+    for word in distinct:
+        own.encode(f"{word} {word} {word}")
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(set(distinct)) > 5 * kept
+    assert grown / kept * words.KEPT < 100 << 20  # words and pieces apart, 600,000 in each generation: over twice as much
+
+
+@pytest.mark.parametrize("operator", [packing, token_table])
+def test_texts_go_to_workers_in_small_batches(spark, tmp_path, monkeypatch, operator):
+    def bounded(batches):
+        for batch in batches:
+            assert batch.num_rows <= 512
+            yield batch
+
+    monkeypatch.setattr(operator, "sliced", bounded)
+    rows = spark.createDataFrame([(i, f"a text {i}") for i in range(1_500)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if operator is packing:
+        assert packing.packed(rows, WORDS).agg(F.countDistinct("doc_id")).first()[0] == 1_500
+    else:
+        token_table.write(rows, f"{tmp_path}/ids", WORDS, files=1)
+        assert token_table.read(spark, f"{tmp_path}/ids").count() == 1_500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_buckets_of_words_are_kept_small():
     distinct = [f"w{zlib.crc32(bytes([i >> 8, i & 255])):x}" for i in range(5_000)]
     tracemalloc.start()
