@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import crc32, sliced, text_of
+from .common import crc32, sliced, small_batches, text_of
 from .words import packed_id, word_tokenizer
 
 ENCODINGS = ("dictionary", "delta")
@@ -97,7 +97,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, encoding: s
     ranged = dealt.repartitionById(files, F.col("range")).drop("range")
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = encoded(ordered, tokenizer, end_id, "doc_id", "text")
-    (
+    writer = (
         rows.withColumn("pos", F.monotonically_increasing_id())
         .write.option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -105,8 +105,9 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, encoding: s
         .option("parquet.page.size", page_bytes)
         .option("parquet.page.row.count.limit", page_rows)
         .option("compression", "zstd")
-        .parquet(path)
     )
+    with small_batches(spark):
+        writer.parquet(path)
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, first_id=None, last_id=None) -> DataFrame:
