@@ -17,10 +17,14 @@ from .common import cut_lineage, text_of
 #: A fingerprint is so many hashes of 64 bits, of the same term under different seeds.
 PARTS = 2
 BITS = 64 * PARTS
-#: Words in a chunk: each votes with at most HEAVIEST * 3, so a lane stays below 2 ** 16.
-CHUNK_WORDS = 4_096
+#: Words in a chunk: each votes with at most HEAVIEST * 3, so a lane stays below 2 ** 15. The highest lane ends in the sign
+#: of its long: one bit more, and texts that repeat a few long words would overflow the sum.
+CHUNK_WORDS = 2_048
 HEAVIEST = 4
 LANES = 16
+#: Characters after which a long text is cut, at the next white space; a piece has fewer than CHUNKS * CHUNK_WORDS words.
+PIECE_CHARS, CHUNKS = 65_536, 64
+SPACE = r"[\x20\x09-\x0D]"
 _ONES_16, _LOW_32 = 0x0001000100010001, 0x0000FFFF0000FFFF
 
 
@@ -28,17 +32,31 @@ def _weight(word: Column) -> Column:
     return F.when(word.isNull(), 0).otherwise(F.least(F.ceil(F.length(word) / 4), F.lit(HEAVIEST))).cast("long")
 
 
+def _pieces(text: str) -> Column:
+    """A text as runs of whole words. A long one is cut after the word that passes PIECE_CHARS and the white space behind it,
+    so every further piece begins with a word: all words of a long text at once would take a hundred times its size."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE_CHARS}}}{SPACE.replace('[', '[^')}*{SPACE}*"), F.lit(0))
+    return F.when(F.octet_length(text) <= PIECE_CHARS, F.array(text)).otherwise(cut)
+
+
 def _terms(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """A row for each word with the hashes and weights of its two terms; one empty row for a text without words."""
-    words = F.filter(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    zipped = texts.select(*keys, words.alias("a")).select(
-        *keys, F.arrays_zip("a", F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))).alias("b")).alias("pair"))
-    rows = zipped.select(*keys, F.posexplode_outer("pair").alias("pos", "t"))
+    """A row for each word with the hashes and weights of its two terms; one empty row for a piece without words."""
+    pieces = texts.select(*keys, F.lower(text_col).alias("lower")).select(*keys, _pieces("lower").alias("piece"))
+    further = F.slice("piece", F.lit(2), F.greatest(F.size("piece") - 1, F.lit(0)))
+    after = F.transform(further, lambda p: F.split(p, SPACE, 2)[0])
+    pieces = pieces.select(*keys, F.posexplode_outer(F.arrays_zip("piece", after.alias("after"))).alias("number", "p"))
+    words = F.filter(F.split("p.piece", f"{SPACE}+"), lambda w: w != "")
+    listed = pieces.select(*keys, "number", "p.after", words.alias("a"))
+    followers = F.slice(F.concat("a", F.array("after")), F.lit(2), F.size("a"))
+    words = listed.select(*keys, "number", "a", followers.alias("b"))
+    zipped = words.select(*keys, "number", F.arrays_zip("a", "b").alias("pair"))
+    rows = zipped.select(*keys, "number", F.posexplode_outer("pair").alias("pos", "t"))
     word, follower = F.col("t")["a"], F.col("t")["b"]
     single = _weight(word)
     double = F.when(follower.isNull(), 0).otherwise(single + _weight(follower)).cast("long")
     out = rows.select(
-        *keys, F.floor(F.col("pos") / CHUNK_WORDS).alias("chunk"), single.alias("w1"), double.alias("w2"),
+        *keys, (F.col("number").cast("long") * CHUNKS + F.floor(F.col("pos") / CHUNK_WORDS)).alias("chunk"),
+        single.alias("w1"), double.alias("w2"),
         *[F.xxhash64(word, F.lit(p)).alias(f"h1_{p}") for p in range(PARTS)],
         *[F.xxhash64(word, follower, F.lit(p)).alias(f"h2_{p}") for p in range(PARTS)],
     )
